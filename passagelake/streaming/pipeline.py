@@ -1,0 +1,106 @@
+"""Streams between topics and the index, safe to restart at any point.
+
+Each micro-batch writes folders named after its batch id. A batch that is run
+again after a failure overwrites what it wrote before, so every message counts
+exactly once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from passagelake.functions.embed import HashingEmbedder, embed_column
+from passagelake.operators.validation import (
+    dead_letters,
+    prepare_for_embedding,
+    validate_embedded,
+)
+from passagelake.sources.index_store import VectorIndex, append_vectors
+from passagelake.sources.topics import EMBEDDED_FIELDS, publish, subscribe, to_messages
+
+
+def _start(stream: DataFrame, handle, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
+def _write_dead_letters(checked: DataFrame, folder: str, batch_id: int) -> None:
+    rejected = dead_letters(checked).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    rejected.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def embed_topic(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    dead_letter_folder: str,
+    checkpoint: str,
+    factory: Callable = HashingEmbedder,
+    model_key: str | None = None,
+    max_files_per_trigger: int = 64,
+    normalize_numeric_ids: bool = True,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Drain a topic of chunks: validate, embed, publish; bad messages are set aside.
+
+    Without ``every`` it stops when the topic is empty; with it, it keeps running
+    at that interval. The model runs once per message.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        prepared = prepare_for_embedding(batch, normalize_numeric_ids).persist()
+        try:
+            ready = prepared.where("has_ids").withColumn(
+                "embedding", embed_column(F.col("chunk"), factory, model_key)
+            )
+            publish(to_messages(ready, EMBEDDED_FIELDS), target, batch_id)
+            _write_dead_letters(prepared, dead_letter_folder, batch_id)
+        finally:
+            prepared.unpersist()
+
+    stream = subscribe(spark, source, max_files_per_trigger)
+    return _start(stream, handle, checkpoint, every)
+
+
+def index_topic(
+    spark: SparkSession,
+    source: str,
+    index: VectorIndex,
+    dead_letter_folder: str,
+    checkpoint: str,
+    max_files_per_trigger: int = 64,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Append a topic of embedded chunks to an index, as new batches of its shards."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        checked = validate_embedded(batch).persist()
+        try:
+            good = checked.where(F.col("reason").isNull()).drop("value", "reason")
+            append_vectors(good, index, batch_id + 1)
+            _write_dead_letters(checked, dead_letter_folder, batch_id)
+        finally:
+            checked.unpersist()
+
+    stream = subscribe(spark, source, max_files_per_trigger)
+    return _start(stream, handle, checkpoint, every)
+
+
+def read_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/batch=*").select("value", "reason", "batch_id")
+
+
+def progress_report(query: StreamingQuery) -> DataFrame:
+    """One row per finished micro-batch of a stream: its id, time, rows and duration."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    rows = [
+        (p["batchId"], p["timestamp"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0))
+        for p in query.recentProgress
+    ]
+    return spark.createDataFrame(
+        rows, "batch_id bigint, started string, messages bigint, duration_ms bigint"
+    )

@@ -64,8 +64,17 @@ def nearest(
     return indices, distances
 
 
+# Scores are compared at this many decimals, so that the order of a sum never
+# decides a rank; equal scores are ranked by id.
+SCORE_DECIMALS = 9
+
+
 def pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    """Score of each row pair, summed in a fixed order so copies score the same."""
+    """Score of each pair of rows."""
+    return np.round(_raw_scores(left, right, metric), SCORE_DECIMALS)
+
+
+def _raw_scores(left, right, metric):
     left = np.asarray(left, dtype=np.float64)
     right = np.asarray(right, dtype=np.float64)
     if metric == "l2":

@@ -66,7 +66,7 @@ class TopK:
             squares = np.square(lengths)[:, None] + np.square(self.norms[chosen])[None, :]
             rough = 1.0 - (squares - 2.0 * rough)
             slack = precision * squares.max(axis=0)
-        slack = slack + 1e-12
+        slack = slack + 1e-8
         bar = self.floor[chosen]
         if len(vectors) > self.k:
             kth = np.partition(rough, len(vectors) - self.k, axis=0)[-self.k]

@@ -30,20 +30,11 @@ def to_messages(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.select(body.alias("value"))
 
 
-def publish(
-    messages: DataFrame, topic: str | None, batch_id: int | None = None
-) -> bool:
-    """Append messages to a topic folder; without a topic nothing is done.
-
-    With a ``batch_id`` the batch has a folder of its own, and publishing it again
-    after a failure replaces it.
-    """
+def publish(messages: DataFrame, topic: str | None) -> bool:
+    """Append messages to a topic folder; without a topic nothing is done."""
     if not topic:
         return False
-    if batch_id is None:
-        messages.select("value").write.mode("append").text(topic)
-    else:
-        messages.select("value").write.mode("overwrite").text(f"{topic}/batch_id={batch_id}")
+    messages.select("value").write.mode("append").text(topic)
     return True
 
 

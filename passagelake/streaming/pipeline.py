@@ -1,8 +1,8 @@
 """Streams between topics and the index, safe to restart at any point.
 
-Each micro-batch writes folders named after its batch id. A batch that is run
-again after a failure overwrites what it wrote before, so every message counts
-exactly once.
+The embed stage writes through Spark's file sink, whose log tells the next stage
+which files are complete. The index stage writes one folder per micro-batch; a
+batch that is run again replaces what it wrote, so every message counts once.
 """
 
 from __future__ import annotations
@@ -18,19 +18,13 @@ from passagelake.operators.validation import (
     prepare_for_embedding,
     validate_embedded,
 )
+from passagelake.schemas import DEAD_LETTER
 from passagelake.sources.index_store import VectorIndex, append_vectors
-from passagelake.sources.topics import EMBEDDED_FIELDS, publish, subscribe, to_messages
+from passagelake.sources.topics import EMBEDDED_FIELDS, subscribe, to_messages
 
 
-def _start(stream: DataFrame, handle, checkpoint: str, every: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
-
-
-def _write_dead_letters(checked: DataFrame, folder: str, batch_id: int) -> None:
-    rejected = dead_letters(checked).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    rejected.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+def _trigger(every: str | None) -> dict:
+    return {"processingTime": every} if every else {"availableNow": True}
 
 
 def embed_topic(
@@ -44,26 +38,31 @@ def embed_topic(
     max_files_per_trigger: int = 64,
     normalize_numeric_ids: bool = True,
     every: str | None = None,
-) -> StreamingQuery:
+) -> list[StreamingQuery]:
     """Drain a topic of chunks: validate, embed, publish; bad messages are set aside.
 
-    Without ``every`` it stops when the topic is empty; with it, it keeps running
-    at that interval. The model runs once per message.
+    Two streams read the topic: one embeds and publishes, one keeps the dead
+    letters. Without ``every`` they stop when the topic is empty; with it, they
+    keep running at that interval. The model runs once per message.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare_for_embedding(batch, normalize_numeric_ids).persist()
-        try:
-            ready = prepared.where("has_ids").withColumn(
-                "embedding", embed_column(F.col("chunk"), factory, model_key)
-            )
-            publish(to_messages(ready, EMBEDDED_FIELDS), target, batch_id)
-            _write_dead_letters(prepared, dead_letter_folder, batch_id)
-        finally:
-            prepared.unpersist()
-
-    stream = subscribe(spark, source, max_files_per_trigger)
-    return _start(stream, handle, checkpoint, every)
+    prepared = prepare_for_embedding(
+        subscribe(spark, source, max_files_per_trigger), normalize_numeric_ids
+    )
+    embedded = prepared.where("has_ids").withColumn(
+        "embedding", embed_column(F.col("chunk"), factory, model_key)
+    )
+    published = to_messages(embedded, EMBEDDED_FIELDS).writeStream.format("text")
+    rejected = dead_letters(prepared).writeStream.format("parquet")
+    return [
+        writer.option("path", path)
+        .option("checkpointLocation", f"{checkpoint}/{name}")
+        .trigger(**_trigger(every))
+        .start()
+        for writer, path, name in (
+            (published, target, "published"),
+            (rejected, dead_letter_folder, "dead-letters"),
+        )
+    ]
 
 
 def index_topic(
@@ -82,21 +81,26 @@ def index_topic(
         try:
             good = checked.where(F.col("reason").isNull()).drop("value", "reason")
             append_vectors(good, index, batch_id + 1)
-            _write_dead_letters(checked, dead_letter_folder, batch_id)
+            rejected = dead_letters(checked)
+            rejected.write.mode("overwrite").parquet(f"{dead_letter_folder}/batch={batch_id}")
         finally:
             checked.unpersist()
 
     stream = subscribe(spark, source, max_files_per_trigger)
-    return _start(stream, handle, checkpoint, every)
+    return (
+        stream.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
 
 
 def read_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/batch=*").select("value", "reason", "batch_id")
+    return spark.read.schema(DEAD_LETTER).parquet(folder).select("value", "reason")
 
 
-def progress_report(query: StreamingQuery) -> DataFrame:
-    """One row per finished micro-batch of a stream: its id, time, rows and duration."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+def progress_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per recent micro-batch of a stream: its id, time, rows and duration."""
     rows = [
         (p["batchId"], p["timestamp"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0))
         for p in query.recentProgress

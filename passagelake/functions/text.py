@@ -17,6 +17,7 @@ WHITESPACE = (
 _LATIN = r"[ \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0]"
 _WIDE = r"(?=[\u1680-\u3000])[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS = rf"(?:{_LATIN}|{_WIDE})"
+NOT_WS = rf"(?s)(?!{WS})."
 
 BLANK_LINES = rf"\n{WS}*\n"
 LINE_ENDS = "\n"
@@ -41,7 +42,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE)) == ""
+    """True for empty and all-whitespace text; looks no further than the first other character."""
+    return ~text.rlike(NOT_WS)
 
 
 def word_count(text: Column) -> Column:

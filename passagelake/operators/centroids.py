@@ -18,6 +18,8 @@ NUM_CENTROIDS = 30
 TRAINING_ROWS = 3000
 SEED = 42
 
+MAX_CENTROIDS = 65_536
+
 
 def train_centroids(
     vectors: DataFrame,
@@ -67,23 +69,22 @@ def group_centroids(vectors: DataFrame, group_col: str, vector_col: str = "embed
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Centroid indices and matrix on the driver, in index order.
 
-    Their number is a model parameter, not a property of the data. The size is
-    checked before anything is fetched.
+    Their number is a model parameter, not a property of the data; it is checked
+    all the same, and at most one row above the limit is fetched.
     """
-    shape = centroids.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.size("centroid")).alias("most"),
-        F.min(F.size("centroid")).alias("least"),
-    ).first()
-    if not shape["n"]:
+    found = centroids.select("centroid_idx", "centroid").limit(MAX_CENTROIDS + 1).toArrow()
+    if not found.num_rows:
         raise ValueError("no centroid vectors")
-    if shape["most"] != shape["least"]:
-        raise ValueError("centroids differ in dimension")
-    if shape["n"] * shape["most"] > MAX_BROADCAST_NUMBERS:
-        raise ValueError(f"{shape['n']} centroids of {shape['most']} are too many to broadcast")
-    rows = sorted(centroids.select("centroid_idx", "centroid").collect())
-    indices = np.array([r[0] for r in rows], dtype=np.int32)
-    return indices, np.array([r[1] for r in rows], dtype=np.float64)
+    if found.num_rows > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids cannot be broadcast")
+    matrix, fits = to_matrix(found.column("centroid"))
+    if not fits.all():
+        raise ValueError("centroids differ in dimension or have missing numbers")
+    if matrix.size > MAX_BROADCAST_NUMBERS:
+        raise ValueError(f"a {matrix.shape} centroid matrix is too large to broadcast")
+    indices = found.column("centroid_idx").to_numpy().astype(np.int32)
+    order = np.argsort(indices, kind="stable")
+    return indices[order], matrix[order].astype(np.float64)
 
 
 def dimension_rejects(vectors: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:

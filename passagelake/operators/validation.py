@@ -17,63 +17,93 @@ def _body(value: Column) -> Column:
     return F.try_parse_json(F.when(value == "", "{}").otherwise(value))
 
 
-def _kind(body: Column, field: str) -> Column:
-    """JSON type of a field: STRING, BIGINT, DOUBLE, DECIMAL(..), VOID for null; null if absent."""
-    return F.schema_of_variant(F.try_variant_get(body, f"$.{field}", "variant"))
+def _fields(messages: DataFrame, names: list[str]) -> DataFrame:
+    """Per named field a struct (kind, text); ``_body`` stays for the rest.
+
+    kind is the JSON type: STRING, BIGINT, DOUBLE, DECIMAL(..), VOID for null, and
+    so on; both are null where the field is absent.
+    """
+    parsed = messages.select("value", _body(F.col("value")).alias("_body"))
+    item = parsed.select(
+        "*", *[F.try_variant_get("_body", f"$.{n}", "variant").alias(f"_{n}") for n in names]
+    )
+    return item.select(
+        "value",
+        "_body",
+        *[
+            F.struct(
+                F.schema_of_variant(F.col(f"_{n}")).alias("kind"),
+                F.try_variant_get(F.col(f"_{n}"), "$", "string").alias("text"),
+            ).alias(f"_{n}")
+            for n in names
+        ],
+    )
 
 
-def _string(body: Column, field: str) -> Column:
-    return F.try_variant_get(body, f"$.{field}", "string")
+def _is_number(field: Column) -> Column:
+    kind = field["kind"]
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
-def _is_number(kind: Column) -> Column:
-    return (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+def _truncated(field: Column) -> Column:
+    """Integer part of a number."""
+    text = field["text"]
+    return F.coalesce(text.try_cast("bigint"), F.floor(text.try_cast("double")).cast("bigint"))
 
 
-def _whole(body: Column, field: str, kind: Column) -> Column:
+def _whole(field: Column) -> Column:
     """Integer value of a field given as a whole number or as digits, else null."""
-    number = F.try_variant_get(body, f"$.{field}", "double")
-    whole = F.when(number == F.floor(number), F.try_variant_get(body, f"$.{field}", "bigint"))
-    return F.when(_is_number(kind), whole).when(
-        kind == "STRING", strip(_string(body, field)).try_cast("bigint")
+    text = field["text"]
+    double = text.try_cast("double")
+    number = F.coalesce(
+        text.try_cast("bigint"), F.when(double == F.floor(double), double.try_cast("bigint"))
+    )
+    return F.when(_is_number(field), number).when(
+        field["kind"] == "STRING", strip(text).try_cast("bigint")
     )
 
 
-def _identifier(body: Column, field: str, kind: Column) -> Column:
+def _identifier(field: Column) -> Column:
     """Text of an id given as a string or a whole number, else null."""
-    return F.when(kind == "STRING", _string(body, field)).when(
-        _is_number(kind), _whole(body, field, kind).cast("string")
+    return F.when(field["kind"] == "STRING", field["text"]).when(
+        _is_number(field), _whole(field).cast("string")
     )
 
 
+REQUIRED = ["chunk", "chunk_id", "doc_id", "chunk_len", "embedding"]
+
+
 def validate_embedded(messages: DataFrame) -> DataFrame:
     """Check embedded chunks: the five fields, ``value`` and ``reason``.
 
     ``reason`` is null for good rows. All five fields are required; chunk must be
     text, the ids text or whole numbers, chunk_len a whole number, embedding a
-    list of numbers.
+    list of numbers. The counts are observed as ``index_run``.
     """
-    parsed = messages.select("value", _body(F.col("value")).alias("_body"))
-    body = F.col("_body")
-    chunk_kind = _kind(body, "chunk")
+    parsed = _fields(messages, ["chunk", "chunk_id", "doc_id", "chunk_len"])
+    body, chunk = F.col("_body"), F.col("_chunk")
     vector = F.try_variant_get(body, "$.embedding", "array<double>")
-    fields = parsed.select(
+    typed = parsed.select(
         "value",
         (body.isNull() | F.is_variant_null(body)).alias("_broken"),
-        F.when(chunk_kind == "STRING", _string(body, "chunk")).alias("chunk"),
-        _identifier(body, "chunk_id", _kind(body, "chunk_id")).alias("chunk_id"),
-        _identifier(body, "doc_id", _kind(body, "doc_id")).alias("doc_id"),
-        _whole(body, "chunk_len", _kind(body, "chunk_len")).try_cast("int").alias("chunk_len"),
-        F.when(~F.exists(vector, lambda x: x.isNull()), vector)
-        .cast("array<float>")
-        .alias("embedding"),
+        F.when(chunk["kind"] == "STRING", chunk["text"]).alias("chunk"),
+        _identifier(F.col("_chunk_id")).alias("chunk_id"),
+        _identifier(F.col("_doc_id")).alias("doc_id"),
+        _whole(F.col("_chunk_len")).try_cast("int").alias("chunk_len"),
+        vector.cast("array<float>").alias("embedding"),
+    )
+    incomplete = F.exists("embedding", lambda x: x.isNull())
+    for name in REQUIRED:
+        incomplete = incomplete | F.col(name).isNull()
+    reason = F.when(F.col("_broken"), INVALID_JSON).when(incomplete, SCHEMA_FAILED)
+    checked = typed.select("value", *REQUIRED, reason.alias("reason"))
+    # Besides counting, observing keeps a later filter on ``reason`` from being
+    # pushed below, where every message would be parsed twice.
+    return checked.observe(
+        "index_run",
+        F.count_if(F.col("reason").isNull()).alias("accepted"),
+        F.count("reason").alias("dead_lettered"),
     )
-    required = ["chunk", "chunk_id", "doc_id", "chunk_len", "embedding"]
-    complete = F.lit(True)
-    for name in required:
-        complete = complete & F.col(name).isNotNull()
-    reason = F.when(F.col("_broken"), INVALID_JSON).when(~complete, SCHEMA_FAILED)
-    return fields.select("value", *required, reason.alias("reason"))
 
 
 def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = True) -> DataFrame:
@@ -82,49 +112,61 @@ def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = Tru
     Text is the first non-empty of chunk and text; the id is chunk_id or else id;
     chunk_len defaults to the text's length. ``has_text`` and ``has_ids`` tell
     which rows are embedded and published; the others are dropped, not rejected.
+    The counts are observed as ``embed_run``.
     """
-    parsed = messages.select("value", _body(F.col("value")).alias("_body"))
+    names = ["chunk", "text", "chunk_id", "id", "doc_id", "chunk_len"]
+    parsed = _fields(messages, names)
     body = F.col("_body")
 
     def text(field):
-        return F.when(_kind(body, field) == "STRING", F.nullif(_string(body, field), F.lit("")))
-
-    def whole_text(field):
-        kind = _kind(body, field)
-        cut = F.try_variant_get(body, f"$.{field}", "bigint").cast("string")
-        return F.when(kind == "STRING", _string(body, field)).when(_is_number(kind), cut)
-
-    given_id = whole_text("chunk_id")
-    empty_id = (given_id == "") | (_is_number(_kind(body, "chunk_id")) & (given_id == "0"))
-    doc_id = whole_text("doc_id")
-    size_kind = _kind(body, "chunk_len")
-    size = F.when(
-        _is_number(size_kind), F.try_variant_get(body, "$.chunk_len", "bigint")
-    ).when(size_kind == "STRING", strip(_string(body, "chunk_len")).try_cast("bigint"))
-    bad_size = (size_kind != "VOID") & size.isNull() & (_string(body, "chunk_len") != "")
-    fields = parsed.select(
+        return F.when((field["kind"] == "STRING") & (field["text"] != ""), field["text"])
+
+    def id_text(field):
+        return F.when(field["kind"] == "STRING", field["text"]).when(
+            _is_number(field), _truncated(field).cast("string")
+        )
+
+    first_id, size = F.col("_chunk_id"), F.col("_chunk_len")
+    empty_id = (first_id["text"] == "") | (
+        _is_number(first_id) & (first_id["text"].try_cast("double") == 0)
+    )
+    doc_id = id_text(F.col("_doc_id"))
+    typed = parsed.select(
         "value",
-        F.schema_of_variant(body).alias("_type"),
-        F.coalesce(text("chunk"), text("text")).alias("chunk"),
-        F.coalesce(F.when(~empty_id, given_id), whole_text("id")).alias("chunk_id"),
+        (body.isNull() | F.is_variant_null(body)).alias("_broken"),
+        F.try_variant_get(body, "$", "map<string,variant>").isNotNull().alias("_object"),
+        F.coalesce(text(F.col("_chunk")), text(F.col("_text"))).alias("chunk"),
+        F.coalesce(F.when(~empty_id, id_text(first_id)), id_text(F.col("_id"))).alias("chunk_id"),
         (normalize_doc_id(doc_id) if normalize_numeric_ids else doc_id).alias("doc_id"),
-        size.alias("_size"),
-        F.coalesce(bad_size, F.lit(False)).alias("_bad_size"),
+        F.when(_is_number(size), _truncated(size))
+        .when(size["kind"] == "STRING", strip(size["text"]).try_cast("bigint"))
+        .alias("_size"),
+        ((size["kind"] != "VOID") & (size["text"] != "")).alias("_sized"),
     )
-    broken = F.col("_type").isNull() | (F.col("_type") == "VOID")
-    malformed = ~F.col("_type").startswith("OBJECT") | F.col("_bad_size")
-    has_ids = F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull()
-    reason = F.when(broken, INVALID_JSON).when(malformed, SCHEMA_FAILED)
-    usable = reason.isNull() & F.col("chunk").isNotNull()
-    return fields.select(
+    bad_size = F.coalesce(F.col("_sized"), F.lit(False)) & F.col("_size").isNull()
+    reason = F.when(F.col("_broken"), INVALID_JSON).when(
+        ~F.col("_object") | bad_size, SCHEMA_FAILED
+    )
+    judged = typed.withColumn("reason", reason).withColumn(
+        "has_text", F.col("reason").isNull() & F.col("chunk").isNotNull()
+    )
+    prepared = judged.select(
         "value",
         "chunk",
         "chunk_id",
         "doc_id",
         F.coalesce(F.nullif("_size", F.lit(0)), F.length("chunk")).cast("int").alias("chunk_len"),
-        usable.alias("has_text"),
-        (usable & has_ids).alias("has_ids"),
-        reason.alias("reason"),
+        "has_text",
+        (F.col("has_text") & F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull()).alias(
+            "has_ids"
+        ),
+        "reason",
+    )
+    return prepared.observe(
+        "embed_run",
+        F.count_if("has_text").alias("processed"),
+        F.count_if("has_ids").alias("chunks_count"),
+        F.count("reason").alias("dead_lettered"),
     )
 
 

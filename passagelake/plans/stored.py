@@ -8,7 +8,7 @@ from passagelake.functions.embed import HashingEmbedder, embed_column
 from passagelake.operators.centroids import group_centroids
 from passagelake.plans.catalog import query, table
 from passagelake.plans.passages import DOCUMENTS_SQL, LINES, chunk_sql, document_chunks
-from passagelake.session import scratch_folder
+from passagelake.session import reliable, scratch_folder
 from passagelake.sources.index_store import (
     VectorIndex,
     build_index,
@@ -77,7 +77,7 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_centroids(embedded: DataFrame) -> DataFrame:
     numbered = embedded.withColumn("source_no", F.substring("source_file", 4, 9).cast("int"))
-    return group_centroids(numbered, "source_no")
+    return reliable(group_centroids(numbered, "source_no"))
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> VectorIndex:

@@ -21,6 +21,7 @@ from passagelake.operators.search import (
     shard_topk as search_shards,
 )
 from passagelake.plans.catalog import query, table
+from passagelake.session import reliable
 from passagelake.sources.index_store import index_summary as summarize, shard_metadata as describe
 
 
@@ -32,11 +33,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector per label: centroids that SQL can compute as well."""
-    return group_centroids(vectors(spark, sf_dir), "topic")
+    return reliable(group_centroids(vectors(spark, sf_dir), "topic"))
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_nearest(vectors(spark, sf_dir), centroids(spark, sf_dir))
+def assigned(spark: SparkSession, sf_dir: str, centres: DataFrame | None = None) -> DataFrame:
+    centres = centroids(spark, sf_dir) if centres is None else centres
+    return assign_nearest(vectors(spark, sf_dir), centres)
 
 
 def mean_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mean_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn(
         "query_id", F.concat_ws("-", "topic", F.substring(F.md5("chunk_id"), 1, 1))
     )
-    means = group_centroids(rows, "query_id")
+    means = reliable(group_centroids(rows, "query_id"))
     return means.select(F.col("centroid_idx").alias("query_id"), F.col("centroid").alias("embedding"))
 
 
@@ -132,9 +134,8 @@ def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
     SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")
 def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search_vectors(
-        mean_queries(spark, sf_dir), assigned(spark, sf_dir), centroids(spark, sf_dir)
-    )
+    centres = centroids(spark, sf_dir)
+    found = search_vectors(mean_queries(spark, sf_dir), assigned(spark, sf_dir, centres), centres)
     return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
 
 
@@ -142,9 +143,8 @@ def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         PARTITION BY query_id, centroid_idx ORDER BY score DESC, chunk_id) AS rank FROM scored)
     SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 5""")
 def shard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search_shards(
-        mean_queries(spark, sf_dir), assigned(spark, sf_dir), centroids(spark, sf_dir)
-    )
+    centres = centroids(spark, sf_dir)
+    found = search_shards(mean_queries(spark, sf_dir), assigned(spark, sf_dir, centres), centres)
     return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
 
 
@@ -173,7 +173,7 @@ def kmeans_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(recall), 6) AS recall FROM per_query""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, centres = mean_queries(spark, sf_dir), centroids(spark, sf_dir)
-    shards = assigned(spark, sf_dir)
+    shards = assigned(spark, sf_dir, centres)
     routed = search_vectors(asked, shards, centres)
     exact = search_vectors(asked, shards, centres, nprobe=1_000_000)
     return recall(routed, exact).select("queries", F.round("recall", 6).alias("recall"))
@@ -206,7 +206,8 @@ def shard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
       'base/shards/shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') || '/vectors' AS vectors_path,
       'v1' AS version FROM a GROUP BY centroid_idx""")
 def shard_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    described = describe(assigned(spark, sf_dir), centroids(spark, sf_dir), base_path="base/")
+    centres = centroids(spark, sf_dir)
+    described = describe(assigned(spark, sf_dir, centres), centres, base_path="base/")
     return described.select(
         "shard_id",
         F.col("centroid_index").cast("bigint").alias("centroid_index"),
@@ -223,7 +224,8 @@ def shard_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
       string_agg('shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') || '=' || n, ','
         ORDER BY centroid_idx) AS shards FROM s""")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    described = describe(assigned(spark, sf_dir), centroids(spark, sf_dir), base_path="base")
+    centres = centroids(spark, sf_dir)
+    described = describe(assigned(spark, sf_dir, centres), centres, base_path="base")
     entry = lambda s: F.concat(s["shard_id"], F.lit("="), s["num_vectors"])
     return summarize(described).select(
         "status", "num_shards", F.array_join(F.transform("shards", entry), ",").alias("shards")

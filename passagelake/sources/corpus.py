@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from passagelake.functions.text import WHITESPACE, is_blank
+from passagelake.functions.text import is_blank
 from passagelake.operators.sampling import sample_rows
 from passagelake.schemas import RAW_DOCUMENT
 from passagelake.session import reliable
@@ -66,17 +66,28 @@ def number_lines(lines: DataFrame, splittable: bool = False) -> DataFrame:
     def count(batches):
         current, seen = None, 0
         for batch in batches:
-            files = batch.column("source_file").to_pylist()
-            blocks = batch.column("block_start").to_pylist()
-            blank = pc.equal(pc.utf8_trim(batch.column("value"), WHITESPACE), "").to_pylist()
-            numbers = []
-            for file, block, empty in zip(files, blocks, blank):
-                if (file, block) != current:
-                    current, seen = (file, block), 0
-                numbers.append(seen)
-                seen += bool(seen or block or not empty)
+            files = batch.column("source_file").dictionary_encode()
+            codes = files.indices.to_numpy()
+            blocks = batch.column("block_start").to_numpy()
+            changes = (np.diff(codes) != 0) | (np.diff(blocks) != 0)
+            edges = [0, *(np.nonzero(changes)[0] + 1), len(codes)]
+            numbers = np.empty(len(codes), dtype=np.int64)
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                key = (files.dictionary[codes[start]].as_py(), int(blocks[start]))
+                if key != current:
+                    current, seen = key, 0
+                text = start
+                if not seen and not key[1]:
+                    # Blank lines before the first text of a file have no number.
+                    while text < end and not batch.column("value")[text].as_py().strip():
+                        text += 1
+                    numbers[start:text] = 0
+                numbers[text:end] = np.arange(seen, seen + end - text)
+                seen += end - text
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers, pa.int64())], schema=fields
+                [*batch.columns, pa.array(numbers)], schema=fields
             )
 
     ddl = f"{lines.schema.toDDL()}, line_num bigint"

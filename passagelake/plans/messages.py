@@ -10,7 +10,7 @@ from passagelake.operators.validation import (
     prepare_for_embedding,
     validate_embedded,
 )
-from passagelake.plans.catalog import query, table
+from passagelake.plans.catalog import query, table, text_table
 from passagelake.sources.topics import topic_statistics as statistics
 
 # Embedded chunks made from the embeddings table. The label decides what is wrong:
@@ -50,7 +50,7 @@ def embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(label == 6, F.concat(F.lit("["), vec_id, F.lit("]")))
         .otherwise(F.concat(F.lit("{"), body, F.lit("}")))
     )
-    return table(spark, sf_dir, "embeddings").select(value.alias("value"), "label")
+    return text_table(spark, sf_dir, "embeddings").select(value.alias("value"), "label")
 
 
 VALIDATED_SQL = """WITH checked AS (SELECT vec_id, label, embedding,
@@ -112,7 +112,7 @@ def chunk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(source == "src7", "")
         .otherwise(body)
     )
-    return table(spark, sf_dir, "documents").select(value.alias("value"))
+    return text_table(spark, sf_dir, "documents").select(value.alias("value"))
 
 
 @query("""SELECT 'c' || doc_id AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id,

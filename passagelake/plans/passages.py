@@ -8,7 +8,7 @@ from passagelake.functions.ids import normalize_doc_id, preview
 from passagelake.functions.text import BLANK_LINES, LINE_ENDS, paragraphs, word_count
 from passagelake.operators.chunking import chunk_documents as cut
 from passagelake.operators.reports import chunk_counts
-from passagelake.plans.catalog import query, table
+from passagelake.plans.catalog import query, table, text_table
 from passagelake.session import scratch_folder
 from passagelake.sources.corpus import (
     fetch_summary,
@@ -62,7 +62,7 @@ BLANKS = "\\n\\s*\\n"
 
 def document_chunks(spark: SparkSession, sf_dir: str, separator: str = LINE_ENDS) -> DataFrame:
     """Passages of the documents table; its texts have lines, not blank lines."""
-    return cut(table(spark, sf_dir, "documents"), "doc_id", source_col="source", separator=separator)
+    return cut(text_table(spark, sf_dir, "documents"), "doc_id", source_col="source", separator=separator)
 
 
 def _chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ TURNS_SQL = """SELECT conv_id || '_' || turn AS doc_id, role AS source_file, tex
 
 @query(f"WITH {chunk_sql(TURNS_SQL, LINES)} {CHUNK_ROWS}")
 def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = text_table(spark, sf_dir, "conversations").select(
         F.concat_ws("_", "conv_id", "turn").alias("id"), "text", F.col("role").alias("source_file")
     )
     return _chunk_rows(cut(turns, separator=LINE_ENDS))
@@ -96,7 +96,7 @@ def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {chunk_sql(DOCUMENTS_SQL, LINES)}
     SELECT doc_id, CAST(i - 1 AS BIGINT) AS paragraph, CAST(n AS BIGINT) AS words FROM counted""")
 def paragraph_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select(
+    parts = text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.posexplode(paragraphs(F.col("text"), LINE_ENDS)).alias("paragraph", "p"),
     )
@@ -138,7 +138,7 @@ def parse_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lang == "de", F.concat(F.lit("{"), record))
         .otherwise(record)
     )
-    lines = table(spark, sf_dir, "documents").select(
+    lines = text_table(spark, sf_dir, "documents").select(
         value.alias("value"),
         F.col("source").alias("source_file"),
         F.col("doc_id").alias("line_num"),

@@ -18,6 +18,19 @@ INVALID_JSON = "Invalid JSON"
 BROADCAST_FILES = 200_000
 
 
+def spread_small_input(rows: DataFrame) -> DataFrame:
+    """Redistribute freshly read rows if they came in fewer splits than there are cores.
+
+    A single file or row group would otherwise keep one core busy with all the
+    text work that follows. Input of any size worth a cluster has more splits than
+    cores and passes through without a shuffle. Call it on a scan, before joins.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def read_lines(
     spark: SparkSession,
     paths: str | list[str],
@@ -155,10 +168,10 @@ def read_documents(
     and the whole read then stays on the JVM side.
     """
     lines = read_lines(spark, paths, first_file, end_file)
+    line_num = None
     if number_missing_ids:
-        documents = parse_documents(number_lines(lines, splittable), F.col("line_num"))
-    else:
-        documents = parse_documents(lines)
+        lines, line_num = number_lines(lines, splittable), F.col("line_num")
+    documents = parse_documents(spread_small_input(lines), line_num)
     usable = F.col("reason").isNull() & (F.col("text") != "")
     return documents.where(usable).select("id", "text", "source_file")
 

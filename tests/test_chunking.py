@@ -1,0 +1,99 @@
+import random
+import re
+
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from passagelake.functions.text import LINE_ENDS, WHITESPACE, is_blank, strip, word_count
+from passagelake.operators.chunking import chunk_documents
+
+
+def expected(text, limit):
+    """The packing rule stated the plain way."""
+    packed, size = [], 0
+    for part in re.split(r"\n\s*\n", text):
+        words = part.split()
+        if not words:
+            continue
+        if packed and size + len(words) <= limit:
+            packed[-1].append(part.strip())
+            size += len(words)
+        else:
+            packed.append([part.strip()])
+            size = len(words)
+    return ["\n\n".join(p) for p in packed]
+
+
+def run(spark, texts, limit):
+    rows = [(str(i), t, "f") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id string, text string, source_file string")
+    found = {}
+    for r in chunk_documents(frame, max_words=limit).collect():
+        assert r.chunk_len == len(r.chunk) and r.source_file == "f" and r.created_at
+        place = int(r.chunk_id.removeprefix(f"{r.doc_id}_chunk_"))
+        found.setdefault(r.doc_id, {})[place] = r.chunk
+    return [[d[i] for i in sorted(d)] for d in (found.get(str(i), {}) for i in range(len(texts)))]
+
+
+EDGES = [
+    "",
+    " ",
+    "\n\n\n",
+    "one",
+    "a b c\n\nd e f",
+    "a b\n \t\nc d\n\n\n\ne",
+    "a\nb\nc\n\nd",
+    "w " * 12 + "\n\nx\n\n" + "y " * 9,
+    "a b\n　\nc d",
+    " a\n\x1c\nb\x85",
+    "  lead\n\ntrail  ",
+    "a\r\n\r\nb\r\n",
+    "é è\n\nü",
+    "x\n\n" * 50,
+    " " * 3000 + "a" + " " * 3000 + "\n\nb",
+]
+
+
+def test_edge_cases(spark):
+    for limit in (1, 3, 5, 300):
+        assert run(spark, EDGES, limit) == [expected(t, limit) for t in EDGES]
+
+
+def test_random_documents(spark):
+    rng = random.Random(7)
+    pieces = ["w", "word", " ", "\n", "\n\n", "\n \n", "\t", " ", "é", "\x1f", "."]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 120))) for _ in range(1500)]
+    assert run(spark, texts, 8) == [expected(t, 8) for t in texts]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.text(alphabet="ab \n\t　\x85", max_size=60), min_size=1, max_size=40),
+    st.integers(1, 6),
+)
+def test_nothing_lost_and_limit_kept(spark, texts, limit):
+    for text, chunks in zip(texts, run(spark, texts, limit)):
+        assert " ".join(" ".join(chunks).split()) == " ".join(text.split())
+        for chunk in chunks:
+            parts = re.split(r"\n\s*\n", chunk)
+            assert len(chunk.split()) <= limit or len(parts) == 1
+
+
+def test_whitespace_is_python_whitespace(spark):
+    assert set(WHITESPACE) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    texts = [f"{c}a{c}b{c}" for c in WHITESPACE] + ["a​b", "", "᠎"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select(
+        "t",
+        strip(F.col("t")).alias("s"),
+        word_count(F.col("t")).alias("n"),
+        is_blank(F.col("t")).alias("b"),
+    )
+    for r in got.collect():
+        assert (r.s, r.n, r.b) == (r.t.strip(), len(r.t.split()), not r.t.strip())
+
+
+def test_lines_as_paragraphs(spark):
+    frame = spark.createDataFrame([("d", "a b\nc\n\nd e f\n", "f")], "id string, text string, source_file string")
+    rows = chunk_documents(frame, max_words=3, separator=LINE_ENDS).collect()
+    assert [r.chunk for r in rows] == ["a b\n\nc", "d e f"]

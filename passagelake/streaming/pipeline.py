@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagelake.functions.embed import HashingEmbedder, embed_column
+from passagelake.operators.centroids import centroid_matrix, dimension_rejects
 from passagelake.operators.validation import (
     dead_letters,
     prepare_for_embedding,
@@ -74,14 +75,20 @@ def index_topic(
     max_files_per_trigger: int = 64,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Append a topic of embedded chunks to an index, as new batches of its shards."""
+    """Append a topic of embedded chunks to an index, as new batches of its shards.
+
+    Messages that fail validation, or whose vector does not fit the centroids, are
+    set aside with the reason.
+    """
+    dim = centroid_matrix(index.centroids())[1].shape[1]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         checked = validate_embedded(batch).persist()
         try:
-            good = checked.where(F.col("reason").isNull()).drop("value", "reason")
+            good = checked.where(F.col("reason").isNull()).drop("reason")
             append_vectors(good, index, batch_id + 1)
-            rejected = dead_letters(checked)
+            unfit = dimension_rejects(good, dim).select("value", "reason")
+            rejected = dead_letters(checked).unionByName(unfit)
             rejected.write.mode("overwrite").parquet(f"{dead_letter_folder}/batch={batch_id}")
         finally:
             checked.unpersist()

@@ -31,7 +31,7 @@ def test_prompts_answers_and_fallback(spark):
     found = {r.query_id: r for r in with_fallback(kept, answers).collect()}
     assert found[5].final_answer == FALLBACK_ANSWER and len(found[5].results) == 1
     assert found[4].final_answer == NO_ANSWER and found[4].results == ["only"]
-    assert found[3].final_answer == "d?" and found[3].results == []
+    assert found[3].final_answer == "nd?" and found[3].results == []
 
 
 def test_retention(spark):

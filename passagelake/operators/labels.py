@@ -6,8 +6,11 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from passagelake.session import shuffle_partitions
+
 ROWS_PER_BIN = 50_000
 MAX_DIGITS = 6
+MAX_PARTITIONS = 200_000
 
 
 def dense_labels(
@@ -32,11 +35,16 @@ def dense_labels(
         digits = min(MAX_DIGITS, math.ceil(math.log(total / rows_per_bin, 16)))
     hashed = rows.withColumn("_hash", F.md5(F.col(key_col).cast("string")))
     binned = hashed.withColumn("_bin", F.substring("_hash", 1, digits) if digits else F.lit(""))
+    counted = binned
+    partitions = total // rows_per_bin
+    if partitions > shuffle_partitions(rows.sparkSession):
+        # More rows than the session's setting is meant for: size the one shuffle.
+        binned = binned.repartition(min(partitions, MAX_PARTITIONS), group_col, "_bin")
     before = Window.partitionBy(group_col).orderBy("_bin").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        binned.groupBy(group_col, "_bin")
+        counted.groupBy(group_col, "_bin")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(group_col, "_bin", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     )

@@ -22,6 +22,8 @@ METRICS = ("inner", "cosine", "l2")
 BROADCAST_NUMBERS = 16 * 1024 * 1024
 BROADCAST_QUERIES = 100_000
 BROADCAST_RESULTS = 300_000
+# Results up to this many are looked up by literal conditions.
+LOOKUP_RESULTS = 200
 # Largest score block held at once inside a task.
 BLOCK_NUMBERS = 1024 * 1024
 # Vectors and queries that meet in one task of the joined form.
@@ -308,13 +310,43 @@ def attach_passages(hits: DataFrame, id_map: DataFrame, few: bool = False) -> Da
     return found.join(F.broadcast(hits) if few else hits, keys, "inner")
 
 
+def _only_pages_with(id_map: DataFrame, hits: DataFrame) -> DataFrame:
+    """Narrow an id map to the (shard, label) pairs of a few stored hits.
+
+    Within a file rows are sorted by label, so these literal conditions let the
+    parquet reader skip all text pages but those of the winners.
+    """
+    shards: dict[int, list[int]] = {}
+    for row in hits.select("centroid_idx", "label").distinct().collect():
+        shards.setdefault(row.centroid_idx, []).append(row.label)
+    tests = [
+        (F.col("centroid_idx") == shard) & (F.col("label") == label)
+        for shard, labels in sorted(shards.items())
+        for label in sorted(labels)
+    ]
+    while len(tests) > 1:
+        tests = [
+            tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i]
+            for i in range(0, len(tests), 2)
+        ]
+    return id_map.where(tests[0] if tests else F.lit(False))
+
+
 def search_passages(
     queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = TOP_K, **options
 ) -> DataFrame:
-    """Result rows: query_id, rank, chunk_id, doc_id, score, text, metadata."""
+    """Result rows: query_id, rank, chunk_id, doc_id, score, text, metadata.
+
+    A handful of queries is searched at once and their texts are looked up by
+    label; for more, hits and texts are joined.
+    """
     hits, asked = candidate_hits(queries, vectors, centroids, k, **options)
+    hits, id_map = rank_hits(hits, k), vectors
     few = asked is not None and asked * k <= BROADCAST_RESULTS
-    rows = attach_passages(rank_hits(hits, k), vectors, few)
+    if few and asked * k <= LOOKUP_RESULTS and "label" in vectors.columns:
+        hits = reliable(hits)
+        id_map = _only_pages_with(vectors, hits)
+    rows = attach_passages(hits, id_map, few)
     label = F.col("label") if "label" in rows.columns else F.lit(None).cast("bigint")
     return rows.select(
         "query_id",

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from passagelake.functions.embed import HashingEmbedder, embed_column
 from passagelake.operators.centroids import group_centroids
 from passagelake.plans.catalog import query, table
+from passagelake.plans.messages import embedded_messages
 from passagelake.plans.passages import DOCUMENTS_SQL, LINES, chunk_sql, document_chunks
+from passagelake.plans.vectors import PARTS_SQL, centroids
 from passagelake.session import reliable, scratch_folder
 from passagelake.sources.index_store import (
     VectorIndex,
     build_index,
+    build_index_from_topic,
     create_empty_index,
     open_index,
     write_centroids,
@@ -179,3 +182,19 @@ def stream_embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/index-checkpoint",
     ).awaitTermination()
     return _shard_rows(index.vectors())
+
+
+# Messages of the embeddings table, some of them broken (see the message queries).
+@query(f"""WITH {PARTS_SQL} SELECT 'shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') AS shard_id,
+      CAST(count(*) AS BIGINT) AS num_vectors FROM a JOIN v USING (chunk_id)
+    WHERE topic IN (7, 8, 9) GROUP BY centroid_idx""")
+def topic_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drain a topic of embedded chunks, bad ones among them, into an index."""
+    folder = scratch_folder(spark, "topic")
+    publish(embedded_messages(spark, sf_dir), f"{folder}/upload-index")
+    build_index_from_topic(
+        spark, f"{folder}/upload-index", f"{folder}/index", centroids=centroids(spark, sf_dir)
+    )
+    return open_index(spark, f"{folder}/index").shard_sizes().select(
+        F.format_string("shard_%03d", "centroid_idx").alias("shard_id"), "num_vectors"
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_base(spark: SparkSession) -> str:
@@ -27,7 +27,32 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def reliable(df):
-    """Cut the lineage with a checkpoint in the shared folder."""
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint()
+def reliable(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a table in the shared folder and go on from there.
+
+    The result no longer depends on what came before, so losing executors later
+    costs a read and not a recomputation, and every reader sees the same rows.
+    """
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def recommended_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Session settings for an input of this size: about 128 MB per shuffle partition.
+
+    Adaptive execution merges partitions that turn out small and splits skewed
+    joins, so erring high is cheap.
+    """
+    partitions = max(2 * cores, min(200_000, input_bytes // (128 * 1024**2)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024**2 if input_bytes > 1024**4 else 128 * 1024**2),
+        "spark.sql.session.timeZone": "UTC",
+    }

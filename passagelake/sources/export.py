@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Fixed value: records per exported shard.
 CHUNK_SIZE = 10_000
 
+MAX_PARTITIONS = 200_000
+
 
 def shard_file_name(shard: Column, split: str) -> Column:
     return F.format_string("%s-%05d", F.lit(split), shard)
@@ -40,9 +42,11 @@ def export_documents(
     hot. Writing again replaces the earlier export.
     """
     planned = plan_shards(rows, chunk_size, max_chunks)
+    last = planned.agg(F.max("shard")).first()[0]
+    tasks = min(MAX_PARTITIONS, 1 + (last or 0))
     (
         planned.withColumn("shard_name", shard_file_name(F.col("shard"), split))
-        .repartition("shard_name")
+        .repartition(tasks, "shard_name")
         .sortWithinPartitions("shard_name", "position")
         .drop("shard", "position")
         .write.mode("overwrite")

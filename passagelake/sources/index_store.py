@@ -4,6 +4,7 @@ Layout below the index path::
 
     centroids/index_version=V/
     vectors/index_version=V/batch_id=B/centroid_idx=C/
+    shard_counts/index_version=V/batch_id=B/
     shard_metadata/index_version=V/
     index_metadata/                     one row per finished version
 
@@ -22,7 +23,10 @@ from passagelake.functions.ids import object_path, shard_name
 from passagelake.operators.centroids import assign_nearest, train_centroids
 from passagelake.operators.labels import dense_labels
 from passagelake.operators.search import search_passages
+from passagelake.operators.validation import validate_embedded
 from passagelake.schemas import CENTROIDS, INDEX_METADATA, VECTORS
+from passagelake.session import reliable
+from passagelake.sources.topics import receive
 
 # Layout names and limits of the index.
 SHARD_PREFIX = "shard_"
@@ -95,15 +99,22 @@ def write_vectors(
 
     The rows arrive clustered by (shard, bin) from the labelling, so writing needs
     no shuffle of its own, and a hot shard is written by as many tasks as it has
-    bins. Writing a batch again replaces it.
+    bins. Writing a batch again replaces it. The batch's rows per shard are noted
+    beside it, so that nobody has to count all batches again.
     """
+    batch = f"index_version={version}/batch_id={batch_id}"
     (
         labelled.sortWithinPartitions("centroid_idx", "label")
         .write.mode("overwrite")
         .partitionBy("centroid_idx")
         .option("maxRecordsPerFile", max_shard_size)
-        .parquet(f"{path}/vectors/index_version={version}/batch_id={batch_id}")
+        .parquet(f"{path}/vectors/{batch}")
     )
+    written = _read(
+        labelled.sparkSession, f"{path}/vectors/{batch}", f"{VECTORS}, centroid_idx int"
+    )
+    counts = written.groupBy("centroid_idx").agg(F.count(F.lit(1)).alias("num_vectors"))
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/shard_counts/{batch}")
 
 
 def shard_metadata(
@@ -180,7 +191,19 @@ class VectorIndex:
         )
         return rows if shards is None else rows.where(F.col("centroid_idx").isin(shards))
 
+    def shard_sizes(self, before_batch: int | None = None) -> DataFrame:
+        """Vectors per shard, over all batches or those before one."""
+        counts = _read(
+            self.spark,
+            f"{self.path}/shard_counts/index_version={self.version}",
+            "num_vectors bigint, centroid_idx int, batch_id bigint",
+        )
+        if before_batch is not None:
+            counts = counts.where(F.col("batch_id") < before_batch)
+        return counts.groupBy("centroid_idx").agg(F.sum("num_vectors").alias("num_vectors"))
+
     def shard_metadata(self) -> DataFrame:
+        """The shards as built; ``shard_sizes`` includes what was appended since."""
         return self.spark.read.parquet(f"{self.path}/shard_metadata/index_version={self.version}")
 
     def search(self, queries: DataFrame, k: int = 3, nprobe: int = 3, **options) -> DataFrame:
@@ -243,6 +266,21 @@ def build_index(
     return index_summary(index.shard_metadata())
 
 
+def build_index_from_topic(
+    spark: SparkSession, topic: str, path: str, max_messages: int | None = None, **options
+) -> DataFrame:
+    """Drain a topic of embedded chunks into a new version of an index.
+
+    At most ``max_messages`` good messages are used, all without it. They are
+    validated once and kept as a table, which training and labelling then read.
+    """
+    good = validate_embedded(receive(spark, topic)).where(F.col("reason").isNull())
+    good = good.drop("value", "reason")
+    if max_messages is not None:
+        good = good.limit(max(0, max_messages))
+    return build_index(reliable(good), path, **options)
+
+
 def append_vectors(embedded: DataFrame, index: VectorIndex, batch_id: int) -> None:
     """Append a batch to the shards of an index, continuing their labels.
 
@@ -251,12 +289,7 @@ def append_vectors(embedded: DataFrame, index: VectorIndex, batch_id: int) -> No
     """
     if batch_id < 1:
         raise ValueError("batch 0 is the build itself")
-    earlier = (
-        index.vectors()
-        .where(F.col("batch_id") < batch_id)
-        .groupBy("centroid_idx")
-        .agg(F.count(F.lit(1)).alias("_before"))
-    )
+    earlier = index.shard_sizes(batch_id).withColumnRenamed("num_vectors", "_before")
     assigned = assign_nearest(
         embedded.select("chunk", "chunk_id", "doc_id", "chunk_len", "embedding"), index.centroids()
     ).drop("centroid_distance")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagelake.operators.search import search_passages
+from passagelake.operators.search import search_passages, search_vectors
 from passagelake.sources.index_store import (
     append_vectors,
     build_index,
@@ -63,14 +63,30 @@ def test_only_routed_shards_and_needed_columns_are_read(spark, tmp_path):
     path = str(tmp_path / "index")
     build_index(passages(spark, POINTS), path, num_centroids=6)
     index = open_index(spark, path)
-    plan = index.search(asked(spark).limit(1), nprobe=2)._jdf.queryExecution().executedPlan().toString()
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    scored = [s for s in scans if "embedding" in s.split("ReadSchema")[1]]
-    assert scored and all("chunk:string" not in s.split("ReadSchema")[1] for s in scored)
-    assert all("centroid_idx" in s.split("PartitionFilters")[1].split("PushedFilters")[0] for s in scans)
+    def scans(frame):
+        spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+        try:
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.maxMetadataStringLength")
+        return [line for line in plan.splitlines() if "FileScan" in line and f"{path}/" in line]
+
+    one = asked(spark).limit(1)
+    (scan,) = scans(search_vectors(one, index.vectors(), index.centroids(), nprobe=2))
+    assert "embedding:array" in scan
+    assert "chunk:string" not in scan.split("ReadSchema")[1]
+    assert "centroid_idx" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    (texts,) = scans(index.search(one, nprobe=2))
+    assert "chunk:string" in texts and "embedding" not in texts.split("ReadSchema")[1]
+    assert "centroid_idx" in texts.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "EqualTo(label" in texts.split("PushedFilters")[1]
     files = index.vectors([0, 1]).inputFiles()
     assert index.vectors([0, 1]).select("centroid_idx").distinct().count() == 2 and files
     assert index.vectors([77]).count() == 0
+    many = index.search(asked(spark), k=30, nprobe=2)
+    assert many.where("rank <= 3").select("query_id", "rank", "text").exceptAll(
+        index.search(asked(spark), k=3, nprobe=2).select("query_id", "rank", "text")
+    ).count() == 0
 
 
 def test_hot_shard_is_written_by_many_tasks(spark, tmp_path):
@@ -112,6 +128,8 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
         F.count("*").alias("n"), F.max("label").alias("m"), F.count_distinct("label").alias("d")
     )
     assert all(r.m == r.n - 1 and r.d == r.n for r in labels.collect())
+    sizes = {r.centroid_idx: r.num_vectors for r in index.shard_sizes().collect()}
+    assert sizes == {r.centroid_idx: r.n for r in labels.collect()}
     with pytest.raises(ValueError):
         append_vectors(more, index, 0)
 
@@ -146,3 +164,17 @@ def test_centroids_are_kept_when_none_are_given(spark, tmp_path):
     assert index.centroids().count() == 3
     found = search_passages(asked(spark), index.vectors(), index.centroids())
     assert found.count() == 0
+
+
+def test_index_from_a_topic(spark, tmp_path):
+    from passagelake.sources.index_store import build_index_from_topic
+    from passagelake.sources.topics import EMBEDDED_FIELDS, publish, to_messages
+
+    topic = str(tmp_path / "topic")
+    publish(to_messages(passages(spark, POINTS), EMBEDDED_FIELDS), topic)
+    publish(spark.createDataFrame([("{",), ("[]",)], "value string"), topic)
+    build_index_from_topic(spark, topic, str(tmp_path / "all"), num_centroids=5)
+    assert open_index(spark, str(tmp_path / "all")).vectors().count() == 600
+    build_index_from_topic(spark, topic, str(tmp_path / "some"), 100, num_centroids=5)
+    assert open_index(spark, str(tmp_path / "some")).vectors().count() == 100
+    assert build_index_from_topic(spark, topic, str(tmp_path / "no"), 0).first().status == "empty"

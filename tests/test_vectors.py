@@ -145,14 +145,19 @@ def test_labels_are_dense_in_a_hot_group(spark):
 
 
 def test_labels_sort_one_bin_at_a_time(spark):
-    rows = spark.range(20000).selectExpr("cast(id as string) chunk_id", "int(id * 0) centroid_idx")
+    rows = spark.range(20000).selectExpr("cast(id as string) chunk_id", "int(id % 20 = 0) centroid_idx")
     labelled = dense_labels(rows, rows_per_bin=50)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        sizes = labelled.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+        placed = labelled.withColumn("p", F.spark_partition_id()).groupBy("p")
+        sizes = placed.agg(F.count("*").alias("count"), F.max("label")).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 5000
+    # 20000 rows at 50 per bin: 400 partitions, more than the session's 8.
+    assert len(sizes) > 100 and max(r["count"] for r in sizes) < 1000
+    plan = labelled._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange" in line and "400" in line]
+    assert len(wide) == 2
 
 
 def test_column_functions(spark):

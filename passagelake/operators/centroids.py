@@ -88,20 +88,23 @@ def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dimension_rejects(vectors: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:
-    """Rows whose vector is missing or has the wrong number of dimensions."""
-    size = F.size(vector_col)
-    return vectors.where(F.col(vector_col).isNull() | (size != dim)).withColumn(
-        "reason",
-        F.when(F.col(vector_col).isNull(), "Missing embedding").otherwise(
-            "Embedding dimensions do not match centroid dimensions"
-        ),
+    """Rows ``assign_nearest`` leaves out, with the reason."""
+    vector = F.col(vector_col)
+    gaps = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    reason = (
+        F.when(vector.isNull(), "Missing embedding")
+        .when(F.size(vector) != dim, "Embedding dimensions do not match centroid dimensions")
+        .when(gaps, "Embedding has missing numbers")
     )
+    return vectors.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def assign_nearest(
     vectors: DataFrame, centroids: DataFrame, vector_col: str = "embedding"
 ) -> DataFrame:
-    """Add centroid_idx and centroid_distance; rows of the wrong dimension are left out.
+    """Add centroid_idx and centroid_distance to the vectors that fit the centroids.
+
+    ``dimension_rejects`` gives the others: no vector, another dimension, gaps.
 
     The centroids travel to the tasks once, as a matrix, and every batch costs one
     matrix product. No join, no shuffle, no vector x centroid rows.
@@ -132,7 +135,7 @@ def assign_nearest(
     )
     return sized.withColumn("_nearest", assign(vector_col)).select(
         *vectors.columns, "_nearest.centroid_idx", "_nearest.centroid_distance"
-    )
+    ).where(F.col("centroid_idx").isNotNull())
 
 
 def route(

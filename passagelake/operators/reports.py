@@ -51,6 +51,7 @@ def retention_candidates(
 
     ``shards`` has shard_id, bytes and last_used, one row per shard. A shard goes as
     long as those before it have not yet freed the excess; below the limit none goes.
+    The ordering is over shards, which are as many as centroids, not over vectors.
     """
     groups = [group_col] if group_col else []
     oldest = Window.partitionBy(*groups).orderBy("last_used", "shard_id")

@@ -21,7 +21,7 @@ from passagelake.sources.index_store import (
     write_index_metadata,
 )
 from passagelake.sources.topics import CHUNK_FIELDS, publish, to_messages
-from passagelake.streaming.pipeline import embed_topic, index_topic
+from passagelake.streaming.stages import embed_topic, index_topic
 
 MODEL = "hashing-64"
 
@@ -100,7 +100,7 @@ def search_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_index(spark, sf_dir).search(benchmark_queries(spark, sf_dir))
 
 
-@query(f"{CHUNKS_SQL} SELECT chunk_id, CAST(b AS BIGINT) AS dim, round(x, 6) AS number FROM v")
+@query(f"{CHUNKS_SQL} SELECT chunk_id, CAST(b AS BIGINT) AS dim, round(x, 6) + 0.0 AS number FROM v")
 def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = document_chunks(spark, sf_dir)
     vectors = embed_column(F.col("chunk"), HashingEmbedder, MODEL)
@@ -115,7 +115,7 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{SEARCH_SQL} SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, doc_id,
-      round(score, 6) AS score, text FROM results""")
+      round(score, 6) + 0.0 AS score, text FROM results""")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_benchmark(spark, sf_dir).select(
         "query_id",
@@ -157,8 +157,8 @@ def _shard_rows(vectors: DataFrame) -> DataFrame:
 def stream_embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index filled by streams: topic of passages, embed, topic of vectors, append."""
     folder = scratch_folder(spark, "stream")
-    chunks = document_chunks(spark, sf_dir)
-    publish(to_messages(chunks, CHUNK_FIELDS), f"{folder}/ingestion")
+    embedded = embedded_chunks(spark, sf_dir)
+    publish(to_messages(embedded, CHUNK_FIELDS), f"{folder}/ingestion")
     for stream in embed_topic(
         spark,
         f"{folder}/ingestion",
@@ -168,7 +168,7 @@ def stream_embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         model_key=MODEL,
     ):
         stream.awaitTermination()
-    centres = source_centroids(embedded_chunks(spark, sf_dir))
+    centres = source_centroids(embedded)
     path = f"{folder}/index"
     create_empty_index(spark, path)
     write_centroids(spark, path, 1, centres)

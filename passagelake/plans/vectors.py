@@ -76,7 +76,7 @@ EXACT_SQL = f"""exact AS (SELECT query_id, chunk_id, round({SCORE.format(q="q.e"
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
       FROM exact)"""
 WITH = f"WITH {PARTS_SQL}"
-HIT = "query_id, chunk_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank"
+HIT = "query_id, chunk_id, round(score, 6) + 0.0 AS score, CAST(rank AS BIGINT) AS rank"
 
 
 def _hits(found: DataFrame, *more: str) -> DataFrame:
@@ -99,7 +99,7 @@ def sample_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH} SELECT CAST(centroid_idx AS BIGINT) AS centroid_idx, CAST(d - 1 AS BIGINT) AS dim,
-      round(x, 6) AS number FROM cp""")
+      round(x, 6) + 0.0 AS number FROM cp""")
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids(spark, sf_dir).select(
         F.col("centroid_idx").cast("bigint").alias("centroid_idx"),
@@ -108,7 +108,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH} SELECT chunk_id, CAST(centroid_idx AS BIGINT) AS centroid_idx,
-      round(dist, 6) AS centroid_distance FROM a""")
+      round(dist, 6) + 0.0 AS centroid_distance FROM a""")
 def assign_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned(spark, sf_dir).select(
         "chunk_id",
@@ -118,7 +118,7 @@ def assign_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH} SELECT query_id, CAST(probe AS BIGINT) AS probe,
-      CAST(centroid_idx AS BIGINT) AS centroid_idx, round(dist, 6) AS centroid_distance
+      CAST(centroid_idx AS BIGINT) AS centroid_idx, round(dist, 6) + 0.0 AS centroid_distance
     FROM routes WHERE probe <= 3""")
 def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = route(mean_queries(spark, sf_dir), centroids(spark, sf_dir))
@@ -170,7 +170,7 @@ def kmeans_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_query AS (SELECT b.query_id, avg(CASE WHEN f.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) AS recall
       FROM best b LEFT JOIN found f ON b.query_id = f.query_id AND b.chunk_id = f.chunk_id AND f.rank <= 3
       WHERE b.rank <= 3 GROUP BY b.query_id)
-    SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(recall), 6) AS recall FROM per_query""")
+    SELECT CAST(count(*) AS BIGINT) AS queries, round(avg(recall), 6) + 0.0 AS recall FROM per_query""")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, centres = mean_queries(spark, sf_dir), centroids(spark, sf_dir)
     shards = assigned(spark, sf_dir, centres)
@@ -244,9 +244,9 @@ def shard_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Distances between each vector and its label's mean, by the column functions.
-@query(f"""{WITH} SELECT chunk_id, round(list_distance(v.e, c.e), 6) AS l2,
-      round(list_inner_product(v.e, c.e), 6) AS inner_product,
-      round(list_cosine_similarity(v.e, c.e), 6) AS cosine
+@query(f"""{WITH} SELECT chunk_id, round(list_distance(v.e, c.e), 6) + 0.0 AS l2,
+      round(list_inner_product(v.e, c.e), 6) + 0.0 AS inner_product,
+      round(list_cosine_similarity(v.e, c.e), 6) + 0.0 AS cosine
     FROM v JOIN c ON v.topic = c.centroid_idx""")
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One centroid per label.

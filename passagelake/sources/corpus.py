@@ -189,6 +189,7 @@ def read_in_order(spark: SparkSession, *paths: str) -> DataFrame:
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
+    # One row per file, so one task can order them.
     earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_file")

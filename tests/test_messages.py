@@ -85,7 +85,7 @@ def test_embed_stage_defaults(spark):
         ({"chunk": "", "text": "abc", "id": "i", "doc_id": 5}, ("abc", "i", "5", 3)),
         ({"chunk": "ab", "chunk_id": "", "id": "i", "doc_id": "x"}, ("ab", "i", "x", 2)),
         ({"chunk": "ab", "chunk_id": 0, "id": "", "doc_id": 3.7}, ("ab", "", "3", 2)),
-        ({"chunk": "é€", "chunk_id": 9, "doc_id": "1_000", "chunk_len": 0}, ("é€", "9", "1000", 2)),
+        ({"chunk": "\u00e9\u20ac", "chunk_id": 9, "doc_id": "1_000", "chunk_len": 0}, ("\u00e9\u20ac", "9", "1000", 2)),
         ({"chunk": "ab", "chunk_id": "c", "doc_id": "d", "chunk_len": " 9 "}, ("ab", "c", "d", 9)),
         ({"chunk": "ab", "chunk_id": "c", "doc_id": "d", "chunk_len": 7.9}, ("ab", "c", "d", 7)),
     ]

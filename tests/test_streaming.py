@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from passagelake.functions.embed import HashingEmbedder, embed_column
 from passagelake.sources.index_store import create_empty_index, open_index, write_centroids, write_index_metadata
 from passagelake.sources.topics import receive
-from passagelake.streaming.pipeline import (
+from passagelake.streaming.stages import (
     embed_topic,
     index_topic,
     progress_report,

@@ -58,9 +58,9 @@ def test_odd_vectors_are_set_aside(spark):
     vectors = spark.createDataFrame(rows, DDL)
     centres = centroid_frame(spark, [[0, 1], [1, 2]])
     kept = {r.chunk_id: r.centroid_idx for r in assign_nearest(vectors, centres).collect()}
-    assert kept == {"a": 1, "e": 0, "d": None}
+    assert kept == {"a": 1, "e": 0}
     rejected = {r.chunk_id: r.reason for r in dimension_rejects(vectors, 2).collect()}
-    assert set(rejected) == {"b", "c"}
+    assert set(rejected) == {"b", "c", "d"} and "missing" in rejected["d"]
 
 
 def test_routing(spark):

@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-# Fixed value: the space kept for shards, in bytes.
+# The space kept for shards, in bytes, and the rows of a preview.
 MAX_BYTES = 2 * 1024**3
+PREVIEW_ROWS = 50
 
 
 def chunk_counts(chunks: DataFrame, source_col: str = "source_file") -> DataFrame:
@@ -18,6 +19,14 @@ def chunk_counts(chunks: DataFrame, source_col: str = "source_file") -> DataFram
     return chunks.rollup(source_col).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def embedding_preview(embedded: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows of an embedding run: chunk_id, doc_id, embedding_dimensions."""
+    short = embedded.select(
+        "chunk_id", "doc_id", F.size("embedding").alias("embedding_dimensions")
+    )
+    return short.orderBy("chunk_id").limit(rows)
+
+
 def run_report(
     spark: SparkSession,
     status: str,

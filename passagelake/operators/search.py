@@ -31,6 +31,30 @@ PIECE_NUMBERS = 16 * 1024 * 1024
 BLOCK_QUERIES = 4096
 
 
+def trim_copies(vectors: np.ndarray, ids: pd.Series, k: int) -> np.ndarray:
+    """Rows that can still be in a top k: of equal vectors, the k smallest ids.
+
+    Copies always score the same and are ranked by id, so leaving the others out
+    changes no result. A table may hold a great many copies of one vector.
+    """
+    rows = np.ones(len(vectors), dtype=bool)
+    if len(vectors) <= k:
+        return rows
+    bits = np.ascontiguousarray(vectors).view(np.uint32)
+    code = np.zeros(len(vectors), dtype=np.uint64)
+    for column in range(bits.shape[1]):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + bits[:, column]
+    order = np.argsort(code, kind="stable")
+    starts = np.nonzero(np.diff(code[order], prepend=code[order[0]] + np.uint64(1)))[0]
+    sizes = np.diff(np.append(starts, len(order)))
+    for start, size in zip(starts[sizes > k], sizes[sizes > k]):
+        group = order[start : start + size]
+        group = group[(vectors[group] == vectors[group[0]]).all(axis=1)]
+        by_id = ids.iloc[group].argsort(kind="stable").to_numpy()
+        rows[group[by_id[k:]]] = False
+    return rows
+
+
 class TopK:
     """Running best ``k`` hits of each query inside one task, scored block by block."""
 
@@ -49,10 +73,13 @@ class TopK:
     def add(self, vectors: np.ndarray, keys: pd.DataFrame, chosen: np.ndarray) -> None:
         """Offer ``vectors`` (with their key columns) to the queries at ``chosen``."""
         vectors = np.asarray(vectors, dtype=np.float32)
+        kept = trim_copies(vectors, keys["chunk_id"], self.k)
+        if not kept.all():
+            vectors, keys = vectors[kept], keys[kept]
         step = max(1, BLOCK_NUMBERS // max(1, len(vectors)))
         for start in range(0, len(chosen), step):
             self._offer(vectors, keys, chosen[start : start + step])
-        if self.held > max(100_000, 4 * self.k * len(self.queries)):
+        if self.held > 6 * self.k * len(self.queries) + 10_000:
             self._shrink()
 
     def _offer(self, vectors, keys, chosen) -> None:
@@ -69,11 +96,13 @@ class TopK:
             rough = 1.0 - (squares - 2.0 * rough)
             slack = precision * squares.max(axis=0)
         slack = slack + 1e-8
-        bar = self.floor[chosen]
-        if len(vectors) > self.k:
+        # What earlier blocks found is usually bar enough; else find this block's own.
+        passing = rough >= (self.floor[chosen] - slack)[None, :]
+        if np.count_nonzero(passing) > 4 * self.k * len(chosen):
             kth = np.partition(rough, len(vectors) - self.k, axis=0)[-self.k]
-            bar = np.maximum(bar, kth - slack)
-        row, at = np.nonzero(rough >= (bar - slack)[None, :])
+            bar = np.maximum(self.floor[chosen], kth - slack)
+            passing = rough >= (bar - slack)[None, :]
+        row, at = np.nonzero(passing)
         if not len(row):
             return
         step = max(1, BLOCK_NUMBERS // max(1, vectors.shape[1]))
@@ -102,20 +131,33 @@ class TopK:
         self.held += len(found)
 
     def _shrink(self) -> None:
-        best = pd.concat(self.hits, ignore_index=True).sort_values(
+        """Drop hits below each query's k-th score, and raise the bar to it."""
+        held = pd.concat(self.hits, ignore_index=True)
+        query, score = held["_query"].to_numpy(), held["score"].to_numpy()
+        order = np.lexsort((-score, query))
+        query, score = query[order], score[order]
+        first = np.searchsorted(query, query, side="left")
+        last = np.searchsorted(query, query, side="right")
+        full = last - first >= self.k
+        kth = np.where(full, score[np.minimum(first + self.k, last) - 1], -np.inf)
+        self.floor[query[full]] = kth[full]
+        best = held.iloc[order[score >= kth]]
+        if len(best) > 2 * self.k * len(self.queries):
+            best = self._cut(best)
+        self.hits, self.held = [best], len(best)
+
+    def _cut(self, held: pd.DataFrame) -> pd.DataFrame:
+        """Exactly the best k per query, equal scores by id."""
+        best = held.sort_values(
             ["_query", "score", "chunk_id"], ascending=[True, False, True], kind="stable"
         )
-        best = best[best.groupby("_query").cumcount() < self.k]
-        full = best[best.groupby("_query")["score"].transform("size") == self.k]
-        worst = full.groupby("_query")["score"].min()
-        self.floor[worst.index.to_numpy()] = worst.to_numpy()
-        self.hits, self.held = [best], len(best)
+        return best[best.groupby("_query").cumcount() < self.k]
 
     def result(self) -> pd.DataFrame | None:
         if not self.hits:
             return None
         self._shrink()
-        return self.hits[0]
+        return self._cut(self.hits[0])
 
 
 def _hit_schema(queries: DataFrame, vectors: DataFrame, keys: list[str]) -> T.StructType:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagelake.functions.embed import HashingEmbedder, embed_column
 from passagelake.operators.centroids import group_centroids
+from passagelake.operators.reports import embedding_preview as preview_rows
 from passagelake.plans.catalog import query, table
 from passagelake.plans.messages import embedded_messages
 from passagelake.plans.passages import DOCUMENTS_SQL, LINES, chunk_sql, document_chunks
@@ -114,6 +115,16 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {chunk_sql(DOCUMENTS_SQL, LINES)} SELECT chunk_id, doc_id, CAST(64 AS BIGINT) AS embedding_dimensions
+    FROM chunks ORDER BY chunk_id LIMIT 50""")
+def embedding_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = document_chunks(spark, sf_dir)
+    embedded = chunks.withColumn("embedding", embed_column(F.col("chunk"), HashingEmbedder, MODEL))
+    return preview_rows(embedded).withColumn(
+        "embedding_dimensions", F.col("embedding_dimensions").cast("bigint")
+    )
+
+
 @query(f"""{SEARCH_SQL} SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, doc_id,
       round(score, 6) + 0.0 AS score, text FROM results""")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,11 @@ def shard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sizes(spark: SparkSession, sf_dir: str, centres: DataFrame) -> DataFrame:
+    shards = assigned(spark, sf_dir, centres).groupBy("centroid_idx")
+    return shards.agg(F.count(F.lit(1)).alias("num_vectors"))
+
+
 @query(f"""{WITH} SELECT 'shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') AS shard_id,
       CAST(centroid_idx AS BIGINT) AS centroid_index, CAST(max(len(e)) AS BIGINT) AS embedding_dim,
       CAST(count(*) AS BIGINT) AS num_vectors, count(*) > 50000 AS over_limit,
@@ -207,7 +212,7 @@ def shard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
       'v1' AS version FROM a GROUP BY centroid_idx""")
 def shard_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = centroids(spark, sf_dir)
-    described = describe(assigned(spark, sf_dir, centres), centres, base_path="base/")
+    described = describe(_sizes(spark, sf_dir, centres), centres, base_path="base/")
     return described.select(
         "shard_id",
         F.col("centroid_index").cast("bigint").alias("centroid_index"),
@@ -225,7 +230,7 @@ def shard_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         ORDER BY centroid_idx) AS shards FROM s""")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = centroids(spark, sf_dir)
-    described = describe(assigned(spark, sf_dir, centres), centres, base_path="base")
+    described = describe(_sizes(spark, sf_dir, centres), centres, base_path="base")
     entry = lambda s: F.concat(s["shard_id"], F.lit("="), s["num_vectors"])
     return summarize(described).select(
         "status", "num_shards", F.array_join(F.transform("shards", entry), ",").alias("shards")

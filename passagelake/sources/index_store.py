@@ -118,28 +118,29 @@ def write_vectors(
 
 
 def shard_metadata(
-    vectors: DataFrame,
+    sizes: DataFrame,
     centroids: DataFrame,
     prefix: str = SHARD_PREFIX,
     base_path: str = "",
     version: str = VERSION_NAME,
     max_shard_size: int = MAX_SHARD_SIZE,
 ) -> DataFrame:
-    """One row per shard that has vectors: counts, dimension, centroid, paths."""
-    counted = vectors.groupBy("centroid_idx").agg(
-        F.count(F.lit(1)).alias("num_vectors"), F.max(F.size("embedding")).alias("embedding_dim")
-    )
+    """One row per shard that has vectors: counts, dimension, centroid, paths.
+
+    ``sizes`` has centroid_idx and num_vectors. Assigned vectors have the dimension
+    of their centroid, so the vectors themselves are not read.
+    """
     name = shard_name(F.col("centroid_idx"), prefix)
 
     def path(file):
         return object_path(F.lit(base_path), F.lit("shards"), name, F.lit(file))
 
-    # ``counted`` has one row per centroid.
-    return centroids.join(F.broadcast(counted), "centroid_idx").select(
+    # Both sides have one row per centroid.
+    return centroids.join(F.broadcast(sizes), "centroid_idx").select(
         name.alias("shard_id"),
         F.col("centroid_idx").alias("centroid_index"),
         F.col("centroid").alias("centroid_vector"),
-        "embedding_dim",
+        F.size("centroid").alias("embedding_dim"),
         "num_vectors",
         (F.col("num_vectors") > max_shard_size).alias("over_limit"),
         F.struct(
@@ -257,7 +258,7 @@ def build_index(
     ).drop("centroid_distance")
     write_vectors(dense_labels(assigned), path, version, max_shard_size=max_shard_size)
     metadata = shard_metadata(
-        index.vectors(), index.centroids(), shard_prefix, path, max_shard_size=max_shard_size
+        index.shard_sizes(), index.centroids(), shard_prefix, path, max_shard_size=max_shard_size
     )
     metadata.coalesce(1).write.mode("overwrite").parquet(
         f"{path}/shard_metadata/index_version={version}"

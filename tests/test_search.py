@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from passagelake.operators.search import (
     search_responses,
     search_vectors,
     shard_topk,
+    trim_copies,
 )
 from test_vectors import centroid_frame, frame
 
@@ -110,6 +112,19 @@ def test_a_task_returns_only_its_best(data):
     assert asked == 40 and hits.count() <= 40 * 3
 
 
+def test_copies_are_trimmed_to_the_smallest_ids():
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(50, 3)).astype(np.float32)
+    vectors[10:30] = vectors[2]
+    vectors[40:43] = vectors[5]
+    ids = pd.Series([f"v{i:02d}" for i in rng.permutation(50)])
+    kept = trim_copies(vectors, ids, 3)
+    copies = [2, *range(10, 30)]
+    assert sorted(ids[copies][kept[copies]]) == sorted(ids[copies])[:3]
+    others = [i for i in range(50) if i not in copies and i not in (5, 40, 41, 42)]
+    assert kept[others].all() and kept[[5, 40, 41, 42]].sum() == 3
+
+
 def test_missing_shards_and_odd_queries(data, spark):
     queries, vectors, centres, qf, vf, cf = data
     empty = vf.where("centroid_idx = 99")

@@ -35,7 +35,9 @@ def train_centroids(
     There are never more centres than distinct vectors; no vectors, no centres.
     """
     usable = vectors.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
-    sample = sample_rows(usable, key_col, max_samples, seed).select(vector_col).persist()
+    # All rows are counted, which needs no column; missing vectors hardly matter here.
+    sample = sample_rows(usable, key_col, max_samples, seed, total=vectors.count())
+    sample = sample.select(vector_col).persist()
     try:
         distinct = sample.distinct().count()
         if distinct == 0:

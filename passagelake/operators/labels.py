@@ -25,6 +25,7 @@ def dense_labels(
     A hot group may hold a third of all rows, so it is cut into bins by the
     leading hex digits of the hash. Bins keep the hash order; a small count per
     (group, bin) gives each its offset, and only one bin is ever sorted at a time.
+    ``total`` is the number of rows, where it is known; about right is enough.
     The rows are shuffled once, by (group, bin): the hash join that adds the offsets
     leaves them where the numbering needs them. The hint also rules out the plan
     that broadcasts the rows and numbers them where their group's counts were.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from passagelake.session import reliable
+
 HEX_DIGITS = 12
 
 
@@ -21,15 +23,20 @@ def sample_rows(
     task. Hash values are uniform, so a threshold a little above the wanted
     fraction already leaves about the right number of rows; the sort then sees
     only those. Should fewer remain (many rows sharing a key), all rows compete.
+    ``total`` is the number of rows, where it is known; about right is enough.
     """
     if max_rows <= 0:
         return df.limit(0)
     shuffled = df.withColumn("_shuffle", shuffle_key(F.col(key_col), seed))
+
+    def first(rows):
+        return rows.orderBy("_shuffle", key_col).limit(max_rows).drop("_shuffle")
+
     total = df.count() if total is None else total
     expected = 2 * max_rows + 1000
     if total > 4 * expected:
         cut = format(int(expected / total * 16**HEX_DIGITS), f"0{HEX_DIGITS}x")
-        below = shuffled.where(F.col("_shuffle") < cut)
-        if below.select("_shuffle").count() >= max_rows:
-            shuffled = below
-    return shuffled.orderBy("_shuffle", key_col).limit(max_rows).drop("_shuffle")
+        sample = reliable(first(shuffled.where(F.col("_shuffle") < cut)))
+        if sample.count() == max_rows:
+            return sample
+    return first(shuffled)

@@ -251,14 +251,10 @@ def keep_language(
     if min_files is None:
         return marked
     wanted = marked.where("kept").select(order_col).orderBy(order_col).limit(min_files)
-    end = wanted.agg(F.max(order_col).alias("_end"), F.count(F.lit(1)).alias("_found"))
-    reached = F.when(F.col("_found") == min_files, F.col(order_col) <= F.col("_end"))
-    # ``end`` is a single row.
-    return (
-        marked.join(F.broadcast(end))
-        .where(F.coalesce(reached, F.lit(True)))
-        .drop("_end", "_found")
-    )
+    end = wanted.agg(F.max(order_col).alias("at"), F.count(F.lit(1)).alias("found")).first()
+    if end["found"] < min_files:
+        return marked
+    return marked.where(F.col(order_col) <= F.lit(end["at"]))
 
 
 def language_summary(walked: DataFrame) -> DataFrame:

@@ -78,5 +78,5 @@ def export_summary(
     if folder is None:
         return summary
     files = planned.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
-    size = files.load(folder).agg(F.sum("length").alias("bytes_uploaded"))
-    return summary.join(F.broadcast(size))
+    size = files.load(folder).agg(F.sum("length")).first()[0]
+    return summary.withColumn("bytes_uploaded", F.lit(size or 0).cast("bigint"))

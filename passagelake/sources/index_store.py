@@ -256,7 +256,9 @@ def build_index(
     assigned = assign_nearest(
         embedded.select("chunk", "chunk_id", "doc_id", "chunk_len", "embedding"), index.centroids()
     ).drop("centroid_distance")
-    write_vectors(dense_labels(assigned), path, version, max_shard_size=max_shard_size)
+    # Counting the table reads no column; counting what was assigned would assign it.
+    labelled = dense_labels(assigned, total=embedded.count())
+    write_vectors(labelled, path, version, max_shard_size=max_shard_size)
     metadata = shard_metadata(
         index.shard_sizes(), index.centroids(), shard_prefix, path, max_shard_size=max_shard_size
     )
@@ -296,7 +298,7 @@ def append_vectors(embedded: DataFrame, index: VectorIndex, batch_id: int) -> No
     ).drop("centroid_distance")
     # One row per centroid.
     continued = (
-        dense_labels(assigned)
+        dense_labels(assigned, total=embedded.count())
         .join(F.broadcast(earlier), "centroid_idx", "left")
         .withColumn("label", F.col("label") + F.coalesce("_before", F.lit(0)))
         .drop("_before")

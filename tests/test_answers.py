@@ -8,7 +8,13 @@ from passagelake.operators.prompts import (
     generate_answers,
     with_fallback,
 )
-from passagelake.operators.reports import chunk_counts, retention_candidates, run_report
+from passagelake.operators.reports import (
+    chunk_counts,
+    embedding_preview,
+    retention_candidates,
+    run_report,
+)
+from passagelake.session import recommended_settings
 
 
 def test_prompts_answers_and_fallback(spark):
@@ -57,3 +63,17 @@ def test_reports(spark):
     assert (row.is_running, row.total_chunks, row.duration_seconds) == (False, 3, 9.0)
     running = run_report(spark, "failed", start, error_message="why").first()
     assert running.is_running and running.duration_seconds is None and running.error_message == "why"
+
+
+def test_settings_grow_with_the_input():
+    small, large = recommended_settings(10**9, 8), recommended_settings(10**14, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(large["spark.sql.shuffle.partitions"]) == 200_000
+
+
+def test_embedding_preview(spark):
+    rows = spark.createDataFrame(
+        [(f"c{i:02d}", "d", [1.0] * 4) for i in range(60)], "chunk_id string, doc_id string, embedding array<float>"
+    )
+    shown = embedding_preview(rows).collect()
+    assert len(shown) == 50 and tuple(shown[0]) == ("c00", "d", 4)

@@ -116,7 +116,7 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {chunk_sql(DOCUMENTS_SQL, LINES)} SELECT chunk_id, doc_id, CAST(64 AS BIGINT) AS embedding_dimensions
-    FROM chunks ORDER BY chunk_id LIMIT 50""")
+    FROM (SELECT *, row_number() OVER (ORDER BY chunk_id) AS place FROM chunks) WHERE place <= 50""")
 def embedding_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = document_chunks(spark, sf_dir)
     embedded = chunks.withColumn("embedding", embed_column(F.col("chunk"), HashingEmbedder, MODEL))

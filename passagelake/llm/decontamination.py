@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -25,24 +26,28 @@ from passagelake.llm.common import map_rows
 STEP = 16
 WINDOW_STEPS = 3
 WINDOW = STEP * WINDOW_STEPS
-RANK = 48
-SKETCH = 64
-MIN_COSINE = 0.3
+RANK = 80
+SKETCH = 96
+#: Of a window filled by the item; an item that fills the share f of it needs sqrt(f) of this.
+MIN_COSINE = 0.5
 SAME = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.75
 ITEMS_AT_ONCE = 2048
+#: Rows that a task gathers at once, small enough for the processor's cache.
+GATHERED = 4096
 SEED = 20
 
-_WORDS = re.compile(r"[^\W_]+")
+# ASCII characters that are no letter or digit separate words; the bytes of others are kept.
+_SEPARATORS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words: letters and digits."""
-    return _WORDS.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words in UTF-8, cut at ASCII characters that are no letter or digit."""
+    return (text or "").lower().encode().translate(_SEPARATORS).split()
 
 
-def answer_of(text: str | None) -> list[str]:
+def answer_of(text: str | None) -> list[bytes]:
     """Words of the last sentence with at least three words, else of the whole text."""
     for sentence in reversed(re.split(r"[.!?\n]+", text or "")):
         if len(found := words_of(sentence)) >= 3:
@@ -50,9 +55,9 @@ def answer_of(text: str | None) -> list[str]:
     return words_of(text)
 
 
-def common_subsequence(words: list[str], other: list[str]) -> int:
+def common_subsequence(words: list[bytes], other: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``words``."""
-    masks: dict[str, int] = {}
+    masks: dict[bytes, int] = {}
     for place, word in enumerate(words):
         masks[word] = masks.get(word, 0) | 1 << place
     full = (1 << len(words)) - 1
@@ -69,14 +74,14 @@ class Items:
     """A block of benchmark items, its vocabulary and bags of words."""
 
     ids: list
-    words: list[list[str]]
-    answers: list[list[str]]
+    words: list[list[bytes]]
+    answers: list[list[bytes]]
 
     def __post_init__(self):
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.random = np.random.default_rng(SEED).standard_normal((len(self.vocabulary), SKETCH)).astype(np.float32)
 
-    def contained(self, item: int, region: list[str]) -> float:
+    def contained(self, item: int, region: list[bytes]) -> float:
         """How much of an item stands in the region; 0 if it is not contaminated by it."""
         words = self.words[item]
         share = common_subsequence(words, region) / len(words)
@@ -107,39 +112,52 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block()
 
 
+def group_sums(vectors: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``vectors[index]`` over the groups that begin at ``starts``, some groups at a time."""
+    out = np.empty((len(starts), vectors.shape[1]), dtype=np.float32)
+    edges = np.append(starts, len(index))
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + GATHERED, side="right")) - 1)
+        rows = vectors.take(index[edges[at] : edges[end]], axis=0)
+        np.add.reduceat(rows, edges[at:end] - edges[at], axis=0, out=out[at:end])
+        at = end
+    return out
+
+
 class Passages:
     """Words of a batch of texts as numbers, cut into steps that do not cross texts."""
 
-    def __init__(self, texts: list[str | None], vocabulary: dict[str, int]):
-        number = vocabulary.get
+    def __init__(self, texts: list[str | None], vocabulary: dict[bytes, int]):
         self.words = [words_of(t) for t in texts]
-        codes = [np.fromiter((number(w, -1) for w in ws), np.int32, len(ws)) for ws in self.words]
-        sizes = np.array([-(-len(c) // STEP) for c in codes], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        place = [np.arange(len(c)) // STEP + f for c, f in zip(codes, self.first)]
-        code = np.concatenate(codes) if codes else np.empty(0, np.int32)
-        step = np.concatenate(place) if place else np.empty(0, np.int64)
-        known = code >= 0
-        self.code, self.step, self.steps = code[known], step[known], int(self.first[-1])
-
-    def sums(self, vectors: np.ndarray, code=None, step=None) -> np.ndarray:
+        lengths = np.array([len(ws) for ws in self.words], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(-(-lengths // STEP))])
+        self.steps = int(self.first[-1])
+        found = list(map(vocabulary.get, chain.from_iterable(self.words), repeat(-1)))
+        code = np.array(found, dtype=np.int32)
+        # The word's place in its text, then the step it is in.
+        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        step = place // STEP + np.repeat(self.first[:-1], lengths)
+        known = np.flatnonzero(code >= 0)
+        self.code, self.step = code[known], step[known]
+
+    def sums(self, vectors: np.ndarray) -> np.ndarray:
         """Sum of the word vectors in each step: (steps, width). Words come in order of the steps."""
-        code = self.code if code is None else code
-        step = self.step if step is None else step
         out = np.zeros((self.steps, vectors.shape[1]), dtype=np.float32)
-        if len(code):
-            starts = np.flatnonzero(np.diff(step, prepend=-1))
-            out[step[starts]] = np.add.reduceat(vectors[code], starts, axis=0)
+        if len(self.code):
+            starts = np.flatnonzero(np.diff(self.step, prepend=-1))
+            out[self.step[starts]] = group_sums(vectors, self.code, starts)
         return out
 
     def spread(self, vectors: np.ndarray, size: int) -> np.ndarray:
         """The transpose: for each word the sum of its steps' vectors: (size, width)."""
         out = np.zeros((size, vectors.shape[1]), dtype=np.float64)
         if len(self.code):
-            order = np.argsort(self.code, kind="stable")
+            small = self.code.astype(np.uint16) if size < 1 << 16 else self.code
+            order = np.argsort(small, kind="stable")
             code = self.code[order]
             starts = np.flatnonzero(np.diff(code, prepend=-1))
-            out[code[starts]] = np.add.reduceat(vectors[self.step[order]], starts, axis=0)
+            out[code[starts]] = group_sums(vectors, self.step[order], starts)
         return out
 
 
@@ -221,6 +239,9 @@ class Retriever:
         self.items, self.space = items, space
         bags = [[items.vocabulary[w] for w in ws] for ws in items.words]
         self.queries = unit(np.stack([space[b].sum(axis=0) for b in bags])).astype(np.float32)
+        # An item shorter than a window leaves room for other words, which turn the window away.
+        held = np.minimum([len(b) for b in bags], WINDOW) / WINDOW
+        self.least = (MIN_COSINE * np.sqrt(held)).astype(np.float32)
 
     def candidates(self, passages: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(steps, items, cosines) of the windows that start at a step and come near an item."""
@@ -234,7 +255,11 @@ class Retriever:
         found = []
         for at in range(0, len(windows), 8192):
             cosine = windows[at : at + 8192] @ self.queries.T
-            step, item = np.nonzero(cosine >= MIN_COSINE)
+            near = cosine >= self.least
+            # Of windows that overlap, the nearest stands for its neighbours.
+            near[1:] &= cosine[1:] >= cosine[:-1]
+            near[:-1] &= cosine[:-1] > cosine[1:]
+            step, item = np.nonzero(near)
             found.append((step + at, item, cosine[step, item]))
         if not found:
             return np.empty(0, int), np.empty(0, int), np.empty(0)

@@ -27,9 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: a row with the group's smallest doc_id."""
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    classes = simhash.near_duplicates(numbered, id_col="_row")
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
-    return numbered.join(kept, "_row").select(COLUMNS)
+    classes = simhash.near_duplicates(numbered, id_col="_row").select(F.col("doc_id").alias("_row"), "class_fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = numbered.select("_row", "doc_id").join(classes, "_row").groupBy("class_fp").agg(F.min(order).alias("first"))
+    return numbered.join(first.select("first._row"), "_row").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A data set is a folder of shards in ascending document order. Shard ``s`` is
 
-* ``tokens-<s>.bin``: the ids of its documents, little-endian unsigned 32-bit,
+* ``tokens-<s>.bin``: the ids of its documents, little-endian and unsigned, 16-bit if
+  the vocabulary allows it, else 32-bit,
 * ``offsets-<s>.bin``: n + 1 little-endian unsigned 64-bit numbers; document i of
   the shard has the ids from offset i to offset i + 1,
 * ``ids-<s>.bin``: the n document ids, little-endian signed 64-bit.
 
-``shards.parquet`` has a row per shard: its documents and tokens, and with them the
-first token's place in the whole, which is the prefix sum of the shards before it.
+``shards.parquet`` has a row per shard: its documents, its tokens and the bytes of an id,
+and with them the first token's place in the whole, the prefix sum of the shards before.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-        self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        largest = max(self.tokenizer.get_vocab_size() - 1, end_id or 0)
+        self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
+        self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -123,7 +126,7 @@ def write_token_files(
             for text in rows["text"]:
                 data = encode(text)
                 out.write(data)
-                total += len(data) // 4
+                total += len(data) // encode.dtype.itemsize
                 offsets.append(total)
             ids.extend(rows["doc_id"])
         if out is None:
@@ -134,11 +137,10 @@ def write_token_files(
                 stream.write(numbers.tobytes())
         for name in names.values():
             publish_file(files, f"{name}.{attempt}", name)
-        yield {"shard": [shard], "docs": [len(ids)], "tokens": [total]}
+        yield {"shard": [shard], "docs": [len(ids)], "tokens": [total], "width": [encode.dtype.itemsize]}
 
-    map_rows(ordered, write, "shard int, docs bigint, tokens bigint").write.mode("overwrite").parquet(
-        f"{folder}/shards.parquet"
-    )
+    schema = "shard int, docs bigint, tokens bigint, width int"
+    map_rows(ordered, write, schema).write.mode("overwrite").parquet(f"{folder}/shards.parquet")
     return folder
 
 
@@ -165,9 +167,10 @@ def mapped(files, path: str, dtype: str) -> np.ndarray:
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Documents from the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, token_ids.
 
-    A task takes whole shards, which were written at the size of a partition.
+    A task takes whole shards, which were written at the size of a partition. The
+    checksum is that of the ids as little-endian 32-bit numbers, whatever the file holds.
     """
-    shards = shard_bases(spark, folder).select("shard", "docs", "base")
+    shards = shard_bases(spark, folder).select("shard", "base", "width")
     count = max(1, shards.count())
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if with_ids:
@@ -176,10 +179,10 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     def read(batches):
         files, path = filesystem(folder)
         for batch in batches:
-            for shard, base in zip(batch["shard"], batch["base"]):
+            for shard, base, width in zip(batch["shard"], batch["base"], batch["width"]):
                 offsets = mapped(files, f"{path}/offsets-{shard:06d}.bin", "<u8").astype(np.int64)
                 ids = mapped(files, f"{path}/ids-{shard:06d}.bin", "<i8")
-                tokens = mapped(files, f"{path}/tokens-{shard:06d}.bin", "<u4")
+                tokens = mapped(files, f"{path}/tokens-{shard:06d}.bin", f"<u{width}")
                 for at in range(0, len(ids), 1000):
                     edges = offsets[at : at + 1001]
                     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
@@ -187,7 +190,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                         "doc_id": pa.array(ids[at : at + 1000], mask=ids[at : at + 1000] == -(1 << 63)),
                         "start": edges[:-1] + base,
                         "n_tokens": np.diff(edges),
-                        "ids_crc32": [zlib.crc32(tokens[a:b]) for a, b in spans],
+                        "ids_crc32": [zlib.crc32(tokens[a:b].astype("<u4")) for a, b in spans],
                     }
                     if with_ids:
                         rows["token_ids"] = [tokens[a:b].tolist() for a, b in spans]

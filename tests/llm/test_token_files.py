@@ -34,7 +34,7 @@ def test_pieces_join_and_encode_apart(library):
     encode = PieceEncoder(PATH)
     for text in [t for _, t in ODD if t] + ["a  b", " lead", "trail ", "x \n y", "it's we'll", "　wide 　 gap"]:
         assert "".join(PieceEncoder.pieces(text)) == text
-        assert np.frombuffer(encode(text), "<u4").tolist() == library(text)
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == library(text)
 
 
 def test_query_equals_encoding_whole_texts(spark, library):
@@ -53,6 +53,12 @@ def test_odd_rows_round_trip(spark, library, make_docs):
     assert [r["base"] for r in bases] == list(np.cumsum([0, *[r["tokens"] for r in bases]])[:-1])
 
 
+def test_large_end_ids_take_four_bytes(spark, make_docs):
+    folder = write_token_files(make_docs(["a b", "c"]), PATH, end_id=70_000)
+    rows = read_token_files(spark, folder, with_ids=True).orderBy("start").collect()
+    assert [r["token_ids"][-1] for r in rows] == [70_000] * 2
+
+
 def test_empty_table(spark, make_docs):
     assert read_token_files(spark, write_token_files(make_docs([]), PATH)).count() == 0
 

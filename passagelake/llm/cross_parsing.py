@@ -177,7 +177,7 @@ def build_model(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Mod
     known = [r for r in rates if r] or [1.0]
     model.scales = np.array([r or float(np.mean(known)) for r in rates])
     # A rate much unlike the others comes from too little text: do not trust it alone.
-    middle = float(np.median(model.scales))
+    middle = float(np.median(model.scales)) if rates else 1.0
     model.scales = np.clip(model.scales, middle / 1.25, middle * 1.25)
     return model
 

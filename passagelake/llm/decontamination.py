@@ -256,9 +256,10 @@ class Retriever:
         for at in range(0, len(windows), 8192):
             cosine = windows[at : at + 8192] @ self.queries.T
             near = cosine >= self.least
-            # Of windows that overlap, the nearest stands for its neighbours.
-            near[1:] &= cosine[1:] >= cosine[:-1]
-            near[:-1] &= cosine[:-1] > cosine[1:]
+            # Of windows of a text that overlap, the nearest stands for its neighbours.
+            other = (text[at + 1 : at + len(near)] != text[at : at + len(near) - 1])[:, None]
+            near[1:] &= other | (cosine[1:] >= cosine[:-1])
+            near[:-1] &= other | (cosine[:-1] > cosine[1:])
             step, item = np.nonzero(near)
             found.append((step + at, item, cosine[step, item]))
         if not found:
@@ -275,7 +276,8 @@ class Retriever:
         for text, item, step, cosine in zip(owner.tolist(), items.tolist(), steps.tolist(), cosines.tolist()):
             words = self.items.words[item]
             start = (step - int(passages.first[text])) * STEP
-            region = passages.words[text][max(0, start - len(words)) : start + WINDOW + len(words)]
+            around = len(words) + 2 * STEP
+            region = passages.words[text][max(0, start - around) : start + WINDOW + around]
             bag = bags.get(item)
             if bag is None:
                 bag = bags[item] = set(words)

@@ -22,7 +22,6 @@ from passagelake.session import reliable
 SAMPLES = 128
 BLOCK_WORDS = 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-EMPTY = ""
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,8 +110,13 @@ class Sampler:
         return (mixed >> np.uint64(48)).astype("<u2")
 
 
-def to_text(signature: np.ndarray | None) -> str:
-    return EMPTY if signature is None else signature.astype(">u2").tobytes().hex()
+def packed(signature: np.ndarray | None) -> bytes:
+    """The samples as bytes, none for a text without words; results show them as hex digits."""
+    return b"" if signature is None else signature.astype(">u2").tobytes()
+
+
+def shown(column: str):
+    return F.lower(F.hex(column)).alias(column)
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -129,16 +133,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sampler = Sampler()
         for rows in slices:
             signatures = sampler.signatures(rows["text"])
-            yield {"doc_id": rows["doc_id"], "fingerprint": [to_text(s) for s in signatures]}
+            yield {"doc_id": rows["doc_id"], "fingerprint": [packed(s) for s in signatures]}
 
     kind = dict(docs.dtypes)[id_col]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(narrow, run, f"doc_id {kind}, fingerprint string")
+    return map_rows(narrow, run, f"doc_id {kind}, fingerprint binary").select("doc_id", shown("fingerprint"))
 
 
 RESULT = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, "
+    "edited_fingerprint binary, near_edited double, near_next double"
 )
 
 
@@ -157,15 +161,15 @@ def _compare(sampler: Sampler, ids: list, texts: list[str]) -> dict[str, list]:
         "doc_id": ids[:-1],
         "n_chars": [len(t) for t in texts[:-1]],
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        "fingerprint": [to_text(s) for s in own[:-1]],
-        "edited_fingerprint": [to_text(s) for s in other],
+        "fingerprint": [packed(s) for s in own[:-1]],
+        "edited_fingerprint": [packed(s) for s in other],
         "near_edited": [likeness(a, b) for a, b in zip(own, other)],
         "near_next": [likeness(a, b) for a, b in zip(own, own[1:])],
     }
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text, its edited text and their likeness (see RESULT).
+    """Fingerprints of each text, its edited text and their likeness (columns as in RESULT, fingerprints in hex).
 
     The next document is the one after it in descending order of id (nulls last,
     equal ids by text), the first one after the last. Documents are dealt by ranges
@@ -221,4 +225,5 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield _compare(sampler, [at, None], [text, following])
 
     rest = map_rows(lasts, finish, RESULT)
-    return compared.where("edge is null").select(rest.columns).unionByName(rest)
+    every = compared.where("edge is null").select(rest.columns).unionByName(rest)
+    return every.withColumns({c: shown(c) for c in ("fingerprint", "edited_fingerprint")})

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_base(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session that names none (a test) gets a local folder.
+    A local session that names none (a test) gets a local folder; on a cluster that
+    would be another folder on every machine, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getCheckpointDir()
     if base:
         return base
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     base = tempfile.mkdtemp(prefix="passagelake-")
     spark.sparkContext.setCheckpointDir(base)
     return base
@@ -38,6 +45,26 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this job made, with the file system Spark would read it by."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A scratch folder that is gone after the block: for results that are written out inside it.
+
+    Rows that are computed lazily must not outlive the block.
+    """
+    folder = scratch_folder(spark, name)
+    try:
+        yield folder
+    finally:
+        remove_folder(spark, folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

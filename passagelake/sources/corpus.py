@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
+import zlib
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagelake.functions.text import is_blank
 from passagelake.operators.sampling import sample_rows
@@ -13,6 +14,11 @@ from passagelake.schemas import RAW_DOCUMENT
 from passagelake.session import reliable
 
 INVALID_JSON = "Invalid JSON"
+EMPTY_TEXT = "Empty text"
+DAMAGED = "Damaged or incomplete file"
+NOT_NUMBERED = "No number in the name"
+FILE_NUMBER = r"-(\d{5,})(?=[./])"
+INFLATE_BYTES = 1024 * 1024
 
 # More files than this and their offsets are joined instead of broadcast.
 BROADCAST_FILES = 200_000
@@ -36,13 +42,15 @@ def read_lines(
     paths: str | list[str],
     first_file: int | None = None,
     end_file: int | None = None,
-    file_number: str = r"-(\d{5})(?=[./])",
+    file_number: str = FILE_NUMBER,
 ) -> DataFrame:
-    """Text lines with their file: value, source_file, block_start, whole_file.
+    """Text lines with their file: value, source_file, block_start, row_id.
 
-    Unreadable and missing files are skipped. ``first_file`` and ``end_file`` (not
-    included) keep a numbered range; the condition is on the path alone, so files
-    outside it are never opened. Input splits spread the files over the tasks.
+    ``first_file`` and ``end_file`` (not included) keep a numbered range; the
+    condition is on the path alone, so files outside it are never opened. A file
+    without a number is in no range; ``skipped_files`` lists those. ``row_id`` rises
+    with the lines of a split of a file. Damaged files give the lines before the
+    damage here; ``read_corpus`` leaves them out.
     """
     lines = (
         spark.read.option("lineSep", "\n")
@@ -53,79 +61,108 @@ def read_lines(
             "value",
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block_start"),
-            (F.col("_metadata.file_block_length") == F.col("_metadata.file_size")).alias(
-                "whole_file"
-            ),
         )
     )
-    number = F.regexp_extract("source_file", file_number, 1).try_cast("int")
-    if first_file is not None:
-        lines = lines.where(number >= first_file)
-    if end_file is not None:
-        lines = lines.where(number < end_file)
-    return lines
+    lines = _in_range(lines, first_file, end_file, file_number)
+    return lines.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def number_lines(lines: DataFrame, splittable: bool = False) -> DataFrame:
-    """Add ``line_num``: the line's 0-based place in its file.
+def _in_range(files: DataFrame, first_file, end_file, file_number: str) -> DataFrame:
+    number = F.regexp_extract("source_file", file_number, 1).try_cast("bigint")
+    if first_file is not None:
+        files = files.where(number >= first_file)
+    if end_file is not None:
+        files = files.where(number < end_file)
+    return files
+
+
+def _broken_gzip(content: bytes) -> bool:
+    """Whether the bytes are not a whole gzip file; inflated in pieces that are thrown away."""
+    at = memoryview(content)
+    if not len(at):
+        return True
+    try:
+        while len(at):
+            unpack = zlib.decompressobj(31)
+            data = bytes(at[:INFLATE_BYTES])
+            at = at[INFLATE_BYTES:]
+            while True:
+                while data and not unpack.eof:
+                    unpack.decompress(data, INFLATE_BYTES)
+                    data = unpack.unconsumed_tail
+                if unpack.eof or not len(at):
+                    break
+                data, at = bytes(at[:INFLATE_BYTES]), at[INFLATE_BYTES:]
+            if not unpack.eof:
+                return True
+            rest = len(unpack.unused_data)
+            at = memoryview(content)[len(content) - len(at) - rest :]
+    except zlib.error:
+        return True
+    return False
+
+
+def skipped_files(
+    spark: SparkSession,
+    paths: str | list[str],
+    first_file: int | None = None,
+    end_file: int | None = None,
+    file_number: str = FILE_NUMBER,
+) -> DataFrame:
+    """Files that are not read: source_file, reason.
 
-    Blank lines before the first text do not count. A compressed file is read by
-    one task from start to end, so a running count per file is enough and nothing
-    is shuffled. ``splittable`` input (plain text) is counted per block, and the
-    counts of the blocks before are added.
+    Compressed files of the range are read through once to see that they are whole, one at a time
+    per task. If a range is asked for, files whose name has no number are listed too.
     """
-    fields = to_arrow_schema(lines.schema).append(pa.field("line_num", pa.int64()))
+    listed = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("ignoreMissingFiles", True)
+        .load(paths).select(F.col("_metadata.file_path").alias("source_file"), "content")
+    )
 
-    def count(batches):
-        current, seen = None, 0
+    def damaged(batches):
         for batch in batches:
-            files = batch.column("source_file").dictionary_encode()
-            codes = files.indices.to_numpy()
-            blocks = batch.column("block_start").to_numpy()
-            changes = (np.diff(codes) != 0) | (np.diff(blocks) != 0)
-            edges = [0, *(np.nonzero(changes)[0] + 1), len(codes)]
-            numbers = np.empty(len(codes), dtype=np.int64)
-            for start, end in zip(edges, edges[1:]):
-                if start == end:
-                    continue
-                key = (files.dictionary[codes[start]].as_py(), int(blocks[start]))
-                if key != current:
-                    current, seen = key, 0
-                text = start
-                if not seen and not key[1]:
-                    # Blank lines before the first text of a file have no number.
-                    while text < end and not batch.column("value")[text].as_py().strip():
-                        text += 1
-                    numbers[start:text] = 0
-                numbers[text:end] = np.arange(seen, seen + end - text)
-                seen += end - text
+            broken = [_broken_gzip(value.as_buffer()) for value in batch.column("content")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers)], schema=fields
+                [batch.column("source_file").filter(pa.array(broken, pa.bool_()))], ["source_file"]
             )
 
-    ddl = f"{lines.schema.toDDL()}, line_num bigint"
-    numbered = lines.mapInArrow(count, ddl)
-    if not splittable:
-        return numbered
-    # The blocks must not change between counting and adding: fix them first.
-    numbered = reliable(numbered)
-    earlier = (
-        Window.partitionBy("source_file")
-        .orderBy("block_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    found = _in_range(listed, first_file, end_file, file_number).mapInArrow(damaged, "source_file string")
+    skipped = found.withColumn("reason", F.lit(DAMAGED))
+    if first_file is None and end_file is None:
+        return skipped
+    names = (
+        spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+        .load(paths).select(F.col("_metadata.file_path").alias("source_file"))
+    )
+    nameless = names.where(~F.col("source_file").rlike(file_number)).withColumn("reason", F.lit(NOT_NUMBERED))
+    return skipped.unionByName(nameless)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``line_num``: the line's 0-based place in its file, whether the file is split or not.
+
+    Blank lines before the first text do not count (their number is negative). A
+    small count per file and split gives each split its offset; the lines stay where
+    they are. The input is read a second time for the counts.
+    """
+    text = F.when(~is_blank(F.col("value")), F.col("row_id"))
+    splits = lines.groupBy("source_file", "block_start").agg(
+        F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.min(text).alias("_text")
     )
-    offsets = (
-        numbered.groupBy("source_file", "block_start")
-        .agg((F.max("line_num") + 1).alias("_lines"))
-        .select(
-            "source_file",
-            "block_start",
-            F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_base"),
-        )
+    by_file = Window.partitionBy("source_file")
+    earlier = by_file.orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
+    placed = splits.withColumn("_before", before).withColumn(
+        "_start", F.min(F.col("_text") - F.col("_first") + F.col("_before")).over(by_file)
+    )
+    offsets = placed.select(
+        "source_file",
+        "block_start",
+        (F.col("_before") - F.col("_first") - F.coalesce("_start", F.lit(0))).alias("_offset"),
     )
     return (
-        numbered.join(offsets, ["source_file", "block_start"])
-        .withColumn("line_num", F.col("line_num") + F.col("_base"))
+        lines.join(offsets, ["source_file", "block_start"])
+        .withColumn("line_num", F.col("row_id") + F.col("_offset"))
         .select(*lines.columns, "line_num")
     )
 
@@ -154,26 +191,67 @@ def parse_documents(lines: DataFrame, line_num: Column | None = None) -> DataFra
     )
 
 
-def read_documents(
+@dataclass
+class CorpusRead:
+    """A corpus as read: usable documents, lines that were rejected, files that were left out."""
+
+    lines: DataFrame
+    skipped: DataFrame
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.lines.where("reason is null").select("id", "text", "source_file")
+
+    @property
+    def rejected(self) -> DataFrame:
+        """value, source_file and reason of lines without a usable document."""
+        return self.lines.where("reason is not null").select("value", "source_file", "reason")
+
+    def report(self) -> DataFrame:
+        """Per file: kept and rejected lines, or why the file was skipped."""
+        counted = self.lines.groupBy("source_file").agg(
+            F.count_if(F.col("reason").isNull()).alias("kept"),
+            F.count_if(F.col("reason") == INVALID_JSON).alias("invalid"),
+            F.count_if(F.col("reason") == EMPTY_TEXT).alias("empty"),
+        )
+        return counted.join(self.skipped.withColumnRenamed("reason", "skipped"), "source_file", "full").select(
+            "source_file", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("kept", "invalid", "empty")], "skipped"
+        )
+
+
+def read_corpus(
     spark: SparkSession,
     paths: str | list[str],
     first_file: int | None = None,
     end_file: int | None = None,
     number_missing_ids: bool = True,
-    splittable: bool = False,
-) -> DataFrame:
-    """Documents with text: id, text, source_file. See ``parse_documents`` for rejects.
+) -> CorpusRead:
+    """Read a corpus of JSON lines whole files at a time; see CorpusRead.
 
-    A corpus whose records all carry an id can switch ``number_missing_ids`` off,
-    and the whole read then stays on the JVM side.
+    A damaged file gives no documents at all. A missing or null id becomes file and
+    line number; ``number_missing_ids`` False leaves it null and saves counting lines.
     """
-    lines = read_lines(spark, paths, first_file, end_file)
+    skipped = reliable(skipped_files(spark, paths, first_file, end_file))
+    lines = read_lines(spark, paths, first_file, end_file).join(
+        skipped.where(F.col("reason") == DAMAGED).select("source_file"), "source_file", "left_anti"
+    )
     line_num = None
     if number_missing_ids:
-        lines, line_num = number_lines(lines, splittable), F.col("line_num")
-    documents = parse_documents(spread_small_input(lines), line_num)
-    usable = F.col("reason").isNull() & (F.col("text") != "")
-    return documents.where(usable).select("id", "text", "source_file")
+        lines, line_num = number_lines(lines), F.col("line_num")
+    parsed = parse_documents(lines, line_num)
+    reason = F.coalesce("reason", F.when(F.col("text") == "", EMPTY_TEXT))
+    return CorpusRead(parsed.withColumn("reason", reason), skipped)
+
+
+def read_documents(
+    spark: SparkSession,
+    paths: str | list[str],
+    first_file: int | None = None,
+    end_file: int | None = None,
+    number_missing_ids: bool = True,
+) -> DataFrame:
+    """Documents with text: id, text, source_file. ``read_corpus`` also gives what was left out."""
+    return read_corpus(spark, paths, first_file, end_file, number_missing_ids).documents
 
 
 def read_in_order(spark: SparkSession, *paths: str) -> DataFrame:
@@ -250,11 +328,32 @@ def keep_language(
     marked = files.withColumn("kept", F.coalesce(F.col(lang_col) == lang, F.lit(False)))
     if min_files is None:
         return marked
-    wanted = marked.where("kept").select(order_col).orderBy(order_col).limit(min_files)
-    end = wanted.agg(F.max(order_col).alias("at"), F.count(F.lit(1)).alias("found")).first()
-    if end["found"] < min_files:
-        return marked
-    return marked.where(F.col(order_col) <= F.lit(end["at"]))
+    # Kept files are numbered without an eager job or a sort in one task: equal ranges
+    # of the order are counted, and only a file's own range is ordered inside.
+    ranges = marked.where("kept").repartitionByRange(order_col).select(
+        order_col, F.spark_partition_id().alias("_range")
+    )
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max(order_col).alias("_last"))
+    before = F.coalesce(
+        F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    # The one range in which the wanted file lies, with its number there.
+    holding = counts.withColumn("_before", before).where(
+        (F.col("_before") < min_files) & (F.col("_before") + F.col("_n") >= min_files)
+    )
+    inside = Window.partitionBy("_range").orderBy(order_col)
+    end = (
+        ranges.join(holding, "_range")
+        .withColumn("_place", F.row_number().over(inside) + F.col("_before"))
+        .where(F.col("_place") == min_files)
+        .agg(F.max(order_col).alias("_end"))
+    )
+    # One row: the last file walked, null if there are not enough files.
+    return (
+        marked.join(F.broadcast(end))
+        .where(F.col("_end").isNull() | (F.col(order_col) <= F.col("_end")))
+        .drop("_end")
+    )
 
 
 def language_summary(walked: DataFrame) -> DataFrame:

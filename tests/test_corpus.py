@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagelake.sources.corpus import (
+    DAMAGED,
+    NOT_NUMBERED,
     files_to_fetch,
     keep_language,
     language_summary,
     number_lines,
     parse_documents,
+    read_corpus,
     read_documents,
     read_in_order,
     read_lines,
@@ -80,7 +83,7 @@ def test_plain_text_split_into_blocks(spark, tmp_path):
     try:
         lines = read_lines(spark, str(tmp_path))
         assert lines.select("block_start").distinct().count() > 3
-        rows = read_documents(spark, str(tmp_path), splittable=True).collect()
+        rows = read_documents(spark, str(tmp_path)).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {(int(r.id.rsplit("_", 1)[1]), r.text) for r in rows} == {(i, f"t{i}") for i in range(4000)}
@@ -100,6 +103,51 @@ def test_ids_without_numbering_stay_on_the_jvm(spark, corpus):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" not in plan and "Python" not in plan
     assert [r.id for r in rows.collect()] == ["z"]
+    numbered = read_documents(spark, f"{corpus}/train-00000.jsonl.gz")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+
+
+def test_numbers_of_six_digits_and_none(spark, tmp_path):
+    for name in ("train-00003", "train-99999", "train-100000", "train-123456", "notes"):
+        write_gz(str(tmp_path), f"{name}.jsonl.gz", [json.dumps({"id": name, "text": "t"})])
+    found = read_corpus(spark, str(tmp_path), first_file=0)
+    assert {r.id for r in found.documents.collect()} == {"train-00003", "train-99999", "train-100000", "train-123456"}
+    (left,) = found.skipped.collect()
+    assert left.source_file.endswith("notes.jsonl.gz") and left.reason == NOT_NUMBERED
+    late = read_documents(spark, str(tmp_path), first_file=100_000)
+    assert {r.id for r in late.collect()} == {"train-100000", "train-123456"}
+    assert read_documents(spark, str(tmp_path)).count() == 5
+
+
+def test_a_damaged_file_is_left_out_whole_and_listed(spark, corpus):
+    whole = open(f"{corpus}/train-00001.jsonl.gz", "rb").read()
+    with open(f"{corpus}/train-00004.jsonl.gz", "wb") as out:
+        out.write(whole[: len(whole) // 2])
+    with open(f"{corpus}/train-00005.jsonl.gz", "wb") as out:
+        out.write(whole + gzip.compress(b"\n") + whole)  # members make one whole file
+    with open(f"{corpus}/train-00006.jsonl.gz", "wb") as out:
+        out.write(whole + whole[:-3])
+    found = read_corpus(spark, corpus)
+    report = {r.source_file.rsplit("/", 1)[-1]: tuple(r)[1:] for r in found.report().collect()}
+    assert report == {
+        "train-00000.jsonl.gz": (4, 2, 2, None),
+        "train-00001.jsonl.gz": (2500, 0, 0, None),
+        "train-00002.jsonl.gz": (1, 0, 0, None),
+        "train-00004.jsonl.gz": (0, 0, 0, DAMAGED),
+        "train-00005.jsonl.gz": (5000, 0, 0, None),
+        "train-00006.jsonl.gz": (0, 0, 0, DAMAGED),
+    }
+    assert {r.value for r in found.rejected.where("reason = 'Invalid JSON'").collect()} == {"[1, 2]", "{broken"}
+    ids = [r.id for r in found.documents.collect()]
+    assert len(ids) == len(set(ids)) == 7505
+
+
+def test_language_walk_over_many_ranges(spark):
+    files = spark.range(20_000).selectExpr("id n", "if(id % 3 = 0, 'en', 'de') lang").repartition(16)
+    for wanted in (1, 2, 777, 6667):
+        row = language_summary(keep_language(files, "n", min_files=wanted)).first()
+        assert tuple(row) == (wanted, 2 * (wanted - 1))
 
 
 def test_positions_follow_the_files(spark, tmp_path):

@@ -15,7 +15,7 @@ BLOCK_NUMBERS = 4 * 1024 * 1024
 def to_matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Stack a list column into (rows, dim) floats; also return which rows fit.
 
-    Null vectors, other lengths and vectors with missing numbers do not fit.
+    Null vectors, other lengths and vectors with missing or infinite numbers do not fit.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -25,7 +25,7 @@ def to_matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.
     fits = np.array(lengths == dim)
     kept = column if fits.all() else column.filter(pa.array(fits))
     values = kept.flatten().to_numpy(zero_copy_only=False).reshape(int(fits.sum()), dim)
-    broken = np.isnan(values).any(axis=1)
+    broken = ~np.isfinite(values).all(axis=1)
     if broken.any():
         fits[np.nonzero(fits)[0][broken]] = False
         values = values[~broken]

@@ -7,17 +7,22 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from passagelake.functions.vectors import MAX_BROADCAST_NUMBERS, nearest, to_matrix
-from passagelake.operators.sampling import sample_rows
+from passagelake.operators.sampling import sample_rows, shuffle_key
 from passagelake.schemas import CENTROIDS
+from passagelake.session import reliable
 
 # Training defaults.
 NUM_CENTROIDS = 30
 TRAINING_ROWS = 3000
 SEED = 42
 
+# By default the sample grows with the number of centroids.
+ROWS_PER_CENTROID = 50
+ROWS_PER_TASK = 20_000
+
 MAX_CENTROIDS = 65_536
 
 
@@ -26,18 +31,25 @@ def train_centroids(
     key_col: str = "chunk_id",
     vector_col: str = "embedding",
     num_centroids: int = NUM_CENTROIDS,
-    max_samples: int = TRAINING_ROWS,
+    max_samples: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """K-means centres (centroid_idx, centroid) of a seeded sample of the vectors.
 
-    Only the sample is trained on, so the fit costs the same at any table size.
-    There are never more centres than distinct vectors; no vectors, no centres.
+    Only the sample is trained on, so the fit costs the same at any table size. It
+    has 3,000 rows, or 50 for each centroid if that is more; a sample smaller than
+    the number of centroids is an error. There are never more centres than distinct
+    vectors; no vectors, no centres.
     """
+    if max_samples is None:
+        max_samples = max(TRAINING_ROWS, ROWS_PER_CENTROID * num_centroids)
+    if num_centroids > max_samples:
+        raise ValueError(f"{max_samples} samples cannot give {num_centroids} centroids")
     usable = vectors.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
     # All rows are counted, which needs no column; missing vectors hardly matter here.
     sample = sample_rows(usable, key_col, max_samples, seed, total=vectors.count())
-    sample = sample.select(vector_col).persist()
+    # The sample comes sorted, in one partition: spread it for the training.
+    sample = sample.select(vector_col).repartition(1 + max_samples // ROWS_PER_TASK).persist()
     try:
         distinct = sample.distinct().count()
         if distinct == 0:
@@ -68,6 +80,35 @@ def group_centroids(vectors: DataFrame, group_col: str, vector_col: str = "embed
     )
 
 
+def lloyd_steps(
+    vectors: DataFrame,
+    num_centroids: int,
+    steps: int,
+    key_col: str = "chunk_id",
+    vector_col: str = "embedding",
+    seed: int = SEED,
+) -> DataFrame:
+    """Centroids after some Lloyd steps over all vectors, from the first rows of the seeded shuffle.
+
+    A centroid that no vector is nearest to stays where it is.
+    """
+    first = sample_rows(vectors.where(F.col(vector_col).isNotNull()), key_col, num_centroids, seed)
+    order = Window.orderBy(shuffle_key(F.col(key_col), seed), key_col)
+    # As many rows as centroids are numbered.
+    centres = first.select(
+        (F.row_number().over(order) - 1).alias("centroid_idx"),
+        F.col(vector_col).cast("array<double>").alias("centroid"),
+    )
+    for _ in range(steps):
+        centres = reliable(centres)
+        means = group_centroids(assign_nearest(vectors, centres, vector_col), "centroid_idx", vector_col)
+        moved = means.withColumnRenamed("centroid", "_mean")
+        centres = centres.join(moved, "centroid_idx", "left").select(
+            "centroid_idx", F.coalesce("_mean", "centroid").alias("centroid")
+        )
+    return reliable(centres)
+
+
 def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Centroid indices and matrix on the driver, in index order.
 
@@ -92,11 +133,11 @@ def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def dimension_rejects(vectors: DataFrame, dim: int, vector_col: str = "embedding") -> DataFrame:
     """Rows ``assign_nearest`` leaves out, with the reason."""
     vector = F.col(vector_col)
-    gaps = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    gaps = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     reason = (
         F.when(vector.isNull(), "Missing embedding")
-        .when(F.size(vector) != dim, "Embedding dimensions do not match centroid dimensions")
-        .when(gaps, "Embedding has missing numbers")
+        .when(F.size(vector) != dim, "Vector length is not that of the centroids")
+        .when(gaps, "Embedding has missing or infinite numbers")
     )
     return vectors.withColumn("reason", reason).where(F.col("reason").isNotNull())
 

@@ -67,10 +67,13 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per passage: chunk, doc_id, chunk_len, chunk_id, source_file, created_at.
 
-    Narrow: every document is packed where it was read, nothing is shuffled.
+    Narrow: every document is packed where it was read, nothing is shuffled. A
+    document without id gives no passages, since theirs would share one id;
+    ``documents_without_id`` gives those documents.
     """
     passages = pack_paragraphs(paragraphs(F.col(text_col), separator), max_words)
-    exploded = documents.where(F.col(text_col) != "").select(
+    usable = documents.where((F.col(text_col) != "") & F.col(id_col).isNotNull())
+    exploded = usable.select(
         F.col(id_col).cast("string").alias("doc_id"),
         F.col(source_col).alias("source_file"),
         F.posexplode(passages).alias("ordinal", "chunk"),
@@ -83,3 +86,8 @@ def chunk_documents(
         "source_file",
         F.current_timestamp().alias("created_at"),
     )
+
+
+def documents_without_id(documents: DataFrame, id_col: str = "id") -> DataFrame:
+    """What ``chunk_documents`` leaves out for want of an id."""
+    return documents.where(F.col(id_col).isNull())

@@ -23,11 +23,12 @@ def sample_rows(
     task. Hash values are uniform, so a threshold a little above the wanted
     fraction already leaves about the right number of rows; the sort then sees
     only those. Should fewer remain (many rows sharing a key), all rows compete.
+    Rows with a null key have no place in the shuffle and are never taken.
     ``total`` is the number of rows, where it is known; about right is enough.
     """
     if max_rows <= 0:
         return df.limit(0)
-    shuffled = df.withColumn("_shuffle", shuffle_key(F.col(key_col), seed))
+    shuffled = df.where(F.col(key_col).isNotNull()).withColumn("_shuffle", shuffle_key(F.col(key_col), seed))
 
     def first(rows):
         return rows.orderBy("_shuffle", key_col).limit(max_rows).drop("_shuffle")

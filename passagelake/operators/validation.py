@@ -45,29 +45,38 @@ def _is_number(field: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
-def _truncated(field: Column) -> Column:
-    """Integer part of a number."""
+def _integer_text(field: Column, whole: bool) -> Column:
+    """Digits of a number's integer part, toward zero, however large; with ``whole`` only if it has no fraction.
+
+    Numbers too large even for 38 digits give null: they cannot be told apart.
+    """
     text = field["text"]
-    return F.coalesce(text.try_cast("bigint"), F.floor(text.try_cast("double")).cast("bigint"))
+    plain = F.when(text.rlike(r"^-?[0-9]+$"), text)
+    exact = F.coalesce(
+        text.try_cast("decimal(38,10)").cast("string"), text.try_cast("double").try_cast("decimal(38,0)").cast("string")
+    )
+    part = F.regexp_extract(exact, r"^-?[0-9]+", 0)
+    if whole:
+        part = F.when(~exact.rlike(r"\.0*[1-9]"), part)
+    return F.coalesce(plain, F.when(part == "-0", "0").otherwise(part))
+
+
+def _truncated(field: Column) -> Column:
+    """Integer part of a number as text."""
+    return _integer_text(field, whole=False)
 
 
 def _whole(field: Column) -> Column:
-    """Integer value of a field given as a whole number or as digits, else null."""
-    text = field["text"]
-    double = text.try_cast("double")
-    number = F.coalesce(
-        text.try_cast("bigint"), F.when(double == F.floor(double), double.try_cast("bigint"))
-    )
-    return F.when(_is_number(field), number).when(
-        field["kind"] == "STRING", strip(text).try_cast("bigint")
+    """Text of the integer of a field given as a whole number or as digits, else null."""
+    digits = strip(field["text"])
+    return F.when(_is_number(field), _integer_text(field, whole=True)).when(
+        (field["kind"] == "STRING") & digits.rlike(r"^[+-]?[0-9]+$"), digits
     )
 
 
 def _identifier(field: Column) -> Column:
     """Text of an id given as a string or a whole number, else null."""
-    return F.when(field["kind"] == "STRING", field["text"]).when(
-        _is_number(field), _whole(field).cast("string")
-    )
+    return F.when(field["kind"] == "STRING", field["text"]).when(_is_number(field), _whole(field))
 
 
 REQUIRED = ["chunk", "chunk_id", "doc_id", "chunk_len", "embedding"]
@@ -92,7 +101,8 @@ def validate_embedded(messages: DataFrame) -> DataFrame:
         _whole(F.col("_chunk_len")).try_cast("int").alias("chunk_len"),
         vector.cast("array<float>").alias("embedding"),
     )
-    incomplete = F.exists("embedding", lambda x: x.isNull())
+    # A number may be finite as read and infinite as a 32-bit float.
+    incomplete = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     for name in REQUIRED:
         incomplete = incomplete | F.col(name).isNull()
     reason = F.when(F.col("_broken"), INVALID_JSON).when(incomplete, SCHEMA_FAILED)
@@ -112,7 +122,8 @@ def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = Tru
     Text is the first non-empty of chunk and text; the id is chunk_id or else id;
     chunk_len defaults to the text's length. ``has_text`` and ``has_ids`` tell
     which rows are embedded and published; the others are dropped, not rejected.
-    The counts are observed as ``embed_run``.
+    Rejected are a length that is no 32-bit integer, and a chunk_id or id that is a
+    number with a fraction: cutting it would make one id of two. The counts are observed as ``embed_run``.
     """
     names = ["chunk", "text", "chunk_id", "id", "doc_id", "chunk_len"]
     parsed = _fields(messages, names)
@@ -126,6 +137,9 @@ def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = Tru
             _is_number(field), _truncated(field).cast("string")
         )
 
+    def fractional(field):
+        return F.coalesce(_is_number(field) & _whole(field).isNull(), F.lit(False))
+
     first_id, size = F.col("_chunk_id"), F.col("_chunk_len")
     empty_id = (first_id["text"] == "") | (
         _is_number(first_id) & (first_id["text"].try_cast("double") == 0)
@@ -136,16 +150,18 @@ def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = Tru
         (body.isNull() | F.is_variant_null(body)).alias("_broken"),
         F.try_variant_get(body, "$", "map<string,variant>").isNotNull().alias("_object"),
         F.coalesce(text(F.col("_chunk")), text(F.col("_text"))).alias("chunk"),
-        F.coalesce(F.when(~empty_id, id_text(first_id)), id_text(F.col("_id"))).alias("chunk_id"),
+        F.coalesce(F.when(~empty_id, _identifier(first_id)), _identifier(F.col("_id"))).alias("chunk_id"),
+        (fractional(first_id) | fractional(F.col("_id"))).alias("_bad_id"),
         (normalize_doc_id(doc_id) if normalize_numeric_ids else doc_id).alias("doc_id"),
         F.when(_is_number(size), _truncated(size))
-        .when(size["kind"] == "STRING", strip(size["text"]).try_cast("bigint"))
+        .when(size["kind"] == "STRING", strip(size["text"]))
+        .try_cast("int")
         .alias("_size"),
         ((size["kind"] != "VOID") & (size["text"] != "")).alias("_sized"),
     )
     bad_size = F.coalesce(F.col("_sized"), F.lit(False)) & F.col("_size").isNull()
     reason = F.when(F.col("_broken"), INVALID_JSON).when(
-        ~F.col("_object") | bad_size, SCHEMA_FAILED
+        ~F.col("_object") | bad_size | F.col("_bad_id"), SCHEMA_FAILED
     )
     judged = typed.withColumn("reason", reason).withColumn(
         "has_text", F.col("reason").isNull() & F.col("chunk").isNotNull()
@@ -155,7 +171,7 @@ def prepare_for_embedding(messages: DataFrame, normalize_numeric_ids: bool = Tru
         "chunk",
         "chunk_id",
         "doc_id",
-        F.coalesce(F.nullif("_size", F.lit(0)), F.length("chunk")).cast("int").alias("chunk_len"),
+        F.coalesce(F.nullif("_size", F.lit(0)), F.length("chunk")).alias("chunk_len"),
         "has_text",
         (F.col("has_text") & F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull()).alias(
             "has_ids"

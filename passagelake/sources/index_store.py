@@ -228,7 +228,7 @@ def build_index(
     embedded: DataFrame,
     path: str,
     num_centroids: int = 30,
-    max_samples: int = 3000,
+    max_samples: int | None = None,
     centroids: DataFrame | None = None,
     shard_prefix: str = SHARD_PREFIX,
     max_shard_size: int = MAX_SHARD_SIZE,

@@ -52,6 +52,10 @@ CASES = [
     (without(embedding=["x"]), BAD),
     (without(embedding=None), BAD),
     (without(embedding="1,2"), BAD),
+    (without(embedding=[1, 1e300]), BAD),
+    (without(chunk_len=3_000_000_000), BAD),
+    (without(chunk_id=1.7), BAD),
+    (without(chunk_id=12345678901234567890123), None),
     ("", BAD),
     ("{}", BAD),
     ("[1, 2]", BAD),

@@ -90,7 +90,31 @@ def test_bad_vectors_are_dead_lettered(spark, tmp_path):
     assert [r.centroid_idx for r in index.vectors().collect()] == [1]
     reasons = sorted(r.reason for r in read_dead_letters(spark, f"{base}/dead").collect())
     assert reasons == [
-        "Embedding dimensions do not match centroid dimensions",
         "Invalid JSON",
         "Schema validation failed",
+        "Vector length is not that of the centroids",
     ]
+
+
+def test_no_message_stops_the_streams_or_merges_ids(spark, tmp_path):
+    base = str(tmp_path)
+    create_empty_index(spark, f"{base}/index")
+    write_centroids(spark, f"{base}/index", 1, centroid_frame(spark, [[0] * DIM, [1] * DIM]))
+    write_index_metadata(spark, f"{base}/index", 1, 2)
+    index = open_index(spark, f"{base}/index")
+    good = {"chunk": "text", "chunk_id": "a", "doc_id": "d"}
+    bad = [{**good, "chunk_len": 3_000_000_000}, {**good, "chunk_id": 1.7}, {**good, "chunk_id": 1.2}]
+    large = [{**good, "chunk_id": 12345678901234567890123}, {**good, "chunk_id": 12345678901234567890124}]
+    numbered = [{**good, "chunk_id": "z", "doc_id": -3.7}, {**good, "chunk_id": "y", "doc_id": 1e30}]
+    rows = [(json.dumps(m),) for m in [*bad, *large, *numbered]]
+    spark.createDataFrame(rows, "value string").write.text(f"{base}/in")
+    huge = {**good, "chunk_id": "h", "chunk_len": 1, "embedding": [1e300] * DIM}
+    tiny = {**good, "chunk_id": "t", "chunk_len": 2.5e9, "embedding": [1.0] * DIM}
+    spark.createDataFrame([(json.dumps(m),) for m in (huge, tiny)], "value string").write.text(f"{base}/out")
+    run(spark, base, index)
+    assert read_dead_letters(spark, f"{base}/dead").count() == 3
+    assert read_dead_letters(spark, f"{base}/dead2").count() == 2
+    kept = {r.chunk_id: r.doc_id for r in index.vectors().collect()}
+    assert kept == {
+        "12345678901234567890123": "d", "12345678901234567890124": "d", "z": "-3", "y": "1" + "0" * 30,
+    }

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from passagelake.operators.centroids import (
     centroid_matrix,
     dimension_rejects,
     group_centroids,
+    lloyd_steps,
     route,
     train_centroids,
 )
@@ -54,13 +57,13 @@ def test_assignment_matches_brute_force(spark):
 
 
 def test_odd_vectors_are_set_aside(spark):
-    rows = [("a", [1.0, 2.0]), ("b", [1.0]), ("c", None), ("d", [1.0, None]), ("e", [0.0, 1.0])]
+    rows = [("a", [1.0, 2.0]), ("b", [1.0]), ("c", None), ("d", [1.0, None]), ("e", [0.0, 1.0]), ("f", [1.0, float("inf")])]
     vectors = spark.createDataFrame(rows, DDL)
     centres = centroid_frame(spark, [[0, 1], [1, 2]])
     kept = {r.chunk_id: r.centroid_idx for r in assign_nearest(vectors, centres).collect()}
     assert kept == {"a": 1, "e": 0}
     rejected = {r.chunk_id: r.reason for r in dimension_rejects(vectors, 2).collect()}
-    assert set(rejected) == {"b", "c", "d"} and "missing" in rejected["d"]
+    assert set(rejected) == {"b", "c", "d", "f"} and "missing" in rejected["d"]
 
 
 def test_routing(spark):
@@ -196,3 +199,32 @@ def test_hashing_embedder(spark):
     import pyarrow as pa
 
     assert model(pa.array(["a b a"])).shape == (1, 8)
+
+
+def test_more_centroids_than_samples_is_an_error(spark):
+    points = frame(spark, np.random.default_rng(1).normal(size=(400, 2)))
+    with pytest.raises(ValueError):
+        train_centroids(points, num_centroids=300, max_samples=100)
+    assert train_centroids(points, num_centroids=300).count() == 300
+
+
+def test_null_keys_are_never_sampled(spark):
+    rows = [(None, [1.0])] * 50 + [(f"v{i}", [1.0]) for i in range(60)]
+    small = sample_rows(spark.createDataFrame(rows, DDL), "chunk_id", 80).collect()
+    assert len(small) == 60 and all(r.chunk_id for r in small)
+    many = spark.range(20_000).selectExpr("if(id % 2 = 0, null, concat('v', id)) chunk_id", "array(1f) embedding")
+    assert all(r.chunk_id for r in sample_rows(many, "chunk_id", 80).collect())
+
+
+def test_lloyd_steps(spark):
+    rng = np.random.default_rng(8)
+    matrix = np.concatenate([rng.normal(c, 0.3, size=(50, 2)) for c in ((0, 0), (9, 0), (0, 9))])
+    got = lloyd_steps(frame(spark, matrix), 3, 4).orderBy("centroid_idx").collect()
+    first = [r.chunk_id for r in sample_rows(frame(spark, matrix), "chunk_id", 3).collect()]
+    first.sort(key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    vectors = matrix.astype(np.float32).astype(float)
+    centres = np.array([vectors[int(i[1:])] for i in first])
+    for _ in range(4):
+        near = np.linalg.norm(vectors[:, None] - centres[None], axis=2).argmin(axis=1)
+        centres = np.array([vectors[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(3)])
+    assert np.allclose([r.centroid for r in got], centres)

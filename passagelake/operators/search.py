@@ -276,9 +276,8 @@ def _joined_hits(vectors, queries, centroids, dim, k, nprobe, metric, schema, ke
 
 def rank_hits(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Best ``k`` hits per query (or per query and shard), ranked from 1."""
-    best_first = Window.partitionBy(*(by or ["query_id"])).orderBy(
-        F.col("score").desc(), F.col("chunk_id")
-    )
+    ties = ["chunk_id"] + (["label"] if "label" in hits.columns else [])
+    best_first = Window.partitionBy(*(by or ["query_id"])).orderBy(F.col("score").desc(), *ties)
     return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagelake.functions.embed import HashingEmbedder, embed_column
 from passagelake.operators.centroids import group_centroids
-from passagelake.operators.reports import embedding_preview as preview_rows
+from passagelake.operators.reports import PREVIEW_ROWS, embedding_preview as preview_rows
 from passagelake.plans.catalog import query, table
 from passagelake.plans.messages import embedded_messages
 from passagelake.plans.passages import DOCUMENTS_SQL, LINES, chunk_sql, document_chunks
@@ -16,6 +16,7 @@ from passagelake.sources.index_store import (
     VectorIndex,
     build_index,
     build_index_from_topic,
+    compact_index,
     create_empty_index,
     open_index,
     write_centroids,
@@ -118,8 +119,9 @@ def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {chunk_sql(DOCUMENTS_SQL, LINES)} SELECT chunk_id, doc_id, CAST(64 AS BIGINT) AS embedding_dimensions
     FROM (SELECT *, row_number() OVER (ORDER BY chunk_id) AS place FROM chunks) WHERE place <= 50""")
 def embedding_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = document_chunks(spark, sf_dir)
-    embedded = chunks.withColumn("embedding", embed_column(F.col("chunk"), HashingEmbedder, MODEL))
+    # The rows to show are chosen first, so that only they are embedded.
+    first = document_chunks(spark, sf_dir).orderBy("chunk_id").limit(PREVIEW_ROWS)
+    embedded = first.withColumn("embedding", embed_column(F.col("chunk"), HashingEmbedder, MODEL))
     return preview_rows(embedded).withColumn(
         "embedding_dimensions", F.col("embedding_dimensions").cast("bigint")
     )
@@ -167,18 +169,21 @@ def _shard_rows(vectors: DataFrame) -> DataFrame:
     FROM a GROUP BY centroid_idx""")
 def stream_embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index filled by streams: topic of passages, embed, topic of vectors, append."""
+    return _shard_rows(streamed_index(spark, sf_dir).vectors())
+
+
+def streamed_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     folder = scratch_folder(spark, "stream")
     embedded = embedded_chunks(spark, sf_dir)
     publish(to_messages(embedded, CHUNK_FIELDS), f"{folder}/ingestion")
-    for stream in embed_topic(
+    embed_topic(
         spark,
         f"{folder}/ingestion",
         f"{folder}/upload-index",
         f"{folder}/embed-dead-letters",
         f"{folder}/embed-checkpoint",
         model_key=MODEL,
-    ):
-        stream.awaitTermination()
+    ).awaitTermination()
     centres = source_centroids(embedded)
     path = f"{folder}/index"
     create_empty_index(spark, path)
@@ -192,7 +197,33 @@ def stream_embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{folder}/index-dead-letters",
         f"{folder}/index-checkpoint",
     ).awaitTermination()
-    return _shard_rows(index.vectors())
+    return index
+
+
+SIZES = f"""{SHARDS_SQL} SELECT 'shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') AS shard_id,
+      CAST(count(*) AS BIGINT) AS num_vectors, CAST(0 AS BIGINT) AS first_label,
+      CAST(count(*) - 1 AS BIGINT) AS last_label, CAST(count(*) AS BIGINT) AS labels
+    FROM a GROUP BY centroid_idx"""
+
+
+@query(SIZES)
+def compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, compacted into a new version: the same shards and labels."""
+    return _shard_rows(compact_index(stored_index(spark, sf_dir)).vectors())
+
+
+@query(f"""{SHARDS_SQL} SELECT 'shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') AS shard_id,
+      CAST(centroid_idx AS BIGINT) AS centroid_index, CAST(64 AS BIGINT) AS embedding_dim,
+      CAST(count(*) AS BIGINT) AS num_vectors, count(*) > 50000 AS over_limit FROM a GROUP BY centroid_idx""")
+def streamed_shard_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard metadata of an index that only streams have filled."""
+    return streamed_index(spark, sf_dir).shard_metadata().select(
+        "shard_id",
+        F.col("centroid_index").cast("bigint").alias("centroid_index"),
+        F.col("embedding_dim").cast("bigint").alias("embedding_dim"),
+        "num_vectors",
+        "over_limit",
+    )
 
 
 # Messages of the embeddings table, some of them broken (see the message queries).

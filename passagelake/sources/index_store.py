@@ -5,7 +5,6 @@ Layout below the index path::
     centroids/index_version=V/
     vectors/index_version=V/batch_id=B/centroid_idx=C/
     shard_counts/index_version=V/batch_id=B/
-    shard_metadata/index_version=V/
     index_metadata/                     one row per finished version
 
 A version is readable once its index_metadata row is there, which is written
@@ -177,19 +176,31 @@ class VectorIndex:
     path: str
     version: int
 
+    def metadata(self):
+        """The row that published this version, or None for one that is not published."""
+        rows = finished_versions(self.spark, self.path).where(F.col("index_version") == self.version)
+        return rows.orderBy(F.desc("created_at")).first()
+
     def centroids(self) -> DataFrame:
-        return _read(self.spark, f"{self.path}/centroids/index_version={self.version}", CENTROIDS)
+        """The centroids; a version that was published with some must still have them."""
+        folder = f"{self.path}/centroids/index_version={self.version}"
+        published = self.metadata()
+        if published is not None and published["num_centroids"]:
+            return self.spark.read.schema(CENTROIDS).parquet(folder)
+        return _read(self.spark, folder, CENTROIDS)
 
     def vectors(self, shards: list[int] | None = None) -> DataFrame:
         """The vectors, or only those of ``shards``; a shard without rows gives none.
 
         The shard is a partition column: naming shards means reading only their files.
         """
-        rows = _read(
-            self.spark,
-            f"{self.path}/vectors/index_version={self.version}",
-            f"{VECTORS}, batch_id bigint, centroid_idx int",
-        )
+        folder = f"{self.path}/vectors/index_version={self.version}"
+        schema = f"{VECTORS}, batch_id bigint, centroid_idx int"
+        if self.shard_sizes().isEmpty():
+            rows = _read(self.spark, folder, schema)
+        else:
+            # Counts say that there are vectors: a missing table is an error.
+            rows = self.spark.read.schema(schema).parquet(folder)
         return rows if shards is None else rows.where(F.col("centroid_idx").isin(shards))
 
     def shard_sizes(self, before_batch: int | None = None) -> DataFrame:
@@ -204,8 +215,11 @@ class VectorIndex:
         return counts.groupBy("centroid_idx").agg(F.sum("num_vectors").alias("num_vectors"))
 
     def shard_metadata(self) -> DataFrame:
-        """The shards as built; ``shard_sizes`` includes what was appended since."""
-        return self.spark.read.parquet(f"{self.path}/shard_metadata/index_version={self.version}")
+        """The shards as they are now, whether built at once, appended to or filled by a stream."""
+        published = self.metadata()
+        prefix = published["shard_prefix"] if published else SHARD_PREFIX
+        limit = published["max_shard_size"] if published else MAX_SHARD_SIZE
+        return shard_metadata(self.shard_sizes(), self.centroids(), prefix, self.path, max_shard_size=limit)
 
     def search(self, queries: DataFrame, k: int = 3, nprobe: int = 3, **options) -> DataFrame:
         return search_passages(queries, self.vectors(), self.centroids(), k, nprobe=nprobe, **options)
@@ -224,6 +238,37 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Ve
     return VectorIndex(spark, path, version)
 
 
+def _claim_version(spark: SparkSession, path: str) -> int:
+    """A version number that no other build has: its claim is a folder that only one build can create."""
+    last = finished_versions(spark, path).agg(F.max("index_version")).first()[0]
+    version = (last or 0) + 1
+    while True:
+        try:
+            spark.range(0).write.mode("errorifexists").parquet(f"{path}/claims/index_version={version}")
+            return version
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1
+
+
+def compact_index(index: VectorIndex) -> VectorIndex:
+    """A new version with the same rows and labels, its many appended batches made one.
+
+    Rows are dealt by ranges of shard and label, so a hot shard is written by several
+    tasks; readers of the old version are not disturbed.
+    """
+    spark, path = index.spark, index.path
+    published, centroids = index.metadata(), index.centroids()
+    version = _claim_version(spark, path)
+    write_centroids(spark, path, version, centroids)
+    limit = published["max_shard_size"]
+    rows = index.vectors().drop("batch_id").repartitionByRange("centroid_idx", "label")
+    write_vectors(rows, path, version, max_shard_size=limit)
+    write_index_metadata(spark, path, version, published["num_centroids"], published["shard_prefix"], limit)
+    return VectorIndex(spark, path, version)
+
+
 def build_index(
     embedded: DataFrame,
     path: str,
@@ -245,26 +290,20 @@ def build_index(
             embedded, num_centroids=num_centroids, max_samples=max_samples
         )
     found = centroids.count()
-    last = finished_versions(spark, path).agg(F.max("index_version")).first()[0]
-    version = (last or 0) + 1
     if not found:
         return spark.createDataFrame(
             [("empty", 0)], "status string, num_shards bigint"
         )
+    version = _claim_version(spark, path)
     write_centroids(spark, path, version, centroids)
     index = VectorIndex(spark, path, version)
     assigned = assign_nearest(
         embedded.select("chunk", "chunk_id", "doc_id", "chunk_len", "embedding"), index.centroids()
     ).drop("centroid_distance")
     # Counting the table reads no column; counting what was assigned would assign it.
-    labelled = dense_labels(assigned, total=embedded.count())
+    # They are stored, so that labelling, which counts before it numbers, assigns once.
+    labelled = dense_labels(reliable(assigned), total=embedded.count())
     write_vectors(labelled, path, version, max_shard_size=max_shard_size)
-    metadata = shard_metadata(
-        index.shard_sizes(), index.centroids(), shard_prefix, path, max_shard_size=max_shard_size
-    )
-    metadata.coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/shard_metadata/index_version={version}"
-    )
     write_index_metadata(spark, path, version, found, shard_prefix, max_shard_size)
     return index_summary(index.shard_metadata())
 
@@ -274,13 +313,13 @@ def build_index_from_topic(
 ) -> DataFrame:
     """Drain a topic of embedded chunks into a new version of an index.
 
-    At most ``max_messages`` good messages are used, all without it. They are
+    At most ``max_messages`` good messages are used, the first by chunk_id; all without it. They are
     validated once and kept as a table, which training and labelling then read.
     """
     good = validate_embedded(receive(spark, topic)).where(F.col("reason").isNull())
     good = good.drop("value", "reason")
     if max_messages is not None:
-        good = good.limit(max(0, max_messages))
+        good = good.orderBy("chunk_id", "doc_id", "chunk").limit(max(0, max_messages))
     return build_index(reliable(good), path, **options)
 
 
@@ -298,7 +337,7 @@ def append_vectors(embedded: DataFrame, index: VectorIndex, batch_id: int) -> No
     ).drop("centroid_distance")
     # One row per centroid.
     continued = (
-        dense_labels(assigned, total=embedded.count())
+        dense_labels(reliable(assigned), total=embedded.count())
         .join(F.broadcast(earlier), "centroid_idx", "left")
         .withColumn("label", F.col("label") + F.coalesce("_before", F.lit(0)))
         .drop("_before")

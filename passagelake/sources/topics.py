@@ -1,7 +1,7 @@
 """Message topics as folders of JSON lines, read in batches or as streams.
 
-The column shape (one string column ``value``) is that of the Kafka source, so
-the same functions serve a Kafka topic.
+Stages take a folder, or any streaming frame with a column ``value``, such as a
+Kafka topic's.
 """
 
 from __future__ import annotations
@@ -39,9 +39,17 @@ def publish(messages: DataFrame, topic: str | None) -> bool:
 
 
 def receive(spark: SparkSession, topic: str, max_messages: int | None = None) -> DataFrame:
-    """The messages of a topic as a batch; ``max_messages`` <= 0 receives none."""
-    messages = spark.read.option("lineSep", "\n").text(topic).select("value")
-    return messages if max_messages is None else messages.limit(max(0, max_messages))
+    """The messages of a topic as a batch, or the first ``max_messages`` by file and place in it."""
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True)
+    messages = reader.text(topic)
+    if max_messages is None:
+        return messages.select("value")
+    placed = messages.select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    # A bounded receive is for a few messages: one task takes the first of every split.
+    return placed.orderBy("_file", "_block", "_row").limit(max(0, max_messages)).select("value")
 
 
 def subscribe(spark: SparkSession, topic: str, max_files_per_trigger: int = 64) -> DataFrame:

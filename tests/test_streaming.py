@@ -3,8 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from passagelake.functions.embed import HashingEmbedder, embed_column
-from passagelake.sources.index_store import create_empty_index, open_index, write_centroids, write_index_metadata
-from passagelake.sources.topics import receive
+from passagelake.sources.index_store import compact_index, create_empty_index, open_index, write_centroids, write_index_metadata
+from passagelake.sources.topics import receive, subscribe
 from passagelake.streaming.stages import (
     embed_topic,
     index_topic,
@@ -26,14 +26,10 @@ def send(spark, topic, numbers, extra=()):
 
 
 def run(spark, base, index):
-    streams = embed_topic(
+    embed_topic(
         spark, f"{base}/in", f"{base}/out", f"{base}/dead", f"{base}/cp", max_files_per_trigger=2
-    )
-    for stream in streams:
-        stream.awaitTermination()
-    query = index_topic(spark, f"{base}/out", index, f"{base}/dead2", f"{base}/cp2", 2)
-    query.awaitTermination()
-    return query
+    ).awaitTermination()
+    index_topic(spark, f"{base}/out", index, f"{base}/dead2", f"{base}/cp2", 2).awaitTermination()
 
 
 def test_streams_fill_the_index_once(spark, tmp_path):
@@ -47,14 +43,19 @@ def test_streams_fill_the_index_once(spark, tmp_path):
 
     bad = ["{bad", "[1]", json.dumps({"chunk": "x", "chunk_id": "y"}), json.dumps({"doc_id": 1})]
     send(spark, f"{base}/in", range(60), bad)
-    query = run(spark, base, index)
+    run(spark, base, index)
     assert index.vectors().count() == 60
-    assert {r.reason for r in read_dead_letters(spark, f"{base}/dead").collect()} == {
+    assert sorted(r.reason for r in read_dead_letters(spark, f"{base}/dead").collect()) == [
         "Invalid JSON",
+        "Missing ids",
         "Schema validation failed",
-    }
-    assert read_dead_letters(spark, f"{base}/dead").count() == 2
-    assert progress_report(spark, query).agg(F.sum("messages")).first()[0] == 60
+    ]
+    sums = progress_report(spark, f"{base}/cp").agg(
+        *[F.sum(c) for c in ("messages", "accepted", "dropped", "dead_lettered")]
+    )
+    assert tuple(sums.first()) == (64, 60, 1, 2)
+    assert progress_report(spark, f"{base}/cp2").agg(F.sum("accepted")).first()[0] == 60
+    assert index.shard_metadata().agg(F.sum("num_vectors")).first()[0] == 60
 
     # A second run takes only what is new.
     send(spark, f"{base}/in", range(60, 100))
@@ -63,6 +64,14 @@ def test_streams_fill_the_index_once(spark, tmp_path):
     assert stored.count() == 100 == stored.select("chunk_id").distinct().count()
     assert receive(spark, f"{base}/out").count() == 100
 
+    # Many small batches become one, with the same rows and labels.
+    compact = compact_index(index)
+    assert compact.version > index.version and open_index(spark, path).version == compact.version
+    columns = ["centroid_idx", "label", "chunk_id", "doc_id", "chunk", "chunk_len", "embedding"]
+    assert compact.vectors().select(columns).exceptAll(index.vectors().select(columns)).count() == 0
+    assert compact.vectors().count() == 100
+    assert {r.batch_id for r in compact.vectors().select("batch_id").distinct().collect()} == {0}
+
     # What went through the streams equals one batch over the same messages.
     batch = spark.range(100).select(
         F.format_string("c%d", "id").alias("chunk_id"),
@@ -118,3 +127,15 @@ def test_no_message_stops_the_streams_or_merges_ids(spark, tmp_path):
     assert kept == {
         "12345678901234567890123": "d", "12345678901234567890124": "d", "z": "-3", "y": "1" + "0" * 30,
     }
+
+
+def test_any_stream_and_any_writer(spark, tmp_path):
+    base = str(tmp_path)
+    send(spark, f"{base}/in", range(10))
+    # A frame as a broker gives it: binary values and more columns.
+    frame = subscribe(spark, f"{base}/in").select(F.col("value").cast("binary").alias("value"), F.lit(1).alias("offset"))
+    sent = []
+    embed_topic(
+        spark, frame, lambda messages, batch: sent.extend(r.value for r in messages.collect()), f"{base}/dead", f"{base}/cp"
+    ).awaitTermination()
+    assert sorted(json.loads(m)["chunk_id"] for m in sent) == sorted(f"c{n}" for n in range(10))

@@ -1,13 +1,13 @@
-"""Reports over runs and stored shards."""
+"""Reports over runs and their passages."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# The space kept for shards, in bytes, and the rows of a preview.
-MAX_BYTES = 2 * 1024**3
+# Fixed value: the rows of a preview.
 PREVIEW_ROWS = 50
 
 
@@ -53,22 +53,50 @@ def run_report(
     )
 
 
-def retention_candidates(
-    shards: DataFrame, max_bytes: int = MAX_BYTES, group_col: str | None = None
-) -> DataFrame:
-    """Shards to remove so that the rest fits: least recently used first.
+class RunRecord:
+    """Keeps what a job did as rows of a table: its start, and its end or error.
 
-    ``shards`` has shard_id, bytes and last_used, one row per shard. A shard goes as
-    long as those before it have not yet freed the excess; below the limit none goes.
-    The ordering is over shards, which are as many as centroids, not over vectors.
+    ``with RunRecord(spark, folder, "chunking") as run: ... run.chunks = n``. A failed
+    job is recorded and the error goes on. ``RunRecord.report`` reads the table.
     """
-    groups = [group_col] if group_col else []
-    oldest = Window.partitionBy(*groups).orderBy("last_used", "shard_id")
-    freed = F.sum("bytes").over(oldest.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("bytes").over(Window.partitionBy(*groups))
-    return (
-        shards.withColumn("_freed", F.coalesce(freed, F.lit(0)))
-        .withColumn("_total", total)
-        .where(F.col("_freed") < F.col("_total") - max_bytes)
-        .drop("_freed", "_total")
+
+    SCHEMA = (
+        "run_id string, job string, status string, start_time timestamp, end_time timestamp, "
+        "total_chunks bigint, error_message string"
     )
+
+    def __init__(self, spark: SparkSession, folder: str, job: str, clock=datetime.now):
+        self.spark, self.folder, self.job, self.clock = spark, folder, job, clock
+        self.run_id, self.chunks = uuid.uuid4().hex, 0
+
+    def _write(self, status: str, end=None, error: str | None = None) -> None:
+        row = (self.run_id, self.job, status, self.start, end, self.chunks, error)
+        frame = self.spark.createDataFrame([row], self.SCHEMA)
+        frame.coalesce(1).write.mode("append").parquet(self.folder)
+
+    def __enter__(self) -> RunRecord:
+        self.start = self.clock()
+        self._write("running")
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        message = None if kind is None else f"{kind.__name__}: {error}"
+        self._write("completed" if kind is None else "failed", self.clock(), message)
+
+    @staticmethod
+    def report(spark: SparkSession, folder: str) -> DataFrame:
+        """One row per run: is_running, status, start_time, end_time, total_chunks, duration_seconds, error_message."""
+        rows = spark.read.schema(RunRecord.SCHEMA).parquet(folder)
+        last = F.struct(F.col("end_time").isNotNull().alias("ended"), *[c for c in rows.columns if c != "run_id"])
+        latest = rows.groupBy("run_id").agg(F.max(last).alias("r")).select("run_id", "r.*")
+        return latest.select(
+            "run_id",
+            "job",
+            (~F.col("ended")).alias("is_running"),
+            "status",
+            "start_time",
+            "end_time",
+            "total_chunks",
+            (F.col("end_time").cast("double") - F.col("start_time").cast("double")).alias("duration_seconds"),
+            "error_message",
+        )

@@ -10,36 +10,48 @@ from passagelake.operators.validation import (
     prepare_for_embedding,
     validate_embedded,
 )
-from passagelake.plans.catalog import query, table, text_table
-from passagelake.sources.topics import topic_statistics as statistics
+from passagelake.operators.reports import RunRecord
+from passagelake.plans.catalog import query, text_table
+from passagelake.session import scratch_folder
+from passagelake.sources.topics import publish, receive, topic_statistics as statistics
+
+LONG_ID = "123456789012345"
+
 
 # Embedded chunks made from the embeddings table. The label decides what is wrong:
 # 0 cut-off JSON, 1 no chunk_len, 2 a null inside the vector, 3 a number as chunk,
 # 4 no doc_id, 5 empty body, 6 a list, 7 chunk_len as text, 8 chunk_id as number,
-# 9 nothing.
+# 9 nothing, unless the id ends in 1 (chunk_len beyond 32 bits), 2 (a number beyond
+# the range of floats), 3 (a fractional chunk_id) or 4 (a chunk_id of 23 digits).
 def embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     label, vec_id = F.col("label"), F.col("vec_id")
+    special = F.when(label == 9, vec_id % 10)
     name = F.concat(F.lit("vector "), vec_id)
     numbers = F.transform("embedding", lambda x: x.cast("string"))
-    texts = F.when(label == 2, F.array_append(numbers, F.lit("null"))).otherwise(numbers)
+    texts = (
+        F.when(label == 2, F.array_append(numbers, F.lit("null")))
+        .when(special == 2, F.array_append(numbers, F.lit("1e300")))
+        .otherwise(numbers)
+    )
     quote = F.lit('"')
     body = F.concat_ws(
         ",",
         F.concat(F.lit('"chunk":'), F.when(label == 3, "5").otherwise(F.concat(quote, name, quote))),
         F.concat(
             F.lit('"chunk_id":'),
-            F.when(label == 8, vec_id.cast("string")).otherwise(
-                F.concat(F.lit('"v'), vec_id, quote)
-            ),
+            F.when(label == 8, vec_id.cast("string"))
+            .when(special == 3, F.concat(vec_id.cast("string"), F.lit(".5")))
+            .when(special == 4, F.concat(F.lit(LONG_ID), F.lpad(vec_id.cast("string"), 8, "0")))
+            .otherwise(F.concat(F.lit('"v'), vec_id, quote)),
         ),
         F.when(label != 4, F.concat(F.lit('"doc_id":'), vec_id)),
         F.when(
             label != 1,
             F.concat(
                 F.lit('"chunk_len":'),
-                F.when(label == 7, F.concat(quote, F.length(name), quote)).otherwise(
-                    F.length(name).cast("string")
-                ),
+                F.when(label == 7, F.concat(quote, F.length(name), quote))
+                .when(special == 1, "3000000000")
+                .otherwise(F.length(name).cast("string")),
             ),
         ),
         F.concat(F.lit('"embedding":['), F.array_join(texts, ","), F.lit("]")),
@@ -55,13 +67,18 @@ def embedded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VALIDATED_SQL = """WITH checked AS (SELECT vec_id, label, embedding,
       CASE WHEN label = 0 THEN 'Invalid JSON' WHEN label BETWEEN 1 AND 6 THEN 'Schema validation failed'
+        WHEN label = 9 AND vec_id % 10 BETWEEN 1 AND 3 THEN 'Schema validation failed'
       END AS reason FROM embeddings)"""
 
 
+# All numbers of a vector are in its checksum: the sum of each, weighted by its place.
 @query(f"""{VALIDATED_SQL} SELECT 'vector ' || vec_id AS chunk,
-      CASE WHEN label = 8 THEN '' ELSE 'v' END || vec_id AS chunk_id, CAST(vec_id AS VARCHAR) AS doc_id,
+      CASE WHEN label = 8 THEN CAST(vec_id AS VARCHAR) WHEN label = 9 AND vec_id % 10 = 4
+        THEN '{LONG_ID}' || lpad(CAST(vec_id AS VARCHAR), 8, '0') ELSE 'v' || vec_id END AS chunk_id,
+      CAST(vec_id AS VARCHAR) AS doc_id,
       CAST(length('vector ' || vec_id) AS BIGINT) AS chunk_len, CAST(len(embedding) AS BIGINT) AS dim,
-      CAST(embedding[1] AS DOUBLE) AS first_number FROM checked WHERE reason IS NULL""")
+      round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i)), 5) + 0.0 AS checksum
+    FROM checked WHERE reason IS NULL""")
 def message_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = validate_embedded(embedded_messages(spark, sf_dir))
     return checked.where(F.col("reason").isNull()).select(
@@ -70,7 +87,12 @@ def message_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("chunk_len").cast("bigint").alias("chunk_len"),
         F.size("embedding").cast("bigint").alias("dim"),
-        F.element_at("embedding", 1).cast("double").alias("first_number"),
+        F.round(
+            F.aggregate(
+                F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+            ),
+            5,
+        ).alias("checksum"),
     )
 
 
@@ -138,21 +160,43 @@ def embed_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_run(prepare_for_embedding(chunk_messages(spark, sf_dir)))
 
 
-# Every event is a message: its type is the subscription, errors in its value the status.
-@query("""WITH messages AS (SELECT event_type AS subscription, CASE WHEN value > 90 THEN 'dead-lettered'
-        WHEN value < 5 THEN 'transfer-dead-lettered' WHEN value < 40 THEN 'active' ELSE 'completed' END
-        AS status FROM events)
-    SELECT subscription, CAST(count(*) FILTER (status = 'active') AS BIGINT) AS active_messages,
-      CAST(count(*) FILTER (status = 'dead-lettered') AS BIGINT) AS dead_letter_messages,
-      CAST(count(*) FILTER (status = 'transfer-dead-lettered') AS BIGINT) AS transfer_dead_letter_messages,
+# The messages of both stages: chunks to embed (ingestion) and embedded chunks (upload-index).
+@query(f"""{VALIDATED_SQL}, messages AS (
+      SELECT 'upload-index' AS subscription, reason IS NOT NULL AS dead FROM checked
+      UNION ALL SELECT 'ingestion', source IN ('src0', 'src8') FROM documents)
+    SELECT subscription, CAST(count(*) FILTER (NOT dead) AS BIGINT) AS active_messages,
+      CAST(count(*) FILTER (dead) AS BIGINT) AS dead_letter_messages,
+      CAST(0 AS BIGINT) AS transfer_dead_letter_messages,
       CAST(count(*) AS BIGINT) AS total_messages FROM messages GROUP BY ROLLUP (subscription)""")
 def topic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
-    status = (
-        F.when(value > 90, "dead-lettered")
-        .when(value < 5, "transfer-dead-lettered")
-        .when(value < 40, "active")
-        .otherwise("completed")
-    )
-    events = table(spark, sf_dir, "events")
-    return statistics(events.select(F.col("event_type").alias("subscription"), status.alias("status")))
+    """Statistics of written topics and of what their stages set aside."""
+    folder = scratch_folder(spark, "topics")
+    sides = []
+    for name, messages, check in (
+        ("ingestion", chunk_messages(spark, sf_dir), prepare_for_embedding),
+        ("upload-index", embedded_messages(spark, sf_dir), validate_embedded),
+    ):
+        publish(messages, f"{folder}/{name}")
+        check(receive(spark, f"{folder}/{name}")).select("value", "reason").write.parquet(f"{folder}/{name}-read")
+        read = spark.read.parquet(f"{folder}/{name}-read")
+        status = F.when(F.col("reason").isNull(), "active").otherwise("dead-lettered")
+        sides.append(read.select(F.lit(name).alias("subscription"), status.alias("status")))
+    return statistics(sides[0].unionByName(sides[1]))
+
+
+@query(f"""{VALIDATED_SQL} SELECT 'completed' AS status, CAST(count(*) AS BIGINT) AS total_chunks,
+      false AS is_running, CAST(NULL AS VARCHAR) AS error_message FROM checked WHERE reason IS NULL
+    UNION ALL SELECT 'failed', 0, false, 'ValueError: no messages left'""")
+def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that counts the good messages, and one that fails, as the run table has them."""
+    folder = scratch_folder(spark, "runs")
+    checked = validate_embedded(embedded_messages(spark, sf_dir))
+    with RunRecord(spark, folder, "index") as run:
+        run.chunks = checked.where("reason is null").count()
+    try:
+        with RunRecord(spark, folder, "index"):
+            if checked.where("reason = 'none such'").isEmpty():
+                raise ValueError("no messages left")
+    except ValueError:
+        pass
+    return RunRecord.report(spark, folder).select("status", "total_chunks", "is_running", "error_message")

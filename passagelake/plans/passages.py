@@ -15,6 +15,7 @@ from passagelake.sources.corpus import (
     keep_language,
     language_summary,
     parse_documents,
+    read_corpus,
     read_documents,
     read_in_order,
     sample_missing_files as sample_files,
@@ -118,13 +119,7 @@ def chunk_stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_REASON = """CASE WHEN lang = 'de' THEN 'Invalid JSON' END"""
 
 
-@query(f"""SELECT CASE WHEN lang = 'de' THEN source || '_' || doc_id
-                       WHEN lang = 'es' THEN source || '_' || doc_id
-                       ELSE CAST(doc_id AS VARCHAR) END AS id,
-      CAST(CASE WHEN lang IN ('fr', 'de') THEN 0 ELSE length(text) END AS BIGINT) AS chars,
-      source AS source_file, {RAW_REASON} AS reason
-    FROM documents WHERE n_chars >= 40""")
-def parse_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.col("lang")
     record = F.to_json(
         F.struct(
@@ -138,11 +133,21 @@ def parse_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lang == "de", F.concat(F.lit("{"), record))
         .otherwise(record)
     )
-    lines = text_table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         value.alias("value"),
         F.col("source").alias("source_file"),
         F.col("doc_id").alias("line_num"),
     )
+
+
+@query(f"""SELECT CASE WHEN lang = 'de' THEN source || '_' || doc_id
+                       WHEN lang = 'es' THEN source || '_' || doc_id
+                       ELSE CAST(doc_id AS VARCHAR) END AS id,
+      CAST(CASE WHEN lang IN ('fr', 'de') THEN 0 ELSE length(text) END AS BIGINT) AS chars,
+      source AS source_file, {RAW_REASON} AS reason
+    FROM documents WHERE n_chars >= 40""")
+def parse_raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_lines(spark, sf_dir)
     parsed = parse_documents(lines, F.col("line_num"))
     return parsed.select(
         "id", F.length("text").cast("bigint").alias("chars"), "source_file", "reason"
@@ -160,6 +165,25 @@ def exported_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", F.col("chunk_len").cast("bigint").alias("chunk_len"))
 
 
+# The same lines as gzipped files, one or more for each source, some of them broken off.
+@query(f"""SELECT source, CAST(count(*) FILTER (lang NOT IN ('fr', 'de')) AS BIGINT) AS kept,
+      CAST(count(*) FILTER (lang = 'de') AS BIGINT) AS invalid,
+      CAST(count(*) FILTER (lang = 'fr') AS BIGINT) AS empty, CAST(0 AS BIGINT) AS skipped_files
+    FROM documents WHERE n_chars >= 40 GROUP BY source""")
+def corpus_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reading a raw corpus kept, rejected and skipped, by source."""
+    folder = scratch_folder(spark, "raw")
+    written = raw_lines(spark, sf_dir).select("value", F.col("source_file").alias("src"))
+    written.write.partitionBy("src").option("compression", "gzip").text(folder)
+    report = read_corpus(spark, folder).report()
+    return report.groupBy(F.regexp_extract("source_file", "src=([^/]*)", 1).alias("source")).agg(
+        F.sum("kept").alias("kept"),
+        F.sum("invalid").alias("invalid"),
+        F.sum("empty").alias("empty"),
+        F.count("skipped").alias("skipped_files"),
+    )
+
+
 PLAN_SHARD = 300
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from passagelake.functions.ids import object_path, shard_name
 from passagelake.functions.vectors import cosine, inner_product, l2_distance
 from passagelake.operators.centroids import (
+    NUM_CENTROIDS,
     assign_nearest,
     group_centroids,
+    lloyd_steps,
     route,
     train_centroids,
 )
 from passagelake.operators.labels import dense_labels
-from passagelake.operators.reports import retention_candidates as candidates
 from passagelake.operators.sampling import sample_rows
 from passagelake.operators.search import (
     recall_at_k as recall,
@@ -89,12 +90,14 @@ def _hits(found: DataFrame, *more: str) -> DataFrame:
     )
 
 
-@query("""SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding[1] AS DOUBLE) AS first_number
-    FROM embeddings ORDER BY md5('42:' || vec_id), CAST(vec_id AS VARCHAR) LIMIT 100""")
+@query("""WITH sample AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e
+      FROM embeddings ORDER BY md5('42:' || vec_id), CAST(vec_id AS VARCHAR) LIMIT 100)
+    SELECT chunk_id, CAST(generate_subscripts(e, 1) - 1 AS BIGINT) AS dim, unnest(e) AS number FROM sample""")
 def sample_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = sample_rows(vectors(spark, sf_dir), "chunk_id", 100)
-    return sample.select(
-        "chunk_id", F.element_at("embedding", 1).cast("double").alias("first_number")
+    numbers = sample.select("chunk_id", F.posexplode("embedding").alias("dim", "number"))
+    return numbers.select(
+        "chunk_id", F.col("dim").cast("bigint").alias("dim"), F.col("number").cast("double").alias("number")
     )
 
 
@@ -179,14 +182,54 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(routed, exact).select("queries", F.round("recall", 6).alias("recall"))
 
 
-@query()
+@query("""SELECT CAST(count(*) AS BIGINT) AS num_vectors, CAST(count(*) AS BIGINT) AS at_nearest,
+      CAST(least(30, count(DISTINCT embedding)) AS BIGINT) AS num_centroids FROM embeddings""")
 def kmeans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard sizes under trained centroids; k-means itself has no SQL form."""
+    """Shards under trained centroids, as what must hold of them: no vector lost, each at its nearest."""
     rows = vectors(spark, sf_dir)
-    shards = assign_nearest(rows, train_centroids(rows))
-    return shards.groupBy("centroid_idx").agg(
+    centres = reliable(train_centroids(rows))
+    shards = assign_nearest(rows, centres)
+    # Routing to all 30 gives the distances that the assigned one is held against.
+    asked = rows.select("embedding", F.col("chunk_id").alias("query_id"))
+    routed = route(asked, centres, nprobe=NUM_CENTROIDS)
+    gaps = shards.select("chunk_id", F.col("centroid_distance").alias("_own")).join(
+        routed.select(F.col("query_id").alias("chunk_id"), F.col("centroid_distance").alias("_gap")), "chunk_id"
+    )
+    least = gaps.groupBy("chunk_id", "_own").agg(F.min("_gap").alias("_least"))
+    near = F.abs(F.col("_own") - F.col("_least")) < 1e-6
+    return least.agg(
         F.count(F.lit(1)).alias("num_vectors"),
-        F.round(F.avg("centroid_distance"), 6).alias("mean_distance"),
+        F.count_if(near).alias("at_nearest"),
+        F.lit(centres.count()).cast("bigint").alias("num_centroids"),
+    )
+
+
+LLOYD_CENTRES = 5
+
+
+def _lloyd_sql(step: int) -> str:
+    """CTEs of one Lloyd step: the vectors nearest to each centre, and their means."""
+    return f"""n{step} AS (SELECT v.chunk_id, v.e, k.i, row_number() OVER (PARTITION BY v.chunk_id
+        ORDER BY list_distance(v.e, k.e), k.i) AS r FROM v, k{step - 1} k),
+      p{step} AS (SELECT i, generate_subscripts(e, 1) AS d, unnest(e) AS x FROM n{step} WHERE r = 1),
+      m{step} AS (SELECT i, list(x ORDER BY d) AS e FROM (SELECT i, d, avg(x) AS x FROM p{step} GROUP BY i, d)
+        GROUP BY i),
+      k{step} AS (SELECT k.i, coalesce(m.e, k.e) AS e FROM k{step - 1} k LEFT JOIN m{step} m ON k.i = m.i)"""
+
+
+@query(f"""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      k0 AS (SELECT row_number() OVER (ORDER BY md5('42:' || chunk_id), chunk_id) - 1 AS i, e FROM v
+        QUALIFY i < {LLOYD_CENTRES}), {_lloyd_sql(1)}, {_lloyd_sql(2)}, {_lloyd_sql(3)}
+    SELECT CAST(i AS BIGINT) AS centroid_idx, CAST(generate_subscripts(e, 1) - 1 AS BIGINT) AS dim,
+      round(unnest(e), 6) + 0.0 AS number FROM k3""")
+def lloyd_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Lloyd steps from seeded starts, over all vectors."""
+    centres = lloyd_steps(vectors(spark, sf_dir), LLOYD_CENTRES, 3)
+    numbers = centres.select("centroid_idx", F.posexplode("centroid").alias("dim", "x"))
+    return numbers.select(
+        F.col("centroid_idx").cast("bigint").alias("centroid_idx"),
+        F.col("dim").cast("bigint").alias("dim"),
+        F.round("x", 6).alias("number"),
     )
 
 
@@ -194,7 +237,8 @@ def kmeans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(row_number() OVER (PARTITION BY centroid_idx ORDER BY md5(chunk_id), chunk_id) - 1 AS BIGINT) AS label
     FROM a""")
 def shard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = dense_labels(assigned(spark, sf_dir))
+    # Stored first: labelling counts before it numbers, and must not assign twice.
+    labelled = dense_labels(reliable(assigned(spark, sf_dir).select("chunk_id", "centroid_idx")))
     return labelled.select(
         "chunk_id", F.col("centroid_idx").cast("bigint").alias("centroid_idx"), "label"
     )
@@ -265,21 +309,3 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(inner_product(*pair), 6).alias("inner_product"),
         F.round(cosine(*pair), 6).alias("cosine"),
     )
-
-
-# Shards of 256 bytes per vector; the smallest vector id stands for the last use.
-USAGE_SQL = """usage AS (SELECT centroid_idx, count(*) * 256 AS bytes, min(CAST(chunk_id AS BIGINT)) AS last_used
-      FROM a GROUP BY centroid_idx),
-    running AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY last_used, centroid_idx
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(bytes) OVER () AS total FROM usage)"""
-
-
-@query(f"""{WITH}, {USAGE_SQL} SELECT 'shard_' || lpad(CAST(centroid_idx AS VARCHAR), 3, '0') AS shard_id,
-      CAST(bytes AS BIGINT) AS bytes, last_used FROM running WHERE freed < total - 65536""")
-def retention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usage = assigned(spark, sf_dir).groupBy("centroid_idx").agg(
-        (F.count(F.lit(1)) * 256).alias("bytes"),
-        F.min(F.col("chunk_id").cast("bigint")).alias("last_used"),
-    )
-    shards = usage.select(shard_name(F.col("centroid_idx")).alias("shard_id"), "bytes", "last_used")
-    return candidates(shards, max_bytes=65536)

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from passagelake.operators.prompts import (
     FALLBACK_ANSWER,
     NO_ANSWER,
@@ -11,7 +13,7 @@ from passagelake.operators.prompts import (
 from passagelake.operators.reports import (
     chunk_counts,
     embedding_preview,
-    retention_candidates,
+    RunRecord,
     run_report,
 )
 from passagelake.session import recommended_settings
@@ -40,21 +42,6 @@ def test_prompts_answers_and_fallback(spark):
     assert found[3].final_answer == "nd?" and found[3].results == []
 
 
-def test_retention(spark):
-    shards = spark.createDataFrame(
-        [("a", 40, 3), ("b", 30, 1), ("c", 30, 2), ("d", 1, 9)], "shard_id string, bytes long, last_used long"
-    )
-    def gone(limit):
-        return sorted(r.shard_id for r in retention_candidates(shards, limit).collect())
-
-    assert gone(101) == [] and gone(200) == []
-    assert gone(100) == ["b"] and gone(71) == ["b"] and gone(70) == ["b", "c"]
-    assert gone(0) == ["a", "b", "c", "d"]
-    both = shards.selectExpr("*", "if(shard_id < 'c', 'x', 'y') client")
-    kept = retention_candidates(both, 40, "client").collect()
-    assert sorted(r.shard_id for r in kept) == ["b"]
-
-
 def test_reports(spark):
     chunks = spark.createDataFrame([("f",), ("f",), ("g",)], "source_file string")
     assert {r.source_file: r.chunks for r in chunk_counts(chunks).collect()} == {"f": 2, "g": 1, None: 3}
@@ -77,3 +64,20 @@ def test_embedding_preview(spark):
     )
     shown = embedding_preview(rows).collect()
     assert len(shown) == 50 and tuple(shown[0]) == ("c00", "d", 4)
+
+
+def test_runs_are_recorded(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    with RunRecord(spark, folder, "chunking") as run:
+        assert RunRecord.report(spark, folder).first().is_running
+        run.chunks = 7
+    with pytest.raises(ZeroDivisionError):
+        with RunRecord(spark, folder, "embedding"):
+            1 / 0
+    rows = {r.job: r for r in RunRecord.report(spark, folder).collect()}
+    assert (rows["chunking"].status, rows["chunking"].total_chunks) == ("completed", 7)
+    assert rows["chunking"].duration_seconds >= 0 and not rows["chunking"].is_running
+    assert (rows["embedding"].status, rows["embedding"].error_message) == (
+        "failed",
+        "ZeroDivisionError: division by zero",
+    )

@@ -16,6 +16,7 @@ import re
 from pyspark.sql import DataFrame, functions as F
 
 from passagelake.llm.common import map_rows
+from passagelake.session import reliable
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
@@ -337,7 +338,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         F.xxhash64("page_id", "url", "html").alias("page_key"),
     )
     host_pages = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    subtrees = page_subtrees(keyed)
+    # Stored, so that counting and looking up parse the pages once.
+    subtrees = reliable(page_subtrees(keyed))
     templates = site_templates(subtrees, host_pages, min_pages, min_share)
     # One subtree can stand on a third of all pages: adaptive execution splits that join.
     hits = (

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -57,6 +59,19 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], sc
     return df.mapInArrow(run, schema)
 
 
+def kept_in_worker(key: object, build: Callable[[], object]) -> object:
+    """What ``build`` gives, made once in each Python worker and kept for its later tasks.
+
+    For tokenizers and the like. Functions are shipped to the tasks by value, so their
+    own module's variables would not last; the object is kept beside them.
+    """
+    name = "_kept_in_worker"
+    kept = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder the cluster shares, by its scheme, and the path on it."""
     if "://" not in folder and not folder.startswith("file:"):

@@ -14,77 +14,152 @@ and with them the first token's place in the whole, the prefix sum of the shards
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from passagelake.llm.common import filesystem, map_rows, publish_file
+from passagelake.llm.common import filesystem, kept_in_worker, map_rows, publish_file
 from passagelake.session import scratch_folder
 
 END_ID = 2
-CACHED_PIECES = 400_000
+CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
 
 
+_PUNCTUATION = ".,;:!?)]}\"%"
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class PieceEncoder:
-    """Encode whole texts through the library, each distinct space-led piece once.
+    """Encode whole texts through the library, each distinct word once.
 
     The pre-tokenizer always starts a new token at a single space between two
     characters that are not white space, so a text may be cut there and the ids
-    joined. Texts with other spacing at a cut, and long pieces, go to the library
-    as they are. The cache is emptied when it is full.
+    joined; the same holds between a letter and the punctuation that ends a word. A
+    word of letters is one pre-token and goes to the library's model as it is. Texts
+    with other spacing are cut at such spaces only.
+
+    Words are found and put together in array operations. Their ids are kept in two
+    generations: when the young one is full it becomes the old one, whose words move
+    back as they are seen again. Long words are not kept.
     """
 
     def __init__(self, path: str, end_id: int | None = END_ID):
+        # One thread per task: Spark runs a task on each core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.shown = byte_characters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         largest = max(self.tokenizer.get_vocab_size() - 1, end_id or 0)
         self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], dtype=self.dtype).tobytes()
+        self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(ids, dtype=self.dtype).tobytes() for ids in found]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word led by a space."""
+        if not word.isalpha():
+            return self._encode([" " + word])[0]
+        shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+        return np.array([t.id for t in self.model.tokenize(self.shown[32] + shown)], self.dtype).tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Pieces that encode apart from each other; they join to the text."""
+        """Pieces of a text with any spacing; they join to the text and encode apart."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            # Spaces next to other white space stay together with their neighbours.
-            cut, held = [], parts[0]
-            for left, right in zip(parts, parts[1:]):
-                if left and right and not left[-1].isspace() and not right[0].isspace():
-                    cut.append(held)
-                    held = " " + right
-                else:
-                    held += " " + right
-            cut.append(held)
-            return cut
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        pieces, cache = self.pieces(text), self.cache
-        if len(cache) > CACHED_PIECES:
-            cache.clear()
-        missing = [p for p in dict.fromkeys(pieces) if p not in cache]
-        once: dict[str, bytes] = {}
-        if missing:
-            for piece, ids in zip(missing, self._encode(missing)):
-                (cache if len(piece) <= LONGEST_CACHED else once)[piece] = ids
-        if once:
-            return b"".join([cache[p] if p in cache else once[p] for p in pieces]) + self.end
-        return b"".join([cache[p] for p in pieces]) + self.end
+        cut, held = [], parts[0]
+        for left, right in pairwise(parts):
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                cut.append(held)
+                held = " " + right
+            else:
+                held += " " + right
+        cut.append(held)
+        return cut
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the different words, led by a space."""
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old, ends, out = self.young, self.old, {"": b""}, []
+        for word in words:
+            ids = young.get(word)
+            if ids is None:
+                ids = old.get(word)
+                if ids is None:
+                    stem = word.rstrip(_PUNCTUATION)
+                    if not stem or not stem[-1].isalpha():
+                        stem = word
+                    end = word[len(stem) :]
+                    if end not in ends:
+                        ends[end] = self._encode([end])[0]
+                    ids = (young.get(stem) or old.get(stem) or self._word(stem)) + ends[end]
+                if len(word) <= LONGEST_CACHED:
+                    young[word] = ids
+            out.append(ids)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text, with the end id."""
+        column = pa.array([t or "" for t in texts], type=pa.string())
+        lists = pc.split_pattern(column, " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_pylist()
+        # Texts with a space next to other white space go another way.
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
+        seen = np.concatenate([[0], np.cumsum(odd[codes])])
+        regular = seen[edges[1:]] == seen[edges[:-1]]
+        found = [b"" if o else i for o, i in zip(odd.tolist(), self._words(words))]
+        # The first word of a text has no space in front.
+        heads = {}
+        for text, ok in zip(range(len(texts)), regular.tolist()):
+            if ok:
+                head = words[codes[edges[text]]]
+                if head not in heads:
+                    heads[head] = len(found)
+                    found.append(self._encode([head])[0])
+                codes[edges[text]] = heads[head]
+        tokens = np.frombuffer(b"".join(found), dtype=self.dtype)
+        lengths = np.array([len(f) // self.dtype.itemsize for f in found], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[codes]
+        after = np.cumsum(each)
+        joined = tokens[np.repeat(starts[codes] - after + each, each) + np.arange(each.sum())]
+        bounds = np.concatenate([[0], after])[edges]
+        out = []
+        for i, text in enumerate(texts):
+            if regular[i]:
+                ids = joined[bounds[i] : bounds[i + 1]]
+            elif text:
+                ids = np.frombuffer(b"".join(self._encode(self.pieces(text))), dtype=self.dtype)
+            else:
+                ids = self.end[:0]
+            out.append(np.concatenate([ids, self.end]))
+        return out
 
 
 def write_token_files(
@@ -116,17 +191,18 @@ def write_token_files(
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
         files, path = filesystem(folder)
-        encode, offsets, ids, total = None, [0], [], 0
+        offsets, ids, total = [0], [], 0
         names = {n: f"{path}/{n}-{shard:06d}.bin" for n in ("tokens", "offsets", "ids")}
         out = None
         for rows in slices:
             if out is None:
-                encode = PieceEncoder(tokenizer_path, end_id)
+                encoder = kept_in_worker(
+                    (PieceEncoder.__name__, tokenizer_path, end_id), lambda: PieceEncoder(tokenizer_path, end_id)
+                )
                 out = files.open_output_stream(f"{names['tokens']}.{attempt}")
-            for text in rows["text"]:
-                data = encode(text)
-                out.write(data)
-                total += len(data) // encode.dtype.itemsize
+            for found in encoder.encode_batch(rows["text"]):
+                out.write(found.tobytes())
+                total += len(found)
                 offsets.append(total)
             ids.extend(rows["doc_id"])
         if out is None:
@@ -137,7 +213,7 @@ def write_token_files(
                 stream.write(numbers.tobytes())
         for name in names.values():
             publish_file(files, f"{name}.{attempt}", name)
-        yield {"shard": [shard], "docs": [len(ids)], "tokens": [total], "width": [encode.dtype.itemsize]}
+        yield {"shard": [shard], "docs": [len(ids)], "tokens": [total], "width": [encoder.dtype.itemsize]}
 
     schema = "shard int, docs bigint, tokens bigint, width int"
     map_rows(ordered, write, schema).write.mode("overwrite").parquet(f"{folder}/shards.parquet")

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from odd_rows import ODD
 
+from passagelake.llm import token_files
 from passagelake.llm.queries import op9_token_files, tokenizer_path
-from passagelake.llm.token_files import PieceEncoder, read_token_files, shard_bases, write_token_files
+from passagelake.llm.token_files import PieceEncoder, byte_characters, read_token_files, shard_bases, write_token_files
 
 SF = "/root/testdata/sf0.001"
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -30,11 +31,25 @@ def expected(library, rows):
     return out
 
 
-def test_pieces_join_and_encode_apart(library):
+@pytest.mark.parametrize("kept", [250_000, 3])
+def test_pieces_join_and_encode_apart(library, monkeypatch, kept):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", kept)
     encode = PieceEncoder(PATH)
-    for text in [t for _, t in ODD if t] + ["a  b", " lead", "trail ", "x \n y", "it's we'll", "　wide 　 gap"]:
+    odd = ["a  b", " lead", "trail ", "x \n y", "it's we'll", "　wide 　 gap", "…, x…, 5, 5%, a.), (b] \"q\"", "don't, 's. n't!"]
+    texts = [t for _, t in ODD] + odd + ["word, " + "long" * 40 + ", word,"]
+    for text in filter(None, texts):
         assert "".join(PieceEncoder.pieces(text)) == text
-        assert np.frombuffer(encode(text), encode.dtype).tolist() == library(text)
+    for _ in range(4):
+        for text, ids in zip(texts, encode.encode_batch(texts)):
+            assert ids.tolist() == library(text)
+
+
+def test_byte_characters_are_the_vocabularys():
+    import json
+
+    with open(PATH) as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    assert len(set(byte_characters())) == 256 and all(c in vocabulary for c in byte_characters())
 
 
 def test_query_equals_encoding_whole_texts(spark, library):

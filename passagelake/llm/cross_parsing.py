@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passagelake.llm.common import crc32_remainder, map_rows
+from passagelake.session import reliable
 
 UNDETERMINED = "und"
 BLOCK = 1024
@@ -25,6 +26,8 @@ BLOCK = 1024
 #: characters for each language. Every document is classified, whatever the sample.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
+#: So many times the wanted texts are expected under the threshold: too few are as good as impossible.
+ROOM = 8
 #: The most frequent letters of the sample have symbols of their own; all others share one.
 LETTERS = 62
 
@@ -185,15 +188,19 @@ def build_model(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Mod
 def sample_rows(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``docs_per_language`` different texts (lang, h, text) of each language, least hash first.
 
-    The choice is made on hashes alone, and the limit holds in every task before the
-    shuffle. The chosen hashes are sent to all tasks: docs_per_language rows per label.
+    The choice is made on hashes alone. Counts and chosen hashes are sent to all tasks:
+    one and docs_per_language rows per label.
     """
     rows = labelled.where("text is not null and lang is not null").select(
         "lang", F.xxhash64("lang", "text").alias("h"), "text"
     )
+    distinct = reliable(rows.select("lang", "h").distinct())
+    # Hashes are uniform: a threshold a little above the wanted share leaves few to order.
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("h") / float(1 << 64) + 0.5
+    near = distinct.join(F.broadcast(counts), "lang").where(share < ROOM * docs_per_language / F.col("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("place", place)
-    chosen = chosen.where(F.col("place") <= docs_per_language).select("lang", "h")
+    chosen = near.withColumn("place", place).where(F.col("place") <= docs_per_language).select("lang", "h")
     return rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
 

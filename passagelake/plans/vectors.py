@@ -142,6 +142,18 @@ def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
 
 
+@query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+    SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")
+def joined_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the form for query sets too large to broadcast."""
+    centres = centroids(spark, sf_dir)
+    found = search_vectors(
+        mean_queries(spark, sf_dir), assigned(spark, sf_dir, centres), centres, broadcast_numbers=0
+    )
+    return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
+
+
 @query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
         PARTITION BY query_id, centroid_idx ORDER BY score DESC, chunk_id) AS rank FROM scored)
     SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 5""")

@@ -5,7 +5,9 @@ the benchmark's words form a matrix A that is never built: one pass over the cor
 adds up document frequencies and the sketch A'(A W) for a random W, partly in the
 tasks and then in Spark. From the sketch follow A's leading singular values and
 right vectors (randomised, single pass). Passages and benchmark items are folded into
-that space and compared by cosine; what comes near is a candidate only. A candidate
+that space and compared by cosine; what comes near is a candidate only. An item longer
+than a window is compared by overlapping windows of its own, any of which makes it a
+candidate, so the length of an item does not dilute it. A candidate
 counts if the item's words come back in order in the text around the passage, which
 their longest common subsequence measures: at least SAME of the item's words, or at
 least PARAPHRASE of them together with the item's answer, its last sentence.
@@ -33,7 +35,12 @@ MIN_COSINE = 0.5
 SAME = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.75
+#: Words from one window of a long item to the next.
+ITEM_STEP = WINDOW // 2
+#: Windows of items in a block, but for a single longer item.
 ITEMS_AT_ONCE = 2048
+#: Cosines that a task holds at once.
+COSINES = 8192 * 2048
 #: Rows that a task gathers at once, small enough for the processor's cache.
 GATHERED = 4096
 SEED = 20
@@ -55,6 +62,12 @@ def answer_of(text: str | None) -> list[bytes]:
     return words_of(text)
 
 
+def item_windows(size: int) -> list[tuple[int, int]]:
+    """(first word, end) of the windows of an item of ``size`` words; the last ends with the item."""
+    last = max(0, size - WINDOW)
+    return [(at, min(size, at + WINDOW)) for at in [*range(0, last, ITEM_STEP), last]]
+
+
 def common_subsequence(words: list[bytes], other: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``words``."""
     masks: dict[bytes, int] = {}
@@ -95,9 +108,10 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The benchmark in blocks of ITEMS_AT_ONCE items, in order of id; items without words are left out."""
+    """The benchmark in blocks of ITEMS_AT_ONCE windows, in order of id; items without words are left out."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     held: list = []
+    windows = 0
 
     def block():
         return Items([r["i"] for r, _ in held], [w for _, w in held], [answer_of(r["t"]) for r, _ in held])
@@ -105,9 +119,10 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     for row in rows.orderBy("i", "t").toLocalIterator():
         if words := words_of(row["t"]):
             held.append((row, words))
-        if len(held) == ITEMS_AT_ONCE:
+            windows += len(item_windows(len(words)))
+        if windows >= ITEMS_AT_ONCE:
             yield block()
-            held = []
+            held, windows = [], 0
     if held:
         yield block()
 
@@ -237,10 +252,17 @@ class Retriever:
 
     def __init__(self, items: Items, space: np.ndarray):
         self.items, self.space = items, space
-        bags = [[items.vocabulary[w] for w in ws] for ws in items.words]
+        bags, owners = [], []
+        for item, words in enumerate(items.words):
+            codes = [items.vocabulary[w] for w in words]
+            for start, end in item_windows(len(codes)):
+                bags.append(codes[start:end])
+                owners.append(item)
+        #: The item of each query; a query is a window of an item.
+        self.owners = np.array(owners)
         self.queries = unit(np.stack([space[b].sum(axis=0) for b in bags])).astype(np.float32)
         # An item shorter than a window leaves room for other words, which turn the window away.
-        held = np.minimum([len(b) for b in bags], WINDOW) / WINDOW
+        held = np.array([len(b) for b in bags]) / WINDOW
         self.least = (MIN_COSINE * np.sqrt(held)).astype(np.float32)
 
     def candidates(self, passages: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,15 +275,16 @@ class Retriever:
             windows[:-shift] += sums[shift:] * (text[shift:] == text[:-shift])[:, None]
         windows = unit(windows)
         found = []
-        for at in range(0, len(windows), 8192):
-            cosine = windows[at : at + 8192] @ self.queries.T
+        rows = max(1, COSINES // len(self.queries))
+        for at in range(0, len(windows), rows):
+            cosine = windows[at : at + rows] @ self.queries.T
             near = cosine >= self.least
             # Of windows of a text that overlap, the nearest stands for its neighbours.
             other = (text[at + 1 : at + len(near)] != text[at : at + len(near) - 1])[:, None]
             near[1:] &= other | (cosine[1:] >= cosine[:-1])
             near[:-1] &= other | (cosine[:-1] > cosine[1:])
-            step, item = np.nonzero(near)
-            found.append((step + at, item, cosine[step, item]))
+            step, query = np.nonzero(near)
+            found.append((step + at, self.owners[query], cosine[step, query]))
         if not found:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return tuple(np.concatenate(part) for part in zip(*found))

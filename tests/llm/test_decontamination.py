@@ -11,6 +11,7 @@ from passagelake.llm.decontamination import (
     answer_of,
     common_subsequence,
     contaminations,
+    item_windows,
     words_of,
 )
 from passagelake.llm.queries import op5_decontamination
@@ -109,3 +110,36 @@ def test_odd_rows(spark, make_docs):
     assert (None, None) in {(r["doc_id"], r["item_id"]) for r in got}
     assert contaminations(make_docs([]), benchmark).count() == 0
     assert contaminations(make_docs(ODD), benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [200, 400, 800, 1000])
+def test_exact_copies_of_long_items_are_found(spark, make_docs, size):
+    rng = np.random.default_rng(size)
+    chances = 1 / np.arange(1, 8001)
+    chances /= chances.sum()
+
+    def prose(n):
+        return [f"z{i}" for i in rng.choice(8000, n, p=chances)]
+
+    items = [prose(size) for _ in range(40)]
+    docs, planted = [], set()
+    for i in range(200):
+        words = prose(int(rng.integers(50, 500)))
+        if i % 2:
+            item = int(rng.integers(len(items)))
+            at = int(rng.integers(len(words)))
+            words[at:at] = items[item]
+            planted.add((i, item))
+        docs.append(" ".join(words))
+    benchmark = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in contaminations(make_docs(docs), benchmark).collect()}
+    assert planted == set(got)
+    assert set(got.values()) == {1.0}
+
+
+def test_windows_of_items_cover_them():
+    for size in (1, 47, 48, 49, 60, 96, 500):
+        windows = item_windows(size)
+        assert windows[0][0] == 0 and windows[-1][1] == size
+        assert {at for a, b in windows for at in range(a, b)} == set(range(size))
+        assert len(set(windows)) == len(windows)

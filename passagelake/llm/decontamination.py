@@ -16,6 +16,7 @@ least PARAPHRASE of them together with the item's answer, its last sentence.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -278,13 +279,15 @@ class Retriever:
         rows = max(1, COSINES // len(self.queries))
         for at in range(0, len(windows), rows):
             cosine = windows[at : at + rows] @ self.queries.T
-            near = cosine >= self.least
+            step, query = np.divmod(np.flatnonzero(cosine >= self.least), len(self.queries))
+            own = cosine[step, query]
             # Of windows of a text that overlap, the nearest stands for its neighbours.
-            other = (text[at + 1 : at + len(near)] != text[at : at + len(near) - 1])[:, None]
-            near[1:] &= other | (cosine[1:] >= cosine[:-1])
-            near[:-1] &= other | (cosine[:-1] > cosine[1:])
-            step, query = np.nonzero(near)
-            found.append((step + at, self.owners[query], cosine[step, query]))
+            before, after = np.maximum(step - 1, 0), np.minimum(step + 1, len(cosine) - 1)
+            place = text[at : at + len(cosine)]
+            kept = (before == step) | (place[before] != place[step]) | (own >= cosine[before, query])
+            kept &= (after == step) | (place[after] != place[step]) | (own > cosine[after, query])
+            step, query = step[kept], query[kept]
+            found.append((step + at, self.owners[query], own[kept]))
         if not found:
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         return tuple(np.concatenate(part) for part in zip(*found))
@@ -295,7 +298,7 @@ class Retriever:
         steps, items, cosines = self.candidates(passages)
         owner = np.searchsorted(passages.first, steps, side="right") - 1
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        bags: dict[int, set] = {}
+        bags: dict[int, Counter] = {}
         for text, item, step, cosine in zip(owner.tolist(), items.tolist(), steps.tolist(), cosines.tolist()):
             words = self.items.words[item]
             start = (step - int(passages.first[text])) * STEP
@@ -303,9 +306,12 @@ class Retriever:
             region = passages.words[text][max(0, start - around) : start + WINDOW + around]
             bag = bags.get(item)
             if bag is None:
-                bag = bags[item] = set(words)
-            # The subsequence has no more different words than the two have in common.
-            if len(bag.intersection(region)) < PARAPHRASE * len(bag) * 0.9:
+                bag = bags[item] = Counter(words)
+            # The subsequence has no more words than the two have in common, each as often as in both.
+            if sum(map(bag.__getitem__, bag.keys() & set(region))) < PARAPHRASE * len(words):
+                continue
+            held = Counter(filter(bag.__contains__, region))
+            if sum(min(n, bag[w]) for w, n in held.items()) < PARAPHRASE * len(words):
                 continue
             share = self.items.contained(item, region)
             if share and share > best.get((text, item), (0.0,))[0]:

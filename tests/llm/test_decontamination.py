@@ -143,3 +143,30 @@ def test_windows_of_items_cover_them():
         assert windows[0][0] == 0 and windows[-1][1] == size
         assert {at for a, b in windows for at in range(a, b)} == set(range(size))
         assert len(set(windows)) == len(windows)
+
+
+def test_paraphrases_of_items_that_repeat_words_are_found(spark, make_docs):
+    # 40 words, 28 of them different: 16 that stand once are changed, the answer is kept.
+    body = [f"once{i}" for i in range(22)] + ["often", "again"] * 6 + ["often"]
+    random.Random(3).shuffle(body)
+    answer = ["often", "the", "last", "five", "words"]
+    item = " ".join(body) + ". " + " ".join(answer) + "."
+    words = words_of(item)
+    assert len(words) == 40 and len(set(words)) == 28
+    changed = [w if not w.startswith("once") or int(w[4:]) >= 16 else "changed" for w in body]
+    rng = random.Random(5)
+
+    def prose(n):
+        return [f"other{rng.randrange(500)}" for _ in range(n)]
+
+    texts = [" ".join(prose(60) + (changed + answer if i % 2 else []) + prose(60)) for i in range(40)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = {r["doc_id"] for r in contaminations(make_docs(texts), benchmark).collect()}
+    brute = set()
+    for i, text in enumerate(texts):
+        share = slow_subsequence(words, words_of(text)) / len(words)
+        kept = slow_subsequence(answer_of(item), words_of(text)) >= ANSWER * len(answer_of(item))
+        if share >= SAME or share >= PARAPHRASE and kept:
+            brute.add(i)
+    assert brute == set(range(1, 40, 2))
+    assert got == brute

@@ -6,8 +6,9 @@ Text of the language needs few, long phrases. The language whose number of phras
 per character is least, relative to what its own unseen text needs, wins.
 
 Texts are lower-cased; letters stay, everything else becomes one space. They are
-parsed whole, in blocks of BLOCK characters that each start a new phrase, so many
-blocks advance together, a character at a time, in array operations.
+parsed whole as UTF-8, so every script has its symbols, in blocks of BLOCK bytes that
+each start a new phrase, so many blocks advance together, a byte at a time, in array
+operations.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
 #: So many times the wanted texts are expected under the threshold: too few are as good as impossible.
 ROOM = 8
-#: The most frequent letters of the sample have symbols of their own; all others share one.
-LETTERS = 62
 
 
 def letters_only(text: str | None) -> str:
@@ -78,16 +77,20 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages with their automata; ``codes`` maps code points to symbols."""
+    """Languages with their automata.
+
+    ``codes`` has for each language the column of each symbol in its table, whose last
+    column is for the symbols that the language lacks. Without, symbols are columns.
+    """
 
     languages: list[str]
     codes: np.ndarray
     tables: list[np.ndarray]
     scales: np.ndarray
 
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        return self.codes[np.minimum(points, len(self.codes) - 1)]
+    @staticmethod
+    def encode(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode(), dtype=np.uint8)
 
     def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
         """Phrases of each block against each automaton: (languages, blocks)."""
@@ -102,22 +105,24 @@ class Model:
             columns[: lengths[i], place] = blocks[i]
         alive = len(blocks) - np.searchsorted(sorted_lengths[::-1], np.arange(len(columns)), side="right")
         for k, table in enumerate(self.tables):
-            flat, width = table.ravel(), table.shape[1]
-            root = table[0]
-            state = np.zeros(len(blocks), dtype=np.int32)
-            ended = np.zeros(len(blocks), dtype=np.int32)
+            width, between = table.shape[1], len(table)
+            # One more state, between phrases, that nothing leads on from.
+            flat = np.append(table.ravel(), np.full(width, -1, table.dtype))
+            # A symbol the language lacks is a phrase by itself: the next one starts behind it.
+            root = np.where(table[0] < 0, between, table[0]).astype(table.dtype)
+            own = self.codes[k][columns] if self.codes.ndim == 2 else columns
+            state = np.full(len(blocks), between, dtype=np.int32)
+            begun = np.zeros(len(blocks), dtype=np.int32)
             for at in range(len(columns)):
                 n = alive[at]
-                symbols = columns[at, :n]
+                symbols = own[at, :n]
                 step = flat.take(state[:n] * width + symbols)
                 failed = step < 0
-                # The phrase ends before this character, which starts the next one.
-                ended[:n] += failed
+                # The phrase ends before this symbol, which starts the next one.
+                begun[:n] += failed
                 np.copyto(step, root[symbols], where=failed)
-                # A symbol the language lacks is a phrase by itself: back to the root.
-                np.maximum(step, 0, out=step)
                 state[:n] = step
-            counts[k, order] = ended + 1
+            counts[k, order] = begun
         return counts
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -160,22 +165,18 @@ def build_model(samples: dict[str, list[str]], chars: int = SAMPLE_CHARS) -> Mod
     """
     languages = sorted(samples)
     joined = {name: " ".join(letters_only(t) for t in samples[name])[:chars] for name in languages}
-    points, seen = np.unique(
-        np.frombuffer("".join(joined.values()).encode("utf-32-le"), dtype=np.uint32), return_counts=True
-    )
-    kept = sorted(points[np.argsort(-seen, kind="stable")][:LETTERS].tolist())
-    other = len(kept)
-    codes = np.full(max([*kept, 32]) + 2, other, dtype=np.uint8)
-    codes[kept] = np.arange(other)
-    model = Model(languages, codes, [], np.ones(len(languages)))
+    model = Model(languages, np.zeros((len(languages), 256), dtype=np.uint8), [], np.ones(len(languages)))
     rates = []
-    for name in languages:
+    for k, name in enumerate(languages):
         symbols = model.encode(joined[name])
         edge = len(symbols) - len(symbols) // 5
-        model.tables.append(suffix_automaton(symbols[:edge], other + 1))
+        known = np.unique(symbols[:edge])
+        model.codes[k] = len(known)
+        model.codes[k, known] = np.arange(len(known))
+        model.tables.append(suffix_automaton(model.codes[k][symbols[:edge]], len(known) + 1))
         held = symbols[edge:]
         blocks = [held[i : i + BLOCK] for i in range(0, len(held), BLOCK)]
-        own = Model([name], codes, model.tables[-1:], np.ones(1)).phrases(blocks).sum()
+        own = Model([name], model.codes[k : k + 1], model.tables[-1:], np.ones(1)).phrases(blocks).sum()
         rates.append(own / len(held) if len(held) else 0.0)
     known = [r for r in rates if r] or [1.0]
     model.scales = np.array([r or float(np.mean(known)) for r in rates])

@@ -91,3 +91,37 @@ def test_without_labels_everything_is_undetermined(spark, make_docs):
     assert empty.classify(["a text", None]) == ([UNDETERMINED] * 2, [0.0] * 2)
     one = train(make_docs(["only one language here"]))
     assert one.classify(["some text"]) == (["en"], [1.0])
+
+
+def test_phrases_are_counted_exactly():
+    rng = np.random.default_rng(3)
+    reference = rng.integers(0, 4, 200).astype(np.uint8)
+    model = Model(["x"], np.zeros(1, np.uint8), [suffix_automaton(reference, 6)], np.ones(1))
+    blocks = [rng.integers(0, 6, n).astype(np.uint8) for n in (1, 3, 50, 400, 50)] + [np.full(9, 5, np.uint8)]
+    for block, count in zip(blocks, model.phrases(blocks)[0]):
+        phrases, start, whole = 0, 0, bytes(block)
+        while start < len(whole):
+            end = start + 1
+            while end < len(whole) and whole[start : end + 1] in bytes(reference):
+                end += 1
+            phrases += 1
+            start = end
+        assert count == phrases
+
+
+def test_languages_of_many_scripts_are_told_apart():
+    # Seventy frequent Latin letters, then scripts with few samples of their own.
+    latin = "".join(chr(c) for c in range(0xE0, 0x150) if chr(c).islower())
+    words = {
+        "la": " ".join(latin[i : i + 4] for i in range(len(latin) - 4)),
+        "ru": "кошка и собака были на холме когда пошёл дождь",
+        "bg": "котката и кучето бяха на хълма когато заваля дъжд",
+        "el": "η γάτα και ο σκύλος ήταν στον λόφο όταν έβρεξε",
+        "zh": "下雨的时候猫和狗在山上",
+        "ja": "雨が降ったとき猫と犬は丘の上にいた",
+        "ko": "비가 왔을 때 고양이와 개는 언덕 위에 있었다",
+    }
+    model = build_model({k: [v] * (200 if k == "la" else 20) for k, v in words.items()})
+    assert model.classify(list(words.values()))[0] == list(words)
+    parts = {"ru": "собака и кошка", "bg": "кучето и котката", "el": "ο σκύλος και η γάτα", "ja": "犬と猫は丘の上", "zh": "狗和猫在山上"}
+    assert model.classify(list(parts.values()))[0] == list(parts)

@@ -94,3 +94,46 @@ def test_odd_rows(spark, make_docs):
     empty = next(r for r in rows if r["doc_id"] == 1)
     assert tuple(empty) == (1, 0, 0, None, None, "", "", 0.0)
     assert label_documents(*scan(make_docs([]))).count() == 0
+
+
+def test_a_license_gets_no_other_licenses_label(spark, make_docs):
+    notice = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General "
+        "Public License as published by the Free Software Foundation"
+    )
+    cases = [
+        ("Licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        ("Licensed under the GNU General Public License version 2", "gpl,gpl-2.0"),
+        ("Licensed under the GNU Lesser General Public License version 3", ""),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+        ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by"),
+        ("Released under the Apache License", "apache"),
+        ("Licensed under the terms of the Apache License, Version 2.0", "apache,apache-2.0"),
+        ("Released under the MIT License", "mit,mit-notice"),
+        ("released in MIT " + "some words " * 12 + "under a license of the house", ""),
+        (notice.format(""), "gpl"),
+        (notice.format("Affero "), "agpl"),
+        (notice.format("Lesser "), "lgpl"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ""),
+    ]
+    around = "here is some prose " * 20
+    docs = make_docs([around + text + " and " + around for text, _ in cases])
+    got = {r["doc_id"]: r["labels"] for r in label_documents(*scan(docs)).collect()}
+    assert [got[i] for i in range(len(cases))] == [labels for _, labels in cases]
+
+
+def test_templates_longer_than_a_block_are_found(spark, make_docs):
+    rng = random.Random(9)
+    full = [f"term{i}" for i in range(300)]
+    texts = []
+    for i in range(40):
+        words = [f"other{rng.randrange(900)}" for _ in range(rng.randrange(900))]
+        at = rng.randrange(len(words) + 1)
+        texts.append(" ".join(words[:at] + (full if i % 2 else full[:200]) + words[at:]))
+    templates = [*TEMPLATES, ("whole", " ".join(full))]
+    _, matches = scan(make_docs(texts), templates=templates)
+    found = matches.where("label = 'whole' and containment = 1 and confirmed").select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 40, 2))
+    assert matches.where("doc_id % 2 = 0").count() == 0

@@ -100,7 +100,7 @@ def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(
-        read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
+        read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), added_tokens=True
     )
     return token_files.read_token_files(spark, folder)
 

@@ -57,15 +57,22 @@ class PieceEncoder:
     Words are found and put together in array operations. Their ids are kept in two
     generations: when the young one is full it becomes the old one, whose words move
     back as they are seen again. Long words are not kept.
+
+    With ``added_tokens``, the library's default, tokens added to the vocabulary
+    (``<|endoftext|>``) keep their ids where a text spells them, and such texts are
+    encoded whole. Without, they are spelled like any other text.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID):
+    def __init__(self, path: str, end_id: int | None = END_ID, added_tokens: bool = False):
         # One thread per task: Spark runs a task on each core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        found = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+        #: What a text that is cut nowhere holds.
+        self.added = [t.content for t in found]
         self.model = self.tokenizer.model
         self.shown = byte_characters()
         self.young: dict[str, bytes] = {}
@@ -133,6 +140,10 @@ class PieceEncoder:
         odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
         seen = np.concatenate([[0], np.cumsum(odd[codes])])
         regular = seen[edges[1:]] == seen[edges[:-1]]
+        whole = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            whole |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
+        regular &= ~whole
         found = [b"" if o else i for o, i in zip(odd.tolist(), self._words(words))]
         # The first word of a text has no space in front.
         heads = {}
@@ -155,7 +166,8 @@ class PieceEncoder:
             if regular[i]:
                 ids = joined[bounds[i] : bounds[i + 1]]
             elif text:
-                ids = np.frombuffer(b"".join(self._encode(self.pieces(text))), dtype=self.dtype)
+                pieces = [text] if whole[i] else self.pieces(text)
+                ids = np.frombuffer(b"".join(self._encode(pieces)), dtype=self.dtype)
             else:
                 ids = self.end[:0]
             out.append(np.concatenate([ids, self.end]))
@@ -169,6 +181,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int | None = END_ID,
+    added_tokens: bool = False,
 ) -> str:
     """Encode every text and write the shards; returns the folder.
 
@@ -176,6 +189,7 @@ def write_token_files(
     task, which holds one batch and its shard's offsets. Null ids come first and
     are stored as the smallest number; rows with one id are ordered by text; a null
     text is empty (the end id alone). A task that runs again replaces its shard.
+    ``added_tokens`` is that of PieceEncoder.
     """
     spark = docs.sparkSession
     folder = folder or scratch_folder(spark, "tokens")
@@ -197,7 +211,8 @@ def write_token_files(
         for rows in slices:
             if out is None:
                 encoder = kept_in_worker(
-                    (PieceEncoder.__name__, tokenizer_path, end_id), lambda: PieceEncoder(tokenizer_path, end_id)
+                    (PieceEncoder.__name__, tokenizer_path, end_id, added_tokens),
+                    lambda: PieceEncoder(tokenizer_path, end_id, added_tokens),
                 )
                 out = files.open_output_stream(f"{names['tokens']}.{attempt}")
             for found in encoder.encode_batch(rows["text"]):

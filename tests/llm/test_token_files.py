@@ -82,3 +82,23 @@ def test_writing_again_replaces_the_files(spark, library, make_docs):
     folder = write_token_files(make_docs(["first text", "second"]), PATH)
     write_token_files(make_docs(["other"]), PATH, folder=folder)
     assert [tuple(r) for r in read_token_files(spark, folder).collect()] == expected(library, [(0, "other")])
+
+
+def test_query_keeps_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+
+    def library(text):
+        return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+    odd = ["a b<|endoftext|>c d", "<|endoftext|>", "one <|endoftext|> two, three.", "x  <|endoftext|>\n y", "<|endoftext |>"]
+    rows = ODD + [(100 + i, text) for i, text in enumerate(odd)]
+    assert 50256 in library(odd[0])
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op9_token_files(spark, str(tmp_path)).orderBy("start").collect()]
+    wanted = expected(library, rows)
+    least = -(1 << 63)
+    assert [(least if r[0] is None else r[0], *r[1:]) for r in got] == [(least if r[0] is None else r[0], *r[1:]) for r in wanted]
+    encode = PieceEncoder(PATH, added_tokens=True)
+    assert [i.tolist() for i in encode.encode_batch(odd)] == [library(t) for t in odd]

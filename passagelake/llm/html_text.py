@@ -1,9 +1,10 @@
 """Main text of web pages, with a site's templates removed.
 
 Pages are parsed in the tasks. Every element subtree that is more than running text
-is hashed (its tags and its text); Spark counts on how many pages of a host each
-hash stands. A subtree that stands on at least MIN_PAGES pages and MIN_SHARE of the
-host's pages belongs to the site's template and is deleted. What is left is
+is hashed (its tags and its text); Spark counts on how many different pages of a host
+each hash stands, copies of a page once. A subtree that stands on at least MIN_PAGES
+pages and MIN_SHARE of the host's pages, or on MANY_PAGES of any host, belongs to the
+site's template and is deleted, unless it holds the page's main text. What is left is
 extracted: the article (else the main part, else the body) without menus, forms,
 notices and the like, which are known by their tags, roles and names.
 """
@@ -20,6 +21,8 @@ from passagelake.session import reliable
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: Enough pages for a template whatever the host's size.
+MANY_PAGES = 100
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -283,45 +286,76 @@ def text_blocks(part: Element, removed: set[int]) -> list[str]:
 
 
 def main_text(source: str | None, templates: set[int] = frozenset()) -> str:
-    """The main text of a page, given the hashes of its site's template subtrees."""
+    """The main text of a page, given the hashes of its site's template subtrees.
+
+    A subtree that holds the article or main part is not deleted. If nothing would be
+    left of the text, the deleted subtree with the most text is the page's main text.
+    """
     root = parse(source)
     removed: set[int] = set()
     if templates:
         hashes = subtree_hashes(root)
         removed = {node for node, value in hashes.items() if value in templates}
+    if removed:
+        for part in main_parts(root, set()):
+            removed.difference_update(id(node) for node in _ancestors(part))
     blocks = [b for part in main_parts(root, removed) for b in text_blocks(part, removed)]
+    if removed and not blocks:
+        deleted = [n for part in main_parts(root, set()) for n in _outermost(part, removed)]
+        longest = max((text_blocks(n, set()) for n in deleted), key=lambda found: sum(map(len, found)), default=[])
+        return " ".join(longest)
     return " ".join(blocks)
 
 
+def _outermost(part: Element, wanted: set[int]) -> list[Element]:
+    """The wanted elements of a part that are in no other one, nor in boilerplate."""
+    found, stack = [], [part]
+    while stack:
+        node = stack.pop()
+        if id(node) in wanted:
+            found.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Element) and not boilerplate(c))
+    return [n for n in found if not boilerplate(n)]
+
+
 def host_of(url):
     """Lower-case host of a URL, '' for none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """Rows (host, page_key, hash): the different candidate subtrees of each page."""
+    """Rows (host, page_key, content, hashes): the different candidate subtrees of each page."""
 
     def run(slices):
         for rows in slices:
-            out: dict[str, list] = {"host": [], "page_key": [], "hashes": []}
-            for host, key, source in zip(rows["host"], rows["page_key"], rows["html"]):
+            out: dict[str, list] = {"host": [], "page_key": [], "content": [], "hashes": []}
+            for host, key, content, source in zip(rows["host"], rows["page_key"], rows["content"], rows["html"]):
                 out["host"].append(host)
                 out["page_key"].append(key)
+                out["content"].append(content)
                 out["hashes"].append(list(set(subtree_hashes(parse(source)).values())))
             yield out
 
-    mapped = map_rows(
-        pages.select("host", "page_key", "html"), run, "host string, page_key bigint, hashes array<bigint>"
+    return map_rows(
+        pages.select("host", "page_key", "content", "html"),
+        run,
+        "host string, page_key bigint, content bigint, hashes array<bigint>",
     )
-    return mapped.select("host", "page_key", F.explode("hashes").alias("hash"))
 
 
 def site_templates(
-    subtrees: DataFrame, host_pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
+    subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES
 ) -> DataFrame:
-    """Rows (host, hash) of the subtrees that recur across a host's pages."""
-    counted = subtrees.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counted.join(host_pages, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    """Rows (host, hash) of the subtrees that recur across a host's different pages."""
+    # Each task keeps one of its copies of a page, so a page with many copies fills no task.
+    different = subtrees.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    different = reliable(different)
+    host_pages = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = different.select("host", F.explode("hashes").alias("hash"))
+    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    enough = F.least(F.col("pages") * min_share, F.lit(float(many_pages)))
+    return counted.join(host_pages, "host").where(F.col("n") >= enough).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -336,14 +370,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         "html",
         host_of(F.col("url")).alias("host"),
         F.xxhash64("page_id", "url", "html").alias("page_key"),
+        F.xxhash64("html").alias("content"),
     )
-    host_pages = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # Stored, so that counting and looking up parse the pages once.
     subtrees = reliable(page_subtrees(keyed))
-    templates = site_templates(subtrees, host_pages, min_pages, min_share)
+    templates = site_templates(subtrees, min_pages, min_share)
     # One subtree can stand on a third of all pages: adaptive execution splits that join.
     hits = (
-        subtrees.join(templates, ["host", "hash"])
+        subtrees.select("host", "page_key", F.explode("hashes").alias("hash"))
+        .join(templates, ["host", "hash"])
         .groupBy("page_key")
         .agg(F.collect_set("hash").alias("templates"))
     )

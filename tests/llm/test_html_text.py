@@ -74,3 +74,30 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "a", 1), (1, "", 0), (1, "", 0), (2, "", 0)]
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    copied = "<body><div>The whole text stands in a div</div><ul><li>and a list</li></ul></body>"
+    rows = [(i, f"http://h/{i}", copied, None) for i in range(8)]
+    rows += [(20 + i, f"http://h/{20 + i}", f"<body><div>Page {i}</div></body>", None) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(8)} == {"The whole text stands in a div and a list"}
+    assert got[22] == "Page 2"
+
+
+def test_the_subtree_with_the_main_text_stays(spark):
+    # Pages that differ in what is not text, and a template around the article.
+    rows = [(i, f"http://h/{i}", f"<body><div>All the text</div><!-- {i} --></body>", None) for i in range(8)]
+    rows += [(20 + i, f"http://g/{i}", f"<div><article>Same</article><ul><li>x</li></ul></div><p>{i}", None) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {got[i] for i in range(8)} == {"All the text"}
+    assert {got[20 + i] for i in range(8)} == {"Same"}
+
+
+def test_a_notice_on_many_pages_of_a_large_host_goes(spark):
+    def page(i):
+        notice = "<div>Unmarked notice</div>" if i < 120 else ""
+        return i, f"http://hot/{i}", f"<body><p>Page {i} text</p>{notice}</body>", None
+
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([page(i) for i in range(900)], SCHEMA)).collect()}
+    assert got == {i: f"Page {i} text" for i in range(900)}

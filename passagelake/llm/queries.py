@@ -7,8 +7,8 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagelake.llm import cross_parsing, decontamination, html_text, licenses, sentence_pieces, simhash
-from passagelake.llm import suffix_tree, token_files, warc, weighted_sampling
+from passagelake.llm import cross_parsing, decontamination, hard_negatives, html_text, licenses, sentence_pieces
+from passagelake.llm import simhash, suffix_tree, token_files, warc, weighted_sampling
 from passagelake.llm.common import crc32_remainder, read_table
 
 QUERIES = {}
@@ -113,6 +113,27 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("""WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+      CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id,
+      positive_score, score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+      AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+    QUALIFY row_number() OVER w <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, at the top of the repository."""

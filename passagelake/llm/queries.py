@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagelake.llm import cross_parsing, decontamination, hard_negatives, html_text, licenses, sentence_pieces
-from passagelake.llm import simhash, suffix_tree, token_files, warc, weighted_sampling
+from passagelake.llm import simhash, suffix_tree, token_alignment, token_files, url_filters, warc
+from passagelake.llm import weighted_sampling
 from passagelake.llm.common import crc32_remainder, read_table
 
 QUERIES = {}
@@ -134,6 +135,29 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
 
 
+#: The rules that the pages' urls are judged by.
+URL_RULES = [
+    url_filters.Rule.parse("org/", url_filters.ALLOW),
+    url_filters.Rule.parse("example.org/es/", url_filters.BLOCK),
+    url_filters.Rule.parse("example.org/en/1", url_filters.BLOCK),
+    url_filters.Rule.parse("com/fr/", url_filters.ALLOW),
+    url_filters.Rule.parse("com/de/", url_filters.BLOCK),
+]
+
+
+@query()
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = url_filters.train(url_filters.labelled_by_rules(pages, URL_RULES))
+    return url_filters.judge(pages, URL_RULES, model)
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, at the top of the repository."""

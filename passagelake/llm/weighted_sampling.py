@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from passagelake.llm.common import map_rows
 from passagelake.session import reliable
 
+#: Rows of one id are dealt by so many characters of the text, which do not contradict its order.
+DEALT_CHARS = 64
+
 SAMPLES = 128
 BLOCK_WORDS = 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -173,14 +176,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The next document is the one after it in descending order of id (nulls last,
     equal ids by text), the first one after the last. Documents are dealt by ranges
-    of the id; a task streams its range with one document held back. What meets at
+    of the id and the text's start; a task streams its range with one document held back. What meets at
     the edges of ranges, two documents per task, is compared in a second step.
     A null text is empty; a table of one row is its own next document.
     """
     ids, texts = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))
     ordered = (
         docs.select(ids.alias("doc_id"), texts.alias("text"))
-        .repartitionByRange(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+        .repartitionByRange(F.desc_nulls_last("doc_id"), F.substring("text", 1, DEALT_CHARS))
         .sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     )
     schema = f"{RESULT}, part int, edge int, text string"
@@ -209,13 +212,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared = reliable(map_rows(ordered, run, schema))
     # Two rows per task: the first of a range (0) and the last (1), which lacks its next.
     edges = compared.where("edge is not null").select("doc_id", "text", "part", "edge")
-    firsts = edges.where("edge = 0").select("part", F.col("text").alias("next_text"))
-    chain = Window.orderBy("part").rowsBetween(1, 1)
-    start = firsts.agg(F.min_by("next_text", "part").alias("start_text"))
-    after = firsts.withColumn("next_text", F.first("next_text").over(chain))
+    firsts = edges.where("edge = 0").select(F.col("part").alias("next"), F.col("text").alias("next_text"))
+    # Ranges are chained by their numbers alone, the last one to the first.
+    every_part = Window.orderBy("part")
+    following = F.coalesce(
+        F.lead("part").over(every_part),
+        F.first("part").over(every_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    )
+    chain = edges.where("edge = 0").select("part").withColumn("next", following)
     lasts = (
-        edges.where("edge = 1").join(after, "part").join(F.broadcast(start))
-        .select("doc_id", "text", F.coalesce("next_text", "start_text").alias("next_text"))
+        edges.where("edge = 1").select("doc_id", "text", "part").join(chain, "part").join(firsts, "next")
+        .select("doc_id", "text", "next_text")
     )
 
     def finish(slices):

@@ -77,3 +77,13 @@ def test_odd_rows(spark, make_docs):
     assert alone[0]["near_next"] == 1.0
     prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints(make_docs(ODD)).collect()}
     assert prints[8] == prints[9] != prints[5] and prints[0] == ""
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 8])
+def test_equal_ids_are_ordered_by_text_however_they_are_dealt(spark, make_docs, partitions):
+    rows = [(7 if i % 2 else i, f"{'same start ' * (i % 3)}text {i * 37 % 101}") for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        check(compare_with_next(make_docs(rows).repartition(4)).collect(), rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)

@@ -30,9 +30,10 @@ from passagelake.session import scratch_folder
 END_ID = 2
 CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
-
-
-_PUNCTUATION = ".,;:!?)]}\"%"
+#: New words encoded as one text.
+JOINED_WORDS = 5_000
+#: Rows of one id are dealt by so many characters of the text, which do not contradict its order.
+DEALT_CHARS = 64
 
 
 def byte_characters() -> list[str]:
@@ -50,11 +51,10 @@ class PieceEncoder:
 
     The pre-tokenizer always starts a new token at a single space between two
     characters that are not white space, so a text may be cut there and the ids
-    joined; the same holds between a letter and the punctuation that ends a word. A
-    word of letters is one pre-token and goes to the library's model as it is. Texts
-    with other spacing are cut at such spaces only.
+    joined. Texts with other spacing are cut at such spaces only.
 
-    Words are found and put together in array operations. Their ids are kept in two
+    Words are found and put together in array operations. New ones are encoded together,
+    as one text, and its ids are cut by the words' bytes. Their ids are kept in two
     generations: when the young one is full it becomes the old one, whose words move
     back as they are seen again. Long words are not kept.
 
@@ -73,8 +73,9 @@ class PieceEncoder:
         found = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
         #: What a text that is cut nowhere holds.
         self.added = [t.content for t in found]
-        self.model = self.tokenizer.model
-        self.shown = byte_characters()
+        #: The bytes of each id: a character of a byte-level entry is a byte.
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.sizes = np.array([len(n or "") for n in names], dtype=np.int64)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         largest = max(self.tokenizer.get_vocab_size() - 1, end_id or 0)
@@ -85,12 +86,19 @@ class PieceEncoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return [np.array(ids, dtype=self.dtype).tobytes() for ids in found]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word led by a space."""
-        if not word.isalpha():
-            return self._encode([" " + word])[0]
-        shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
-        return np.array([t.id for t in self.model.tokenize(self.shown[32] + shown)], self.dtype).tobytes()
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words led by a space, encoded as one text and cut where the words' bytes end."""
+        text = " " + " ".join(words)
+        if not any(content in text for content in self.added):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum(self.sizes[ids])
+            word_ends = np.cumsum([1 + len(w) if w.isascii() else 1 + len(w.encode()) for w in words])
+            last = np.searchsorted(ends, word_ends)
+            if last[-1] == len(ids) - 1 and (ends[last] == word_ends).all():
+                held, size = ids.tobytes(), self.dtype.itemsize
+                edges = [0, *((last + 1) * size).tolist()]
+                return [held[x:y] for x, y in pairwise(edges)]
+        return self._encode([" " + w for w in words])
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -110,23 +118,14 @@ class PieceEncoder:
         """Ids of each of the different words, led by a space."""
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
-        young, old, ends, out = self.young, self.old, {"": b""}, []
-        for word in words:
-            ids = young.get(word)
-            if ids is None:
-                ids = old.get(word)
-                if ids is None:
-                    stem = word.rstrip(_PUNCTUATION)
-                    if not stem or not stem[-1].isalpha():
-                        stem = word
-                    end = word[len(stem) :]
-                    if end not in ends:
-                        ends[end] = self._encode([end])[0]
-                    ids = (young.get(stem) or old.get(stem) or self._word(stem)) + ends[end]
-                if len(word) <= LONGEST_CACHED:
-                    young[word] = ids
-            out.append(ids)
-        return out
+        young, old = self.young, self.old
+        known = {w: ids for w in words if (ids := young.get(w) or old.get(w)) is not None}
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), JOINED_WORDS):
+            part = new[at : at + JOINED_WORDS]
+            known.update(zip(part, self._joined(part)))
+        young.update((w, ids) for w, ids in known.items() if len(w) <= LONGEST_CACHED)
+        return [known[w] for w in words]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, with the end id."""
@@ -144,7 +143,8 @@ class PieceEncoder:
         for content in self.added:
             whole |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
         regular &= ~whole
-        found = [b"" if o else i for o, i in zip(odd.tolist(), self._words(words))]
+        encoded = iter(self._words([w for w, o in zip(words, odd.tolist()) if not o]))
+        found = [b"" if o else next(encoded) for o in odd.tolist()]
         # The first word of a text has no space in front.
         heads = {}
         for text, ok in zip(range(len(texts)), regular.tolist()):
@@ -199,7 +199,8 @@ def write_token_files(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"),
         F.col(text_col).alias("text"),
     )
-    ordered = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    start = F.substring("text", 1, DEALT_CHARS)
+    ordered = narrow.repartitionByRange("doc_id", start).sortWithinPartitions("doc_id", "text")
 
     def write(slices):
         context = TaskContext.get()

@@ -102,3 +102,15 @@ def test_query_keeps_added_tokens_as_the_library_does(spark, tmp_path):
     assert [(least if r[0] is None else r[0], *r[1:]) for r in got] == [(least if r[0] is None else r[0], *r[1:]) for r in wanted]
     encode = PieceEncoder(PATH, added_tokens=True)
     assert [i.tolist() for i in encode.encode_batch(odd)] == [library(t) for t in odd]
+
+
+@pytest.mark.parametrize("shards", [1, 5, 8])
+def test_equal_ids_are_ordered_by_text_however_they_are_dealt(spark, make_docs, library, shards):
+    rows = [(7 if i % 2 else i, f"{'same start ' * (i % 3)}text {i * 37 % 101}") for i in range(200)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(shards))
+    try:
+        folder = write_token_files(make_docs(rows).repartition(4), PATH)
+        got = [tuple(r) for r in read_token_files(spark, folder).orderBy("start").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == expected(library, rows)

@@ -239,7 +239,7 @@ def _filled(rows: DataFrame, ids, labels, vectors, windows, size: int, same_labe
         complete = level == thresholds.levels
         if not windows:
             break
-        low = [w[2] if complete else max(w[2], thresholds(level, w)) for w in windows]
+        low = [w[2] if complete else min(HIGHEST, max(w[2], thresholds(level, w))) for w in windows]
         used = sorted({w[1] for w in windows})
         place = {a: i for i, a in enumerate(used)}
         anchors = Anchors(

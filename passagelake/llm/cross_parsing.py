@@ -35,7 +35,11 @@ def letters_only(text: str | None) -> str:
     """Lower-case letters with single spaces between the words."""
     import re
 
-    return " ".join(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if all(map(str.isalpha, words)):
+        return " ".join(words)
+    # Numerals such as ½ and Ⅷ are no letters.
+    return " ".join("".join(c if c.isalpha() else " " for c in " ".join(words)).split())
 
 
 def suffix_automaton(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -216,7 +220,12 @@ def train(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, lang_pred, score) of every whole text, in place: nothing is shuffled."""
+    """Rows (doc_id, lang_pred, score) of every whole text, in place: nothing is shuffled.
+
+    ``und`` and 0 for null and empty texts, texts without a letter, and all texts if the
+    model knows no language. Every row gives one, whether its id is null or repeats; other
+    columns are not looked at. An empty table gives no rows.
+    """
 
     def run(slices):
         for rows in slices:

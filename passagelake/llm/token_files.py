@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from passagelake.llm.common import filesystem, kept_in_worker, map_rows, publish_file
+from passagelake.llm.common import filesystem, kept_in_worker, map_rows, publish_file, shared_folder
 from passagelake.session import scratch_folder
 
 END_ID = 2
@@ -192,7 +192,7 @@ def write_token_files(
     ``added_tokens`` is that of PieceEncoder.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_folder(spark, "tokens")
+    folder = shared_folder(spark, folder or scratch_folder(spark, "tokens"))
     files, path = filesystem(folder)
     files.create_dir(path, recursive=True)
     narrow = docs.select(
@@ -262,6 +262,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     A task takes whole shards, which were written at the size of a partition. The
     checksum is that of the ids as little-endian 32-bit numbers, whatever the file holds.
     """
+    folder = shared_folder(spark, folder)
     shards = shard_bases(spark, folder).select("shard", "base", "width")
     count = max(1, shards.count())
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

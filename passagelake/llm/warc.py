@@ -22,7 +22,7 @@ import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from passagelake.llm.common import filesystem, map_rows, publish_file
+from passagelake.llm.common import filesystem, map_rows, publish_file, shared_folder
 from passagelake.session import scratch_folder
 
 SEGMENT_BYTES = 64 * 1024
@@ -159,7 +159,7 @@ def write_archives(
     lists the files. Null html is an empty payload; null urls and ids are empty fields.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_folder(spark, "warc")
+    folder = shared_folder(spark, folder or scratch_folder(spark, "warc"))
     files, path = filesystem(folder)
     files.create_dir(path, recursive=True)
 
@@ -219,45 +219,56 @@ def inflate(stream, size: int = READ_BYTES):
 
 
 def parse_records(stream):
-    """(fields, block) of each record; field names in lower case. Holds one record at a time."""
-    pieces, held = inflate(stream), b""
+    """(fields, block) of each record; field names in lower case. Holds one record at a time.
+
+    ValueError or zlib.error where an archive is damaged: what stands behind can not be found.
+    """
+    pieces, held = inflate(stream), bytearray()
 
     def fill() -> bool:
-        nonlocal held
         piece = next(pieces, None)
-        if piece is None:
-            return False
-        held += piece
-        return True
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
 
     while True:
-        held = held.lstrip(b"\r\n")
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        looked = 0
+        while True:
+            if held[:1] in (b"\r", b"\n"):
+                held[:] = held.lstrip(b"\r\n")
+                looked = 0
+            end = held.find(b"\r\n\r\n", max(0, looked - 3))
+            if end >= 0:
+                break
+            looked = len(held)
             if not fill():
                 if held.strip():
                     raise ValueError("archive ends inside a record's head")
                 return
-            held = held.lstrip(b"\r\n")
         fields = {}
         for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError("record without a length")
         size = int(fields["content-length"])
-        held = held[end + 4 :]
+        del held[: end + 4]
         while len(held) < size:
             if not fill():
                 raise ValueError("archive ends inside a record's block")
-        yield fields, held[:size]
-        held = held[size:]
+        yield fields, bytes(held[:size])
+        del held[:size]
 
 
+#: Stands for the type of what could not be read.
+DAMAGED = "damaged"
 PAGE = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
     "payload_digest string, payload binary, error string"
 )
 RAW = (
     "origin string, segment int, total bigint, record_type string, page_id bigint, url string, "
-    "refers_to bigint, payload_bytes bigint, payload_digest string, block binary"
+    "refers_to bigint, payload_bytes bigint, payload_digest string, block binary, damage string"
 )
 
 
@@ -267,41 +278,54 @@ def read_records(
     """Raw records of all archives, one row per record or segment, see RAW.
 
     ``segments`` True gives only the parts of segmented records, False only whole ones.
+    An archive that is damaged gives the records before the place, and a row of type
+    "damaged" whose ``damage`` says what is wrong (not among the segments).
     """
+    folder = shared_folder(spark, folder)
     paths = spark.read.parquet(f"{folder}/{list_name}").select("path")
     count = max(1, paths.count())
 
+    names = [part.split()[0] for part in RAW.split(", ")]
+
     def number(value):
-        return int(value) if value else None
+        return int(value) if value and value.isdigit() else None
+
+    def records(files, path):
+        """Rows of an archive as tuples."""
+        with files.open_input_stream(path, compression=None) as stream:
+            try:
+                for place, (fields, block) in enumerate(parse_records(stream)):
+                    if segments is not None and segments != ("warc-segment-number" in fields):
+                        continue
+                    yield (
+                        fields.get("warc-segment-origin-id") or fields.get("warc-record-id") or f"{path}#{place}",
+                        number(fields.get("warc-segment-number")) or 0,
+                        number(fields.get("warc-segment-total-length")),
+                        fields.get("warc-type"),
+                        number(fields.get("warc-page-id")),
+                        fields.get("warc-target-uri"),
+                        number(fields.get("warc-refers-to-page-id")),
+                        number(fields.get("warc-payload-length")),
+                        (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
+                        block,
+                        None,
+                    )
+            except (ValueError, zlib.error) as damage:
+                if segments is not True:
+                    yield (path, 0, None, DAMAGED, None, None, None, None, None, b"", f"{path}: {damage}")
 
     def read(slices):
         files, _ = filesystem(folder)
-        names = ("origin segment total record_type page_id url refers_to payload_bytes payload_digest block").split()
         out, held = {n: [] for n in names}, 0
         for rows in slices:
             for path in rows["path"]:
-                with files.open_input_stream(path, compression=None) as stream:
-                    for fields, block in parse_records(stream):
-                        if segments is not None and segments != ("warc-segment-number" in fields):
-                            continue
-                        values = (
-                            fields.get("warc-segment-origin-id") or fields["warc-record-id"],
-                            int(fields.get("warc-segment-number") or 0),
-                            number(fields.get("warc-segment-total-length")),
-                            fields["warc-type"],
-                            number(fields.get("warc-page-id")),
-                            fields.get("warc-target-uri"),
-                            number(fields.get("warc-refers-to-page-id")),
-                            number(fields.get("warc-payload-length")),
-                            (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
-                            block,
-                        )
-                        for name, value in zip(names, values):
-                            out[name].append(value)
-                        held += len(block)
-                        if held > 4 * READ_BYTES:
-                            yield out
-                            out, held = {n: [] for n in names}, 0
+                for row in records(files, path):
+                    for name, value in zip(names, row):
+                        out[name].append(value)
+                    held += len(row[names.index("block")])
+                    if held > 4 * READ_BYTES:
+                        yield out
+                        out, held = {n: [] for n in names}, 0
         if out["origin"]:
             yield out
 
@@ -342,7 +366,9 @@ def read_archives(
     """Pages of the archives, segments put together; see PAGE.
 
     Only segments are shuffled, by their origin: a group is one page. A revisit has
-    the length and digest of the payload it refers to, and no payload itself.
+    the length and digest of the payload it refers to, and no payload itself. What is
+    wrong with a page stands in ``error``; an archive that breaks off gives its records
+    before that place and a row of type "damaged" without a page.
     """
     columns = [
         "record_type", "page_id", "url", "refers_to", "payload_bytes", "payload_digest", "blocks", "total", "error"
@@ -350,7 +376,7 @@ def read_archives(
     whole = (
         read_records(spark, folder, list_name, segments=False)
         .withColumn("blocks", F.array("block"))
-        .withColumn("error", F.lit(None).cast("string"))
+        .withColumn("error", F.col("damage"))
     )
     parts = F.array_sort(F.collect_list(F.struct("segment", "block", "total")))
     first = F.col("segment") == 1

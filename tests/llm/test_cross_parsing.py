@@ -125,3 +125,11 @@ def test_languages_of_many_scripts_are_told_apart():
     assert model.classify(list(words.values()))[0] == list(words)
     parts = {"ru": "собака и кошка", "bg": "кучето и котката", "el": "ο σκύλος και η γάτα", "ja": "犬と猫は丘の上", "zh": "狗和猫在山上"}
     assert model.classify(list(parts.values()))[0] == list(parts)
+
+
+def test_numerals_are_no_letters():
+    from passagelake.llm.cross_parsing import build_model, letters_only
+
+    assert letters_only("½ ² ① Ⅷ 5") == "" and letters_only("x²y Ⅷth ÜB_er") == "x y th üb er"
+    model = build_model({"a": ["some text of one language"], "b": ["ganz anderer text"]})
+    assert model.classify(["½ ² ①", "some text"])[0] == ["und", "a"]

@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from passagelake.llm.common import filesystem
+from passagelake.llm.common import filesystem, shared_folder
 from passagelake.llm.queries import op7_warc
 from passagelake.llm.warc import (
     BAD_CHUNKS,
@@ -137,3 +137,49 @@ def test_empty_table(spark, pages):
     folder = write_archives(pages.where(F.lit(False)))
     assert read_archives(spark, folder).count() == 0
     assert filesystem("file:/tmp/x")[1] == filesystem("file:///tmp/x")[1] == filesystem("/tmp/x")[1] == "/tmp/x"
+
+
+def test_a_damaged_archive_gives_its_sound_records_and_a_row(spark, tmp_path):
+    def plain(i, fields=()):
+        body = b"HTTP/1.1 200 OK\r\n\r\n" + b"page %d " % i * 50
+        return record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Page-ID", i), *fields], body)
+
+    whole = [gzip.compress(plain(i)) for i in range(4)]
+    nameless = record([("WARC-Type", "response"), ("WARC-Page-ID", "20")], b"HTTP/1.1 200 OK\r\n\r\nx")
+    files = {
+        "cut.warc.gz": b"".join(whole)[:-30],
+        "bits.warc.gz": whole[0] + whole[1][:40] + b"\xff" * 40,
+        "length.warc": plain(10) + b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc",
+        "nameless.warc": nameless + plain(21),
+        "good.warc.gz": gzip.compress(plain(30)),
+        "empty.warc.gz": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    spark.createDataFrame([(str(tmp_path / n),) for n in files], "path string").write.parquet(f"{tmp_path}/files.parquet")
+    found = read_archives(spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in found if r.error is None) == [0, 0, 1, 2, 10, 20, 21, 30]
+    damaged = [r for r in found if r.error is not None]
+    assert {r.record_type for r in damaged} == {"damaged"} and {r.page_id for r in damaged} == {None}
+    assert sorted(r.error.split(":")[0].rsplit("/", 1)[1] for r in damaged) == ["bits.warc.gz", "cut.warc.gz", "length.warc"]
+
+
+def test_one_large_record_and_blank_lines():
+    big = record([("WARC-Type", "resource"), ("WARC-Record-ID", "<big>")], b"x" * 30_000_000)
+    found = list(parse_records(io.BytesIO(b"\r\n" * 40_000 + big + b"\r\n" * 40_000 + big)))
+    assert [len(b) for _, b in found] == [30_000_000] * 2
+
+
+def test_folders_are_resolved_as_spark_does(spark, tmp_path):
+    assert shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
+    for unknown in ("wasb://a@b/c", "ftp://host/x"):
+        with pytest.raises(ValueError):
+            filesystem(unknown)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://other/")
+    conf.set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    try:
+        assert shared_folder(spark, "/in/a").startswith("viewfs://other/in/a")
+    finally:
+        conf.set("fs.defaultFS", before)

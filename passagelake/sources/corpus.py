@@ -328,10 +328,13 @@ def keep_language(
     marked = files.withColumn("kept", F.coalesce(F.col(lang_col) == lang, F.lit(False)))
     if min_files is None:
         return marked
-    # Kept files are numbered without an eager job or a sort in one task: equal ranges
-    # of the order are counted, and only a file's own range is ordered inside.
-    ranges = marked.where("kept").repartitionByRange(order_col).select(
-        order_col, F.spark_partition_id().alias("_range")
+    # Kept files are numbered without a sort in one task: equal ranges of the order are
+    # counted, and only a file's own range is ordered inside. The ranges are drawn from a
+    # sample and so stored: what counts them and what orders them must see the same ones.
+    ranges = reliable(
+        marked.where("kept").repartitionByRange(order_col).select(
+            order_col, F.spark_partition_id().alias("_range")
+        )
     )
     counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max(order_col).alias("_last"))
     before = F.coalesce(

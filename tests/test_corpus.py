@@ -205,3 +205,19 @@ def test_language_walk(spark):
     assert tuple(language_summary(keep_language(files, "n", min_files=2)).first()) == (2, 2)
     assert tuple(language_summary(keep_language(files, "n", min_files=9)).first()) == (3, 3)
     assert tuple(language_summary(keep_language(files, "n")).first()) == (3, 3)
+
+
+def test_language_walk_does_not_depend_on_the_plan(spark):
+    files = spark.range(20_000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"))
+    files = files.repartition(7, F.xxhash64("n"))
+    settings = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for wanted in (1, 2500, 4999):
+            walked = keep_language(files, "n", min_files=wanted).agg(F.max("n"), F.count_if("kept")).first()
+            assert tuple(walked) == (3 * (wanted - 1), wanted)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

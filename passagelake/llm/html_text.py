@@ -47,6 +47,17 @@ DROPPED_NAMES = set(
     "header masthead comment comments commentlist disqus replies respond discussion related recommended share "
     "sharing social popup modal overlay pagination pager widget widgets copyright disclaimer login toolbar".split()
 )
+# What a name may hold beside these: words for a box or its place, which say nothing about the text in it.
+BOX_NAMES = set(
+    "area bar block bottom box button buttons col column container content group holder inner item items left link "
+    "links list main outer page panel post region right row section site slot small large top unit wrap wrapper "
+    "article entry primary secondary global".split()
+)
+# Names of these stand for parts of an article as well: inside one, they only count for boxes full of links.
+WEAK_NAMES = set(
+    "discussion related recommended share sharing social respond promotion menu menus login".split()
+)
+LINK_SHARE = 0.5
 # An open element of the key is closed by a start tag among the values.
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html", "head", "option", "optgroup"},
@@ -81,7 +92,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME_PARTS = re.compile(r"[a-z]+|\d+")
 _NEEDED = ("class", "id", "role", "hidden", "aria-hidden", "style")
 
 
@@ -101,13 +111,55 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+class _Open:
+    """The open elements from the root on, and for each tag their places among them."""
+
+    def __init__(self, root: Element):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Element) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.path) > place:
+            self.places[self.path.pop().tag].pop()
+
+    def end_implied(self, tag: str) -> None:
+        """Close what a start tag of this name closes, unless a scope in between keeps it."""
+        closers, keepers = _IMPLIED.get(tag, ((), ()))
+        while (place := self.last(closers)) and place >= self.last(keepers):
+            self.close(place)
+
+
+# For each start tag the open elements it closes, and those that keep it from doing so.
+_IMPLIED = {
+    tag: (
+        [t for t, ends in CLOSED_BY.items() if tag in ends],
+        SCOPES["p"].union(*(scope for t, scope in SCOPES.items() if t != "p" and tag in CLOSED_BY[t])),
+    )
+    for tag in set().union(*CLOSED_BY.values())
+}
+
+
 def parse(source: str | None) -> Element:
-    """A tree of the whole page. Anything is accepted: unclosed and stray tags, cut-off pages."""
-    root = at = Element("html", {}, None)
+    """A tree of the whole page. Anything is accepted: unclosed and stray tags, cut-off pages.
+
+    The time grows with the page's length, however deep its elements are nested.
+    """
+    root = Element("html", {}, None)
+    opened = _Open(root)
     source = source or ""
     place = 0
     while True:
         token = _TOKEN.search(source, place)
+        at = opened.path[-1]
         if token is None:
             if place < len(source):
                 at.children.append(source[place:])
@@ -120,27 +172,21 @@ def parse(source: str | None) -> Element:
             continue
         tag = tag.lower()
         if token["end"] or token["end2"]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
-            elif tag == "p":
-                Element("p", {}, at)
+            if found := opened.last((tag,)):
+                opened.close(found)
             continue
-        if tag in ("html", "body") and any(a.tag == tag for a in _ancestors(at)):
+        if tag == "html" or tag == "body" and opened.last((tag,)):
             continue
-        at = _implied_end(at, tag)
+        opened.end_implied(tag)
+        at = opened.path[-1]
         attributes = token["attributes"] or token["attributes2"] or ""
         node = Element(tag, _attributes(attributes), at)
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, place)
             place = end.end() if end else len(source)
-        elif tag not in VOID and not attributes.endswith("/"):
-            at = node
-        elif tag not in VOID and attributes.endswith("/"):
-            at = node if tag in BLOCKS else at
+        elif tag not in VOID and (tag in BLOCKS or not attributes.endswith("/")):
+            opened.push(node)
 
 
 def _ancestors(node: Element | None):
@@ -149,19 +195,6 @@ def _ancestors(node: Element | None):
         node = node.parent
 
 
-def _implied_end(at: Element, tag: str) -> Element:
-    for node in _ancestors(at):
-        if node.parent is None:
-            return at
-        if node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
-            return _implied_end(node.parent, tag)
-        if any(node.tag in scope and tag in CLOSED_BY[inner] for inner, scope in SCOPES.items() if inner != "p"):
-            return at
-        if node.tag in SCOPES["p"]:
-            return at
-    return at
-
-
 def _below(node: Element):
     """The element and all elements below it, in page order, without recursion."""
     stack = [node]
@@ -180,26 +213,64 @@ def _hidden(node: Element) -> bool:
     )
 
 
-def _named_boilerplate(node: Element) -> bool:
-    if node.attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-    spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()
-    return not DROPPED_NAMES.isdisjoint(_NAME_PARTS.findall(spaced))
+def _boilerplate_names(node: Element) -> set[str]:
+    """The words for boilerplate in the element's class and id.
 
+    A name counts if its other words only say that it is a box: ``ad-box`` does, ``ad-free`` does not.
+    """
+    found = set()
+    for name in f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}".split():
+        words = set(re.findall("[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+        if words <= DROPPED_NAMES | BOX_NAMES:
+            found |= words & DROPPED_NAMES
+    return found
 
-def boilerplate(node: Element) -> bool:
-    """Whether the element's tag, role or names say that it is not part of the article.
 
-    Names do not count for an element that holds the article or the main part.
-    """
-    if node.tag in DROPPED or _hidden(node):
-        return True
-    if not node.attributes or not _named_boilerplate(node):
-        return False
-    if node.tag in ("html", "body", "main"):
-        return False
-    return not any(n is not node and n.tag in ("article", "main") for n in _below(node))
+class Page:
+    """A parsed page, with what its elements' names are judged by."""
+
+    def __init__(self, source: str | None):
+        self.root = parse(source)
+        #: Elements around an article or main part, and inside one.
+        self.around: set[int] = set()
+        self.inside: set[int] = set()
+        for node in _below(self.root):
+            if node.parent is not None and (id(node.parent) in self.inside or node.parent.tag in ("article", "main")):
+                self.inside.add(id(node))
+            if node.tag in ("article", "main"):
+                for outer in _ancestors(node.parent):
+                    if id(outer) in self.around:
+                        break
+                    self.around.add(id(outer))
+        self._links: dict[int, tuple[int, int]] = {}
+
+    def link_share(self, node: Element) -> float:
+        """The share of the element's text that stands in links."""
+        if not self._links:
+            for one in reversed(list(_below(self.root))):
+                chars = sum(len(c.strip()) for c in one.children if isinstance(c, str))
+                held = [self._links[id(c)] for c in one.children if isinstance(c, Element)]
+                chars += sum(h[0] for h in held)
+                self._links[id(one)] = chars, chars if one.tag == "a" else sum(h[1] for h in held)
+        chars, links = self._links[id(node)]
+        return links / chars if chars else 1.0
+
+    def boilerplate(self, node: Element) -> bool:
+        """Whether the element's tag, role or names say that it is not part of the article.
+
+        Names do not count for an element that holds the article or the main part. Inside one,
+        the weak names only count for boxes whose text is mostly links.
+        """
+        if node.tag in DROPPED or _hidden(node):
+            return True
+        if not node.attributes or node.tag in ("html", "body", "main") or id(node) in self.around:
+            return False
+        if node.attributes.get("role", "").lower() in DROPPED_ROLES:
+            return True
+        names = _boilerplate_names(node)
+        if not names or id(node) not in self.inside or names - WEAK_NAMES:
+            return bool(names)
+        return self.link_share(node) >= LINK_SHARE
 
 
 def subtree_hashes(root: Element) -> dict[int, int]:
@@ -233,14 +304,14 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return found
 
 
-def main_parts(root: Element, removed: set[int]) -> list[Element]:
+def main_parts(page: Page, removed: set[int]) -> list[Element]:
     """Where the main text stands: the articles, else the main part, else the whole page."""
 
     def outermost(wanted) -> list[Element]:
-        found, stack = [], [root]
+        found, stack = [], [page.root]
         while stack:
             node = stack.pop()
-            if id(node) in removed or boilerplate(node):
+            if id(node) in removed or page.boilerplate(node):
                 continue
             if wanted(node):
                 found.append(node)
@@ -254,10 +325,10 @@ def main_parts(root: Element, removed: set[int]) -> list[Element]:
     ):
         if parts := outermost(wanted):
             return parts
-    return [root]
+    return [page.root]
 
 
-def text_blocks(part: Element, removed: set[int]) -> list[str]:
+def text_blocks(page: Page, part: Element, removed: set[int]) -> list[str]:
     """Text of each block in page order; white space inside a block is one space."""
     blocks, held = [], []
 
@@ -274,7 +345,7 @@ def text_blocks(part: Element, removed: set[int]) -> list[str]:
             end()
         elif isinstance(item, str):
             held.append(item)
-        elif id(item) not in removed and (item is part or not boilerplate(item)):
+        elif id(item) not in removed and (item is part or not page.boilerplate(item)):
             if item.tag in BLOCKS:
                 end()
                 stack.append(None)
@@ -291,23 +362,23 @@ def main_text(source: str | None, templates: set[int] = frozenset()) -> str:
     A subtree that holds the article or main part is not deleted. If nothing would be
     left of the text, the deleted subtree with the most text is the page's main text.
     """
-    root = parse(source)
+    page = Page(source)
     removed: set[int] = set()
     if templates:
-        hashes = subtree_hashes(root)
+        hashes = subtree_hashes(page.root)
         removed = {node for node, value in hashes.items() if value in templates}
     if removed:
-        for part in main_parts(root, set()):
+        for part in main_parts(page, set()):
             removed.difference_update(id(node) for node in _ancestors(part))
-    blocks = [b for part in main_parts(root, removed) for b in text_blocks(part, removed)]
+    blocks = [b for part in main_parts(page, removed) for b in text_blocks(page, part, removed)]
     if removed and not blocks:
-        deleted = [n for part in main_parts(root, set()) for n in _outermost(part, removed)]
-        longest = max((text_blocks(n, set()) for n in deleted), key=lambda found: sum(map(len, found)), default=[])
+        deleted = [n for part in main_parts(page, set()) for n in _outermost(page, part, removed)]
+        longest = max((text_blocks(page, n, set()) for n in deleted), key=lambda found: sum(map(len, found)), default=[])
         return " ".join(longest)
     return " ".join(blocks)
 
 
-def _outermost(part: Element, wanted: set[int]) -> list[Element]:
+def _outermost(page: Page, part: Element, wanted: set[int]) -> list[Element]:
     """The wanted elements of a part that are in no other one, nor in boilerplate."""
     found, stack = [], [part]
     while stack:
@@ -315,8 +386,8 @@ def _outermost(part: Element, wanted: set[int]) -> list[Element]:
         if id(node) in wanted:
             found.append(node)
         else:
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element) and not boilerplate(c))
-    return [n for n in found if not boilerplate(n)]
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Element) and not page.boilerplate(c))
+    return [n for n in found if not page.boilerplate(n)]
 
 
 def host_of(url):
@@ -362,7 +433,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """One row per page: page_id, url, text, n_chars, n_templates (template subtrees on the page).
 
     Null or empty html gives an empty text. Pages whose url names no host share the
-    host ''. Rows that repeat a page are counted and returned as pages of their own.
+    host ''. Copies of a page count once towards templates, and every row is returned. Long
+    and deep pages take time by their length. An empty table gives no rows; other columns
+    are not looked at.
     """
     keyed = pages.select(
         "page_id",

@@ -101,3 +101,62 @@ def test_a_notice_on_many_pages_of_a_large_host_goes(spark):
 
     got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([page(i) for i in range(900)], SCHEMA)).collect()}
     assert got == {i: f"Page {i} text" for i in range(900)}
+
+
+@pytest.mark.parametrize(
+    "kept",
+    [
+        '<section id="discussion"><p>kept words</p></section>',
+        '<div class="copyright-law">kept words</div>',
+        '<p class="share">kept words</p>',
+        '<div class="ad-free">kept words</div>',
+        '<div class="notice-period">kept words</div>',
+        '<div class="related"><p>kept words</p> <a href="/">x</a></div>',
+    ],
+)
+def test_names_alone_delete_no_part_of_an_article(kept):
+    assert "kept words" in main_text(f"<body><article><p>before</p>{kept}<p>after</p></article></body>")
+
+
+@pytest.mark.parametrize(
+    "gone",
+    [
+        '<div class="ad">gone</div>', '<div id="ad-box-2">gone</div>', '<div class="cookieNotice">gone</div>',
+        '<div class="comments"><p>gone</p></div>', '<ul class="share"><li><a href="/">gone</a></li></ul>',
+        '<div class="related-links"><a href="/">gone</a> <a href="/b">gone</a></div>',
+        '<div role="alert">gone</div>', '<p hidden>gone</p>',
+    ],
+)
+def test_boilerplate_inside_an_article_goes(gone):
+    assert main_text(f"<body><article><p>before</p>{gone}<p>after</p></article></body>") == "before after"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "deep",
+        "<b>" * 100_000 + "deep",
+        "<p>" + "<button><div>" * 50_000 + "deep",
+        "<div class='ad'><div class='related'>" * 50_000 + "<article>deep",
+        "<article>" + "<div class='share'>" * 100_000 + "deep",
+        "<table><tr><td>" * 33_000 + "deep",
+        "</b><p></i>" * 33_000 + "deep",
+    ],
+)
+def test_deep_pages_take_time_by_their_length(page):
+    import time
+
+    began = time.process_time()
+    text = main_text(page)
+    subtree_hashes(parse(page))
+    assert time.process_time() - began < 10
+    assert text in ("deep", "")
+
+
+def test_unmarked_menus_of_pages_without_an_article_go_by_recurrence(spark):
+    menu = "<div><ul><li>Home</li><li>All pages</li></ul></div>"
+    rows = [(i, f"https://h.org/{i}", f"<body>{menu}<div><p>Story number {i} of many</p></div></body>") for i in range(40)]
+    rows += [(100 + i, f"https://other.org/{i}", f"<body>{menu}<p>Alone {i}</p></body>") for i in range(2)]
+    found = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[i] == f"Story number {i} of many" for i in range(40))
+    assert found[100] == "Home All pages Alone 0"

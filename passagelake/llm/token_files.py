@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -30,6 +31,8 @@ from passagelake.session import scratch_folder
 END_ID = 2
 CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
+#: What ends a word behind a letter.
+PUNCTUATION = ".,;:!?)]}\"%"
 #: New words encoded as one text.
 JOINED_WORDS = 5_000
 #: Rows of one id are dealt by so many characters of the text, which do not contradict its order.
@@ -53,8 +56,8 @@ class PieceEncoder:
     characters that are not white space, so a text may be cut there and the ids
     joined. Texts with other spacing are cut at such spaces only.
 
-    Words are found and put together in array operations. New ones are encoded together,
-    as one text, and its ids are cut by the words' bytes. Their ids are kept in two
+    Words are found in array operations. New ones of letters go to the library's model, the
+    others are encoded together, as one text, whose ids are cut by the words' bytes. Their ids are kept in two
     generations: when the young one is full it becomes the old one, whose words move
     back as they are seen again. Long words are not kept.
 
@@ -76,10 +79,14 @@ class PieceEncoder:
         #: The bytes of each id: a character of a byte-level entry is a byte.
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.sizes = np.array([len(n or "") for n in names], dtype=np.int64)
+        self.model = self.tokenizer.model
+        self.shown = byte_characters()
+        self.ends: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         largest = max(self.tokenizer.get_vocab_size() - 1, end_id or 0)
         self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([] if end_id is None else [end_id], dtype=self.dtype)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -114,18 +121,46 @@ class PieceEncoder:
         cut.append(held)
         return cut
 
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters led by a space, and of the punctuation behind it; None for other words.
+
+        A new token starts between a letter and the punctuation that ends a word, and letters
+        alone are one pre-token, which goes to the library's model as it is.
+        """
+        stem = word.rstrip(PUNCTUATION)
+        if not stem.isalpha():
+            return None
+        shown = stem if stem.isascii() else "".join([self.shown[b] for b in stem.encode()])
+        ids = array(self.code, [t.id for t in self.model.tokenize(self.shown[32] + shown)]).tobytes()
+        if len(stem) == len(word):
+            return ids
+        end = word[len(stem) :]
+        known = self.ends.get(end)
+        if known is None:
+            if len(self.ends) > CACHED_WORDS:
+                self.ends.clear()
+            known = self.ends[end] = self._encode([end])[0]
+        return ids + known
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each of the different words, led by a space."""
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        known = {w: ids for w in words if (ids := young.get(w) or old.get(w)) is not None}
-        new = [w for w in words if w not in known]
+        found = list(map(self.young.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        old, new = self.old, []
+        for i in missing:
+            found[i] = old.get(words[i])
+            if found[i] is None:
+                found[i] = self._letters(words[i])
+            if found[i] is None:
+                new.append(i)
         for at in range(0, len(new), JOINED_WORDS):
             part = new[at : at + JOINED_WORDS]
-            known.update(zip(part, self._joined(part)))
-        young.update((w, ids) for w, ids in known.items() if len(w) <= LONGEST_CACHED)
-        return [known[w] for w in words]
+            for i, ids in zip(part, self._joined([words[i] for i in part])):
+                found[i] = ids
+        self.young.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST_CACHED)
+        return found
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, with the end id."""
@@ -136,41 +171,31 @@ class PieceEncoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         words = coded.dictionary.to_pylist()
         # Texts with a space next to other white space go another way.
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], dtype=bool)
+        odd = np.array([not w or len(w.strip()) != len(w) for w in words], dtype=bool)
         seen = np.concatenate([[0], np.cumsum(odd[codes])])
         regular = seen[edges[1:]] == seen[edges[:-1]]
         whole = np.zeros(len(texts), dtype=bool)
         for content in self.added:
             whole |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
         regular &= ~whole
-        encoded = iter(self._words([w for w, o in zip(words, odd.tolist()) if not o]))
-        found = [b"" if o else next(encoded) for o in odd.tolist()]
+        plain = np.flatnonzero(~odd).tolist()
+        found = [b""] * len(words)
+        for i, ids in zip(plain, self._words([words[i] for i in plain])):
+            found[i] = ids
         # The first word of a text has no space in front.
-        heads = {}
-        for text, ok in zip(range(len(texts)), regular.tolist()):
-            if ok:
-                head = words[codes[edges[text]]]
-                if head not in heads:
-                    heads[head] = len(found)
-                    found.append(self._encode([head])[0])
-                codes[edges[text]] = heads[head]
-        tokens = np.frombuffer(b"".join(found), dtype=self.dtype)
-        lengths = np.array([len(f) // self.dtype.itemsize for f in found], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[codes]
-        after = np.cumsum(each)
-        joined = tokens[np.repeat(starts[codes] - after + each, each) + np.arange(each.sum())]
-        bounds = np.concatenate([[0], after])[edges]
+        first = edges[:-1][regular]
+        heads, place = np.unique(codes[first], return_inverse=True)
+        codes[first] = len(found) + place
+        found += self._encode([words[i] for i in heads.tolist()]) if len(heads) else []
         out = []
         for i, text in enumerate(texts):
             if regular[i]:
-                ids = joined[bounds[i] : bounds[i + 1]]
+                ids = b"".join([found[c] for c in codes[edges[i] : edges[i + 1]].tolist()])
             elif text:
-                pieces = [text] if whole[i] else self.pieces(text)
-                ids = np.frombuffer(b"".join(self._encode(pieces)), dtype=self.dtype)
+                ids = b"".join(self._encode([text] if whole[i] else self.pieces(text)))
             else:
-                ids = self.end[:0]
-            out.append(np.concatenate([ids, self.end]))
+                ids = b""
+            out.append(np.frombuffer(ids + self.end.tobytes(), dtype=self.dtype))
         return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -160,13 +163,13 @@ class TopK:
         return self._cut(self.hits[0])
 
 
-def _hit_schema(queries: DataFrame, vectors: DataFrame, keys: list[str]) -> T.StructType:
+def hit_schema(queries: DataFrame, vectors: DataFrame, keys: list[str]) -> T.StructType:
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields += [T.StructField(k, vectors.schema[k].dataType) for k in keys]
     return T.StructType(fields + [T.StructField("score", T.DoubleType())])
 
 
-def _key_columns(vectors: DataFrame) -> list[str]:
+def key_columns(vectors: DataFrame) -> list[str]:
     return ["centroid_idx", "chunk_id"] + (["label"] if "label" in vectors.columns else [])
 
 
@@ -186,6 +189,19 @@ def _broadcast_hits(
         texts, ids = np.repeat(texts, probes.shape[1], axis=0), np.repeat(ids, probes.shape[1])
         probes = probes.reshape(-1, 1)
     routed = {int(c): np.nonzero((probes == c).any(axis=1))[0] for c in np.unique(probes)}
+    return scan_routed(vectors, texts, ids, routed, k, metric, schema, keys)
+
+
+def scan_routed(
+    vectors: DataFrame, texts: np.ndarray, ids: np.ndarray, routed: dict[int, np.ndarray], k: int, metric: str,
+    schema: T.StructType, keys: list[str],
+) -> DataFrame:
+    """Hits of a bounded number of queries, each in the shards it is routed to.
+
+    ``routed`` has the places of a shard's queries in ``texts`` and ``ids``. At most k rows
+    per task and query come out.
+    """
+    dim = texts.shape[1]
     shared = vectors.sparkSession.sparkContext.broadcast((texts, routed, ids))
     arrow_schema = to_arrow_schema(schema)
 
@@ -281,6 +297,21 @@ def rank_hits(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame
     return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 
+def query_blocks(queries: DataFrame, most: int) -> Iterator[pa.Table]:
+    """The queries (query_id, embedding) in blocks of at most ``most``, by the hash of the id.
+
+    They are stored first, so that whatever embeds them runs once. Ids that repeat beyond
+    ``most`` times are parted by their vectors.
+    """
+    stored = reliable(queries)
+    # Blocks of hashes differ a little in size: aim at three quarters, and cut what is larger.
+    count = max(1, -(-4 * stored.count() // (3 * most)))
+    for number in range(count):
+        block = stored.where(F.pmod(F.xxhash64("query_id", "embedding"), F.lit(count)) == number).toArrow()
+        for at in range(0, block.num_rows, most):
+            yield block.slice(at, most)
+
+
 def candidate_hits(
     queries: DataFrame,
     vectors: DataFrame,
@@ -295,12 +326,14 @@ def candidate_hits(
 
     At most k hits per query (or query and shard) come out of one task's scan, so
     the ranking that follows shuffles little. Whether the queries are few enough
-    to broadcast is measured, not assumed; otherwise both sides are joined.
+    to broadcast is measured, not assumed. More are sent in blocks that pass by the vectors
+    one after the other: vectors are read for each block and never shuffled. Where not even
+    one query may be sent, both sides are joined.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    keys = _key_columns(vectors)
-    schema = _hit_schema(queries, vectors, keys)
+    keys = key_columns(vectors)
+    schema = hit_schema(queries, vectors, keys)
     names, matrix = centroid_matrix(centroids)
     dim = matrix.shape[1]
     usable = queries.where(F.size("embedding") == dim).select("query_id", "embedding")
@@ -313,6 +346,12 @@ def candidate_hits(
             vectors, asked, names, matrix, k, nprobe, metric, per_shard, schema, keys
         )
         return hits, asked.num_rows
+    if few:
+        found = [
+            reliable(_broadcast_hits(vectors, block, names, matrix, k, nprobe, metric, per_shard, schema, keys))
+            for block in query_blocks(usable, few)
+        ]
+        return reduce(DataFrame.unionByName, found), None
     return _joined_hits(vectors, usable, centroids, dim, k, nprobe, metric, schema, keys), None
 
 
@@ -346,7 +385,7 @@ def attach_passages(hits: DataFrame, id_map: DataFrame, few: bool = False) -> Da
     Only keys and vectors were scanned to find the hits; text is read here, for
     the rows that won. ``few`` says their number is known to be small.
     """
-    keys = [c for c in _key_columns(id_map) if c in hits.columns]
+    keys = [c for c in key_columns(id_map) if c in hits.columns]
     found = id_map.select(*keys, "doc_id", "chunk_len", "chunk")
     return found.join(F.broadcast(hits) if few else hits, keys, "inner")
 

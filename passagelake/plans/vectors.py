@@ -14,6 +14,8 @@ from passagelake.operators.centroids import (
     route,
     train_centroids,
 )
+from passagelake.operators.bounds import bounded_topk as open_by_bounds
+from passagelake.operators.graph import build_graph, search_graph
 from passagelake.operators.labels import dense_labels
 from passagelake.operators.sampling import sample_rows
 from passagelake.operators.search import (
@@ -154,6 +156,28 @@ def joined_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
 
 
+@query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+    SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")
+def streamed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the queries passing by the vectors in several blocks: no vector is shuffled."""
+    centres = centroids(spark, sf_dir)
+    shards = reliable(assigned(spark, sf_dir, centres))
+    found = search_vectors(mean_queries(spark, sf_dir), shards, centres, broadcast_numbers=64 * 3 * 60)
+    return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
+
+
+@query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+    SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by walks through a graph of near neighbours: exact scores, and no row missed here."""
+    centres = centroids(spark, sf_dir)
+    graph = reliable(build_graph(reliable(dense_labels(reliable(assigned(spark, sf_dir, centres))))))
+    found = search_graph(mean_queries(spark, sf_dir), graph, centres)
+    return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
+
+
 @query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
         PARTITION BY query_id, centroid_idx ORDER BY score DESC, chunk_id) AS rank FROM scored)
     SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 5""")
@@ -174,6 +198,15 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_search_all(spark, sf_dir, centroids(spark, sf_dir)))
 
 
+@query(f"{WITH}, {EXACT_SQL} SELECT {HIT} FROM best WHERE rank <= 3")
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact as well: shards are opened until the bounds say that no other can improve a query."""
+    rows = vectors(spark, sf_dir)
+    centres = reliable(train_centroids(rows))
+    shards = reliable(assign_nearest(rows, centres))
+    return _hits(open_by_bounds(mean_queries(spark, sf_dir), shards, centres)[0])
+
+
 @query(f"{WITH}, {EXACT_SQL} SELECT {HIT} FROM best WHERE rank <= 3")
 def kmeans_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through trained centroids: whatever they are, no vector may be lost."""

@@ -15,6 +15,8 @@ CENTROIDS = "centroid_idx int, centroid array<double>"
 
 VECTORS = f"{EMBEDDED}, label bigint"
 
+GRAPH = "chunk_id string, embedding array<float>, label bigint, neighbours array<bigint>, centroid_idx int"
+
 INDEX_METADATA = (
     "index_version bigint, num_centroids int, distance_metric string, "
     "shard_assignment_method string, shard_prefix string, shards_path string, "

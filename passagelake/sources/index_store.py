@@ -5,6 +5,7 @@ Layout below the index path::
     centroids/index_version=V/
     vectors/index_version=V/batch_id=B/centroid_idx=C/
     shard_counts/index_version=V/batch_id=B/
+    graph/index_version=V/centroid_idx=C/   neighbour lists beside vectors, if built
     index_metadata/                     one row per finished version
 
 A version is readable once its index_metadata row is there, which is written
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagelake.functions.ids import object_path, shard_name
 from passagelake.operators.centroids import assign_nearest, train_centroids
+from passagelake.operators.graph import build_graph, search_graph
 from passagelake.operators.labels import dense_labels
-from passagelake.operators.search import search_passages
+from passagelake.operators.search import attach_passages, search_passages
 from passagelake.operators.validation import validate_embedded
-from passagelake.schemas import CENTROIDS, INDEX_METADATA, VECTORS
+from passagelake.schemas import CENTROIDS, GRAPH, INDEX_METADATA, VECTORS
 from passagelake.session import reliable
 from passagelake.sources.topics import receive
 
@@ -224,6 +226,30 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 3, nprobe: int = 3, **options) -> DataFrame:
         return search_passages(queries, self.vectors(), self.centroids(), k, nprobe=nprobe, **options)
 
+    def build_graph(self, **options) -> None:
+        """Store the neighbour lists of this version's shards; building again replaces them."""
+        rows = self.vectors().select("chunk_id", "embedding", "label", "centroid_idx")
+        linked = build_graph(rows, **options).repartitionByRange("centroid_idx", "label")
+        (
+            linked.sortWithinPartitions("centroid_idx", "label")
+            .write.mode("overwrite")
+            .partitionBy("centroid_idx")
+            .parquet(f"{self.path}/graph/index_version={self.version}")
+        )
+
+    def graph(self) -> DataFrame:
+        """The stored graph; it must have been built after the last batch was appended."""
+        found = _read(self.spark, f"{self.path}/graph/index_version={self.version}", GRAPH)
+        there = self.shard_sizes().agg(F.sum("num_vectors")).first()[0] or 0
+        if found.count() != there:
+            raise ValueError("the graph does not cover the vectors: build it (again)")
+        return found
+
+    def search_graph(self, queries: DataFrame, k: int = 3, nprobe: int = 3, **options) -> DataFrame:
+        """Hits of walks through the graph with their texts, looked up by label for the winners alone."""
+        hits = reliable(search_graph(queries, self.graph(), self.centroids(), k, nprobe, **options))
+        return attach_passages(hits, self.vectors())
+
 
 def finished_versions(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/index_metadata", INDEX_METADATA)

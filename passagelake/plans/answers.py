@@ -18,11 +18,12 @@ from passagelake.operators.prompts import (
     generate_answers,
     with_fallback,
 )
-from passagelake.operators.reports import run_report as report
+from passagelake.operators.reports import RunRecord
 from passagelake.operators.search import search_responses as respond
 from passagelake.plans.catalog import query, table
 from passagelake.plans.passages import DOCUMENTS_SQL, LINES, chunk_sql, document_chunks
 from passagelake.plans.stored import SEARCH_SQL, benchmark_queries, search_benchmark
+from passagelake.session import scratch_folder
 
 
 def _literal(text: str) -> str:
@@ -94,7 +95,11 @@ def clean_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(count(*) AS BIGINT) AS total_chunks, CAST(90.0 AS DOUBLE) AS duration_seconds,
       CAST(NULL AS VARCHAR) AS error_message FROM chunks""")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    started, ended = datetime(2024, 1, 1, 12, 0, 0), datetime(2024, 1, 1, 12, 1, 30)
-    return report(
-        spark, "completed", started, ended, document_chunks(spark, sf_dir)
-    ).select("is_running", "status", "total_chunks", "duration_seconds", "error_message")
+    """A recorded run that chunks the documents, by a clock that stops at 90 seconds."""
+    folder = scratch_folder(spark, "runs")
+    clock = iter([datetime(2024, 1, 1, 12, 0, 0), datetime(2024, 1, 1, 12, 1, 30)])
+    with RunRecord(spark, folder, "chunking", clock=lambda: next(clock)) as run:
+        run.chunks = document_chunks(spark, sf_dir).count()
+    return RunRecord.report(spark, folder).select(
+        "is_running", "status", "total_chunks", "duration_seconds", "error_message"
+    )

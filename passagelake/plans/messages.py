@@ -13,6 +13,7 @@ from passagelake.operators.validation import (
 from passagelake.operators.reports import RunRecord
 from passagelake.plans.catalog import query, text_table
 from passagelake.session import scratch_folder
+from passagelake.sources.index_store import build_index_from_topic, open_index
 from passagelake.sources.topics import publish, receive, topic_statistics as statistics
 
 LONG_ID = "123456789012345"
@@ -169,7 +170,7 @@ def embed_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(0 AS BIGINT) AS transfer_dead_letter_messages,
       CAST(count(*) AS BIGINT) AS total_messages FROM messages GROUP BY ROLLUP (subscription)""")
 def topic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of written topics and of what their stages set aside."""
+    """Statistics of written topics and of what their stages set aside, checked as they are read."""
     folder = scratch_folder(spark, "topics")
     sides = []
     for name, messages, check in (
@@ -177,13 +178,28 @@ def topic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("upload-index", embedded_messages(spark, sf_dir), validate_embedded),
     ):
         publish(messages, f"{folder}/{name}")
-        check(receive(spark, f"{folder}/{name}")).select("value", "reason").write.parquet(f"{folder}/{name}-read")
-        read = spark.read.parquet(f"{folder}/{name}-read")
+        checked = check(receive(spark, f"{folder}/{name}"))
         status = F.when(F.col("reason").isNull(), "active").otherwise("dead-lettered")
-        sides.append(read.select(F.lit(name).alias("subscription"), status.alias("status")))
+        sides.append(checked.select(F.lit(name).alias("subscription"), status.alias("status")))
     return statistics(sides[0].unionByName(sides[1]))
 
 
+@query("""WITH good AS (SELECT vec_id, label FROM embeddings
+      WHERE label IN (7, 8) OR label = 9 AND vec_id % 10 NOT BETWEEN 1 AND 4),
+    named AS (SELECT CASE WHEN label = 8 THEN CAST(vec_id AS VARCHAR) ELSE 'v' || vec_id END AS chunk_id FROM good)
+    SELECT chunk_id FROM named ORDER BY chunk_id LIMIT 40""")
+def bounded_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 good messages that a drain of a topic with a bound puts into an index, the first by chunk_id."""
+    folder = scratch_folder(spark, "drain")
+    # The ids of 23 digits are in other queries: here an id is its vector's.
+    plain = embedded_messages(spark, sf_dir).where(~F.col("value").contains(LONG_ID))
+    publish(plain, f"{folder}/upload-index")
+    build_index_from_topic(
+        spark, f"{folder}/upload-index", f"{folder}/index", max_messages=40, num_centroids=4, max_samples=40
+    )
+    return open_index(spark, f"{folder}/index").vectors().select("chunk_id")
+
+
 @query(f"""{VALIDATED_SQL} SELECT 'completed' AS status, CAST(count(*) AS BIGINT) AS total_chunks,
       false AS is_running, CAST(NULL AS VARCHAR) AS error_message FROM checked WHERE reason IS NULL
     UNION ALL SELECT 'failed', 0, false, 'ValueError: no messages left'""")

@@ -165,8 +165,21 @@ def exported_corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_id", F.col("chunk_len").cast("bigint").alias("chunk_len"))
 
 
-# The same lines as gzipped files, one or more for each source, some of them broken off.
-@query(f"""SELECT source, CAST(count(*) FILTER (lang NOT IN ('fr', 'de')) AS BIGINT) AS kept,
+def break_off(spark: SparkSession, folder: str, path: str) -> None:
+    """Write the first half of one of a folder's compressed files, as an upload that stopped leaves it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(folder)
+    whole = files.orderBy("length", "path").select("content").first()["content"]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    with_bytes = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    with_bytes.write(bytearray(whole[: len(whole) // 2]))
+    with_bytes.close()
+
+
+# The same lines as gzipped files, one or more for each source, and one that is broken off.
+@query(f"""SELECT 'broken' AS source, CAST(0 AS BIGINT) AS kept, CAST(0 AS BIGINT) AS invalid,
+      CAST(0 AS BIGINT) AS empty, CAST(1 AS BIGINT) AS skipped_files
+    UNION ALL SELECT source, CAST(count(*) FILTER (lang NOT IN ('fr', 'de')) AS BIGINT) AS kept,
       CAST(count(*) FILTER (lang = 'de') AS BIGINT) AS invalid,
       CAST(count(*) FILTER (lang = 'fr') AS BIGINT) AS empty, CAST(0 AS BIGINT) AS skipped_files
     FROM documents WHERE n_chars >= 40 GROUP BY source""")
@@ -175,6 +188,7 @@ def corpus_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "raw")
     written = raw_lines(spark, sf_dir).select("value", F.col("source_file").alias("src"))
     written.write.partitionBy("src").option("compression", "gzip").text(folder)
+    break_off(spark, folder, f"{folder}/src=broken/part-0.txt.gz")
     report = read_corpus(spark, folder).report()
     return report.groupBy(F.regexp_extract("source_file", "src=([^/]*)", 1).alias("source")).agg(
         F.sum("kept").alias("kept"),
@@ -184,6 +198,21 @@ def corpus_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT CAST(ceil(count(*) / 250.0) AS BIGINT) AS chunks_uploaded,
+      CAST(count(*) AS BIGINT) AS documents_uploaded, true AS bytes_are_the_files FROM documents""")
+def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export wrote; its bytes are held against the sizes that reading its files tells."""
+    folder = scratch_folder(spark, "export")
+    rows = read_in_order(spark, f"{sf_dir}/documents.parquet").withColumnRenamed("doc_id", "id")
+    export_documents(rows, folder, chunk_size=250)
+    summary = summarize(plan_shards(rows, 250), "documents", "train", folder)
+    lines = spark.read.text(folder).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"))
+    told = lines.distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return summary.select(
+        "chunks_uploaded", "documents_uploaded", (F.col("bytes_uploaded") == told).alias("bytes_are_the_files")
+    )
+
+
 PLAN_SHARD = 300
 
 

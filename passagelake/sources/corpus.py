@@ -160,6 +160,10 @@ def number_lines(lines: DataFrame) -> DataFrame:
         "block_start",
         (F.col("_before") - F.col("_first") - F.coalesce("_start", F.lit(0))).alias("_offset"),
     )
+    # One small row per file and split: sent along where their number allows it, so that no
+    # line is shuffled.
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return (
         lines.join(offsets, ["source_file", "block_start"])
         .withColumn("line_num", F.col("row_id") + F.col("_offset"))

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from passagelake.functions.vectors import pair_scores, to_matrix, unit_rows
+from passagelake.functions.vectors import to_matrix
 from passagelake.operators.centroids import route
-from passagelake.operators.search import METRICS, NPROBE, TOP_K, rank_hits
+from passagelake.operators.search import METRICS, NPROBE, TOP_K, rank_hits, score_column
 from passagelake.session import reliable
 
 DEGREE = 16
@@ -166,15 +166,6 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS)
     return vectors.join(lists, KEY, "left").withColumn("neighbours", F.coalesce("neighbours", none))
 
 
-def _score(metric: str):
-    @F.arrow_udf("double")
-    def score(asked: pa.Array, found: pa.Array) -> pa.Array:
-        left, right = to_matrix(asked)[0].astype(np.float64), to_matrix(found)[0]
-        return pa.array(pair_scores(left if metric == "l2" else unit_rows(left), right, metric))
-
-    return score
-
-
 def search_graph(
     queries: DataFrame,
     graph: DataFrame,
@@ -210,7 +201,7 @@ def search_graph(
 
     def scored(candidates):
         met = candidates.join(points, KEY).join(asked, walk)
-        return met.select(*walk, "label", "chunk_id", "neighbours", _score(metric)("_asked", "_found").alias("score"))
+        return met.select(*walk, "label", "chunk_id", "neighbours", score_column(metric)("_asked", "_found").alias("score"))
 
     best_first = Window.partitionBy(*walk).orderBy(F.col("score").desc(), "chunk_id", "label")
 

@@ -290,6 +290,17 @@ def _joined_hits(vectors, queries, centroids, dim, k, nprobe, metric, schema, ke
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
 
 
+def score_column(metric: str):
+    """A column function of a query's vector and a row's: the score that search gives the pair."""
+
+    @F.arrow_udf("double")
+    def score(asked: pa.Array, found: pa.Array) -> pa.Array:
+        left, right = to_matrix(asked)[0].astype(np.float64), to_matrix(found)[0]
+        return pa.array(pair_scores(left if metric == "l2" else unit_rows(left), right, metric))
+
+    return score
+
+
 def rank_hits(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """Best ``k`` hits per query (or per query and shard), ranked from 1."""
     ties = ["chunk_id"] + (["label"] if "label" in hits.columns else [])

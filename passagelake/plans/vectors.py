@@ -17,6 +17,7 @@ from passagelake.operators.centroids import (
 from passagelake.operators.bounds import bounded_topk as open_by_bounds
 from passagelake.operators.graph import build_graph, search_graph
 from passagelake.operators.labels import dense_labels
+from passagelake.operators.quantise import quantise, search_quantised, train_codebooks
 from passagelake.operators.sampling import sample_rows
 from passagelake.operators.search import (
     recall_at_k as recall,
@@ -167,6 +168,19 @@ def streamed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
 
 
+@query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+    SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")
+def quantised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a scan of codes: only rows that their bounds cannot rule out are scored in full."""
+    centres = centroids(spark, sf_dir)
+    shards = reliable(dense_labels(reliable(assigned(spark, sf_dir, centres))))
+    books = train_codebooks(shards)
+    codes = reliable(quantise(shards, books))
+    found = search_quantised(mean_queries(spark, sf_dir), codes, shards, centres, books, exact=True)
+    return _hits(found, F.col("centroid_idx").cast("bigint").alias("centroid_idx"))
+
+
 @query(f"""{WITH}, {SCORED_SQL}, best AS (SELECT *, row_number() OVER (
         PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
     SELECT {HIT}, CAST(centroid_idx AS BIGINT) AS centroid_idx FROM best WHERE rank <= 3""")

@@ -6,6 +6,7 @@ Layout below the index path::
     vectors/index_version=V/batch_id=B/centroid_idx=C/
     shard_counts/index_version=V/batch_id=B/
     graph/index_version=V/centroid_idx=C/   neighbour lists beside vectors, if built
+    codes/index_version=V/centroid_idx=C/, codebooks/index_version=V/   quantised vectors, if built
     index_metadata/                     one row per finished version
 
 A version is readable once its index_metadata row is there, which is written
@@ -23,6 +24,7 @@ from passagelake.functions.ids import object_path, shard_name
 from passagelake.operators.centroids import assign_nearest, train_centroids
 from passagelake.operators.graph import build_graph, search_graph
 from passagelake.operators.labels import dense_labels
+from passagelake.operators.quantise import CODES, Codebooks, quantise, search_quantised, train_codebooks
 from passagelake.operators.search import attach_passages, search_passages
 from passagelake.operators.validation import validate_embedded
 from passagelake.schemas import CENTROIDS, GRAPH, INDEX_METADATA, VECTORS
@@ -251,6 +253,29 @@ class VectorIndex:
         return attach_passages(hits, self.vectors())
 
 
+    def build_codes(self, **options) -> None:
+        """Store this version's vectors as codes; building again replaces them."""
+        rows, version = self.vectors().select("chunk_id", "embedding", "label", "centroid_idx"), f"index_version={self.version}"
+        books = train_codebooks(rows, **options)
+        books.frame(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/codebooks/{version}")
+        coded = quantise(rows, books).repartitionByRange("centroid_idx", "label").sortWithinPartitions("centroid_idx", "label")
+        coded.write.mode("overwrite").partitionBy("centroid_idx").parquet(f"{self.path}/codes/{version}")
+
+    def codes(self) -> DataFrame:
+        """The stored codes; they must have been built after the last batch was appended."""
+        found = _read(self.spark, f"{self.path}/codes/index_version={self.version}", CODES)
+        there = self.shard_sizes().agg(F.sum("num_vectors")).first()[0] or 0
+        if found.count() != there:
+            raise ValueError("the codes do not cover the vectors: build them (again)")
+        return found
+
+    def search_codes(self, queries: DataFrame, k: int = 3, nprobe: int = 3, **options) -> DataFrame:
+        """Hits by codes with their texts, looked up by label for the winners alone."""
+        books = Codebooks.of(self.spark.read.parquet(f"{self.path}/codebooks/index_version={self.version}"))
+        vectors = self.vectors()
+        return attach_passages(search_quantised(queries, self.codes(), vectors, self.centroids(), books, k, nprobe, **options), vectors)
+
+
 def finished_versions(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/index_metadata", INDEX_METADATA)
 

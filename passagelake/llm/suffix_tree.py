@@ -37,8 +37,8 @@ WINDOW_BYTES = 1 << 20
 #: Words that make at least this share of the training tokens, a million at most, are
 #: sent to all tasks with their counts; the others are joined.
 COMMON_SHARE = 1e-6
-HELD_WORDS = 250_000
-HELD_GRAMS = 2_500_000
+HELD_WORDS = 150_000
+HELD_GRAMS = 1_500_000
 #: Next bytes of contexts that are sent to the tasks at once, about.
 PART_ENTRIES = 6_000_000
 #: The probability of a byte that nothing is known of.

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passagelake.llm.common import kept_in_worker, map_rows
-from passagelake.llm.token_files import PieceEncoder, byte_characters
+from passagelake.llm.token_files import JOINED_WORDS, PieceEncoder, byte_characters
 from passagelake.session import reliable
 
 SPACE = "▁"
@@ -130,10 +130,18 @@ class Aligner:
         return [piece[1:] for piece in PieceEncoder.pieces(" " + text)]
 
     def _a_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        simple = [not (" " in w or w[0].isspace() or w[-1].isspace()) for w in words]
-        easy = iter(self.a._words([w for w, s in zip(words, simple) if s]))
-        hard = iter(self.a._encode([" " + w for w, s in zip(words, simple) if not s]))
-        found = [next(easy if s else hard) for s in simple]
+        # Words are kept aligned, so the encoder's own cache is passed by.
+        found = list(map(self.a._letters, words))
+        plain, other = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                (plain if word and " " not in word and len(word.strip()) == len(word) else other).append(i)
+        for places, encode in ((plain, self.a._joined), (other, lambda some: self.a._encode([" " + w for w in some]))):
+            for at in range(0, len(places), JOINED_WORDS):
+                part = places[at : at + JOINED_WORDS]
+                for i, ids in zip(part, encode([words[i] for i in part])):
+                    found[i] = ids
         size = self.a.dtype.itemsize
         ids = np.frombuffer(b"".join(found), dtype=self.a.dtype).astype(np.int64)
         return ids, np.array([len(f) // size for f in found], dtype=np.int64)
@@ -266,7 +274,7 @@ class Aligner:
             flat = lists.flatten()
             coded = flat.dictionary_encode()
             # A word with white space at an end, or none between two spaces, is cut otherwise.
-            odd = [not w or w[0].isspace() or w[-1].isspace() for w in coded.dictionary.to_pylist()]
+            odd = [not w or len(w.strip()) != len(w) for w in coded.dictionary.to_pylist()]
             seen = np.concatenate([[0], np.cumsum(np.array(odd)[coded.indices.to_numpy()])])
             regular = seen[edges[1:]] == seen[edges[:-1]]
             if regular.all():

@@ -9,7 +9,7 @@ from passagelake.functions.text import BLANK_LINES, LINE_ENDS, paragraphs, word_
 from passagelake.operators.chunking import chunk_documents as cut
 from passagelake.operators.reports import chunk_counts
 from passagelake.plans.catalog import query, table, text_table
-from passagelake.session import scratch_folder
+from passagelake.session import reliable, scratch_folder
 from passagelake.sources.corpus import (
     fetch_summary,
     keep_language,
@@ -20,6 +20,7 @@ from passagelake.sources.corpus import (
     read_in_order,
     sample_missing_files as sample_files,
 )
+from passagelake.sources.gzip_members import index_members, listed_files, member_runs, read_runs, write_members
 from passagelake.sources.export import export_documents, export_summary as summarize, plan_shards
 
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -213,6 +214,19 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, md5(doc_id || ' ' || translate(text, chr(10) || chr(13), '  ')) AS line_hash FROM documents""")
+def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of gzip files with many members, which are read in runs by many tasks."""
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.translate("text", "\n\r", "  "))
+    lines = table(spark, sf_dir, "documents").select(line.alias("value"))
+    folder = write_members(lines, scratch_folder(spark, "members"), member_bytes=64 * 1024)
+    members = reliable(index_members(listed_files(spark, folder)))
+    found = read_runs(member_runs(members, run_bytes=128 * 1024))
+    return found.select(
+        F.substring_index("value", " ", 1).cast("bigint").alias("doc_id"), F.md5("value").alias("line_hash")
+    )
+
+
 PLAN_SHARD = 300
 
 

@@ -12,6 +12,7 @@ from passagelake.functions.text import is_blank
 from passagelake.operators.sampling import sample_rows
 from passagelake.schemas import RAW_DOCUMENT
 from passagelake.session import reliable
+from passagelake.sources.gzip_members import is_damaged
 
 INVALID_JSON = "Invalid JSON"
 EMPTY_TEXT = "Empty text"
@@ -19,6 +20,8 @@ DAMAGED = "Damaged or incomplete file"
 NOT_NUMBERED = "No number in the name"
 FILE_NUMBER = r"-(\d{5,})(?=[./])"
 INFLATE_BYTES = 1024 * 1024
+#: Schemes whose files tasks open without further libraries.
+OPENED = {"file", "s3", "s3a", "gs"}
 
 # More files than this and their offsets are joined instead of broadcast.
 BROADCAST_FILES = 200_000
@@ -111,17 +114,21 @@ def skipped_files(
 ) -> DataFrame:
     """Files that are not read: source_file, reason.
 
-    Compressed files of the range are read through once to see that they are whole, one at a time
-    per task. If a range is asked for, files whose name has no number are listed too.
+    Compressed files of the range are read through once, in pieces, to see that they are whole. On
+    file systems that only Spark can open they are held one at a time. If a range is asked for, files whose name has no number are listed too.
     """
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("ignoreMissingFiles", True)
-        .load(paths).select(F.col("_metadata.file_path").alias("source_file"), "content")
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("ignoreMissingFiles", True)
+    listed = files.load(paths).select(F.col("_metadata.file_path").alias("source_file"), "path", "content")
+    sample = listed.select("path").first()
+    opened = sample is None or sample["path"].partition(":")[0] in OPENED
+    listed = listed.drop("content" if opened else "path")
 
     def damaged(batches):
         for batch in batches:
-            broken = [_broken_gzip(value.as_buffer()) for value in batch.column("content")]
+            if opened:
+                broken = [is_damaged(path) for path in batch.column("path").to_pylist()]
+            else:
+                broken = [_broken_gzip(value.as_buffer()) for value in batch.column("content")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("source_file").filter(pa.array(broken, pa.bool_()))], ["source_file"]
             )

@@ -13,6 +13,7 @@ from passagelake.operators.validation import (
 from passagelake.operators.reports import RunRecord
 from passagelake.plans.catalog import query, text_table
 from passagelake.session import scratch_folder
+from passagelake.sources.deliveries import deliver
 from passagelake.sources.index_store import build_index_from_topic, open_index
 from passagelake.sources.topics import publish, receive, topic_statistics as statistics
 
@@ -184,6 +185,31 @@ def topic_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics(sides[0].unionByName(sides[1]))
 
 
+# src0 can never be handled, src1 not at first, and src2 not passed on.
+@query("""WITH settled AS (SELECT CASE source WHEN 'src0' THEN 'dead-lettered' WHEN 'src2' THEN 'transfer-dead-lettered'
+        ELSE 'completed' END AS status, CASE source WHEN 'src0' THEN 3 WHEN 'src2' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS n
+      FROM documents)
+    SELECT status, CAST(count(*) AS BIGINT) AS messages, CAST(sum(n) AS BIGINT) AS deliveries FROM settled GROUP BY status""")
+def delivery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by status after up to three deliveries, some of which fail."""
+    folder = scratch_folder(spark, "deliveries")
+    rows = text_table(spark, sf_dir, "documents")
+    publish(rows.select(F.to_json(F.struct("doc_id", "source", "text")).alias("value")), f"{folder}/topic")
+
+    def handle(batch: DataFrame) -> DataFrame:
+        source = F.get_json_object("value", "$.source")
+        error = F.when(source == "src0", "Invalid").when((source == "src1") & (F.col("delivery") == 1), "Busy")
+        return batch.select(
+            "message_id", F.coalesce(error, F.when(source == "src2", "Unreachable")).alias("error"),
+            (source == "src2").alias("transfer"),
+        )
+
+    settled = deliver(spark, f"{folder}/topic", folder, handle, max_deliveries=3)
+    return settled.groupBy("status").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum("deliveries").cast("bigint").alias("deliveries")
+    )
+
+
 @query("""WITH good AS (SELECT vec_id, label FROM embeddings
       WHERE label IN (7, 8) OR label = 9 AND vec_id % 10 NOT BETWEEN 1 AND 4),
     named AS (SELECT CASE WHEN label = 8 THEN CAST(vec_id AS VARCHAR) ELSE 'v' || vec_id END AS chunk_id FROM good)

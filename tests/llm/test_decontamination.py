@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,7 +86,8 @@ def test_recall_against_brute_force(spark, make_docs, corpus):
         words, answer = words_of(item), answer_of(item)
         for d, text in enumerate(docs):
             other = words_of(text)
-            if len(set(words) & set(other)) < 0.5 * len(set(words)):
+            # A subsequence has no more words than both have in common, each as often as in both.
+            if sum((Counter(words) & Counter(other)).values()) < PARAPHRASE * len(words):
                 continue
             for at in range(0, len(other), 16):
                 region = other[max(0, at - len(words)) : at + 48 + len(words)]

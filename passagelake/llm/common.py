@@ -27,10 +27,15 @@ def crc32_remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_rows(
+    df: DataFrame,
+    rows: Callable[[Iterator[dict]], Iterator[dict]],
+    schema: str,
+    slice_chars: int = SLICE_CHARS,
+) -> DataFrame:
     """``mapInArrow`` over columns: ``rows`` takes and gives dictionaries of lists.
 
-    Batches are cut so that one holds about SLICE_CHARS of text (or a single row).
+    Batches are cut so that one holds about ``slice_chars`` of text (or a single row).
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -44,7 +49,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], sc
             start, held = 0, 0
             for i, weight in enumerate(weights):
                 held += weight
-                if held >= SLICE_CHARS:
+                if held >= slice_chars:
                     yield batch.slice(start, i + 1 - start).to_pydict()
                     start, held = i + 1, 0
             if start < batch.num_rows:

@@ -31,6 +31,8 @@ from passagelake.session import scratch_folder
 END_ID = 2
 CACHED_WORDS = 250_000
 LONGEST_CACHED = 64
+#: Text encoded at once: in more of it, fewer of the words are different ones.
+BATCH_CHARS = 8_000_000
 #: What ends a word behind a letter.
 PUNCTUATION = ".,;:!?)]}\"%"
 #: New words encoded as one text.
@@ -257,7 +259,7 @@ def write_token_files(
         yield {"shard": [shard], "docs": [len(ids)], "tokens": [total], "width": [encoder.dtype.itemsize]}
 
     schema = "shard int, docs bigint, tokens bigint, width int"
-    map_rows(ordered, write, schema).write.mode("overwrite").parquet(f"{folder}/shards.parquet")
+    map_rows(ordered, write, schema, BATCH_CHARS).write.mode("overwrite").parquet(f"{folder}/shards.parquet")
     return folder
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from passagelake.functions.ids import object_path, shard_name
 from passagelake.functions.vectors import cosine, inner_product, l2_distance
@@ -15,6 +15,7 @@ from passagelake.operators.centroids import (
     train_centroids,
 )
 from passagelake.operators.bounds import bounded_topk as open_by_bounds
+from passagelake.operators.centroid_tree import assign_tree, build_tree, route_tree, train_leaves
 from passagelake.operators.graph import build_graph, search_graph
 from passagelake.operators.labels import dense_labels
 from passagelake.operators.quantise import quantise, search_quantised, train_codebooks
@@ -263,6 +264,46 @@ def kmeans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The queries as centroids, numbered by their names.
+TREE_SQL = f"""{WITH}, t AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, e FROM q),
+    near_t AS (SELECT chunk_id, i, list_distance(v.e, t.e) AS dist, row_number() OVER (
+      PARTITION BY chunk_id ORDER BY round(list_distance(v.e, t.e), 9), i) AS probe FROM v, t)"""
+
+
+def _numbered_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As many rows as labels and hash digits.
+    order = Window.orderBy("query_id")
+    return mean_queries(spark, sf_dir).select(
+        (F.row_number().over(order) - 1).alias("centroid_idx"), F.col("embedding").alias("centroid")
+    )
+
+
+@query(f"""{TREE_SQL} SELECT chunk_id, CAST(probe AS BIGINT) AS probe, CAST(i AS BIGINT) AS centroid_idx,
+      round(dist, 6) + 0.0 AS centroid_distance FROM near_t WHERE probe <= 3""")
+def tree_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of many centroids, through a tree whose bounds lose none."""
+    routed = route_tree(vectors(spark, sf_dir), build_tree(_numbered_means(spark, sf_dir)))
+    return routed.select(
+        "chunk_id",
+        F.col("probe").cast("bigint").alias("probe"),
+        F.col("centroid_idx").cast("bigint").alias("centroid_idx"),
+        F.round("centroid_distance", 6).alias("centroid_distance"),
+    )
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS num_vectors, CAST(count(*) AS BIGINT) AS at_nearest FROM embeddings""")
+def tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards under leaves trained by k-means of k-means: no vector lost, each at its nearest."""
+    rows = vectors(spark, sf_dir)
+    leaves = train_leaves(rows, 4 * NUM_CENTROIDS)
+    own = assign_tree(rows, build_tree(leaves)).select("chunk_id", F.col("centroid_distance").alias("_own"))
+    flat = assign_nearest(rows, leaves).select("chunk_id", "centroid_distance")
+    return own.join(flat, "chunk_id").agg(
+        F.count(F.lit(1)).alias("num_vectors"),
+        F.count_if(F.abs(F.col("_own") - F.col("centroid_distance")) < 1e-6).alias("at_nearest"),
+    )
+
+
 LLOYD_CENTRES = 5
 
 

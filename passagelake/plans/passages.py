@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from passagelake.functions.ids import normalize_doc_id, preview
 from passagelake.functions.text import BLANK_LINES, LINE_ENDS, paragraphs, word_count
 from passagelake.operators.chunking import chunk_documents as cut
+from passagelake.operators.row_packing import pack_rows
 from passagelake.operators.reports import chunk_counts
 from passagelake.plans.catalog import query, table, text_table
 from passagelake.session import reliable, scratch_folder
@@ -84,6 +85,34 @@ def chunk_documents_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(document_chunks(spark, sf_dir))
 
 
+@query(f"WITH {chunk_sql(DOCUMENTS_SQL, LINES)} SELECT chunk, doc_id, chunk_id FROM chunks")
+def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same passages from lines that are rows, in blocks: no task holds a document."""
+    lines = text_table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", LINE_ENDS)).alias("line", "text")
+    )
+    return pack_rows(lines, order_col="line", block_rows=512).select("chunk", "doc_id", "chunk_id")
+
+
+# The turns of a role as one document: longer than any block.
+@query(f"""WITH RECURSIVE turns AS (SELECT role AS doc_id, conv_id, turn, trim(text, {BLANK}) AS p FROM conversations
+      WHERE role IS NOT NULL AND trim(text, {BLANK}) <> ''),
+    counted AS (SELECT doc_id, p, len(regexp_split_to_array(p, '\\s+')) AS n,
+      row_number() OVER (PARTITION BY doc_id ORDER BY conv_id, turn, p) AS i FROM turns),
+    packed AS (
+      SELECT doc_id, i, n AS words, 0 AS ord FROM counted WHERE i = 1
+      UNION ALL
+      SELECT c.doc_id, c.i, CASE WHEN r.words + c.n > 300 THEN c.n ELSE r.words + c.n END,
+             CASE WHEN r.words + c.n > 300 THEN r.ord + 1 ELSE r.ord END
+      FROM packed r JOIN counted c ON c.doc_id = r.doc_id AND c.i = r.i + 1)
+    SELECT k.doc_id, CAST(ord AS BIGINT) AS ordinal, string_agg(p, chr(10) || chr(10) ORDER BY c.i) AS chunk
+    FROM counted c JOIN packed k ON c.doc_id = k.doc_id AND c.i = k.i GROUP BY ALL""")
+def packed_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of a role as one document, which no task holds."""
+    turns = table(spark, sf_dir, "conversations").select("role", F.struct("conv_id", "turn").alias("at"), "text")
+    return pack_rows(turns, "role", "at", block_rows=512).select("doc_id", "ordinal", "chunk")
+
+
 TURNS_SQL = """SELECT conv_id || '_' || turn AS doc_id, role AS source_file, text FROM conversations"""
 
 

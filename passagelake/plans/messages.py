@@ -15,7 +15,9 @@ from passagelake.plans.catalog import query, text_table
 from passagelake.session import scratch_folder
 from passagelake.sources.deliveries import deliver
 from passagelake.sources.index_store import build_index_from_topic, open_index
+from passagelake.sources.topic_log import acknowledge, backlog, read_log, send, stream_log
 from passagelake.sources.topics import publish, receive, topic_statistics as statistics
+from passagelake.streaming.stages import embed_topic
 
 LONG_ID = "123456789012345"
 
@@ -242,3 +244,49 @@ def recorded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ValueError:
         pass
     return RunRecord.report(spark, folder).select("status", "total_chunks", "is_running", "error_message")
+
+
+@query("""SELECT 'c' || doc_id AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id,
+      CAST(CASE WHEN source = 'src5' THEN length(text) ELSE n_chars END AS BIGINT) AS chunk_len,
+      md5(text) AS chunk_hash, 64 AS dim FROM documents
+    WHERE source NOT IN ('src0', 'src3', 'src4', 'src7', 'src8', 'src9')""")
+def logged_embed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks sent to a topic by two senders, embedded as a stream by offsets, sent on, and read back."""
+    folder = scratch_folder(spark, "log")
+    messages = chunk_messages(spark, sf_dir)
+    even = F.xxhash64("value") % 2 == 0
+    send(messages.where(even), f"{folder}/ingestion", "even")
+    send(messages.where(~even), f"{folder}/ingestion", "odd")
+    embed_topic(
+        spark,
+        stream_log(spark, f"{folder}/ingestion", "embedder"),
+        lambda embedded, batch: send(embedded, f"{folder}/upload-index", "embedder", batch),
+        f"{folder}/dead",
+        f"{folder}/checkpoint",
+    ).awaitTermination()
+    checked = validate_embedded(read_log(spark, f"{folder}/upload-index")).where(F.col("reason").isNull())
+    return checked.select(
+        "chunk_id",
+        "doc_id",
+        F.col("chunk_len").cast("bigint").alias("chunk_len"),
+        F.md5("chunk").alias("chunk_hash"),
+        F.size("embedding").alias("dim"),
+    )
+
+
+@query("""SELECT 'fresh' AS subscription, CAST(count(*) AS BIGINT) AS total_messages,
+      CAST(count(*) AS BIGINT) AS active_messages FROM documents
+    UNION ALL SELECT 'reader', count(*), count(*) FILTER (lang IS DISTINCT FROM 'en') FROM documents
+    UNION ALL SELECT 'read', count(*), count(*) FROM documents WHERE lang IS DISTINCT FROM 'en'""")
+def log_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two subscriptions have left of a topic, by its entries; and what is read after the first one's cursor."""
+    folder = scratch_folder(spark, "log")
+    rows = text_table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (english, ~english):
+        send(rows.where(part).select(F.to_json(F.struct("doc_id", "text")).alias("value")), folder)
+    acknowledge(spark, folder, "reader", {"main": 1})
+    left = read_log(spark, folder, {"main": 1}).agg(F.count(F.lit(1)).alias("n"))
+    return backlog(spark, folder, ["fresh", "reader"]).unionByName(
+        left.select(F.lit("read").alias("subscription"), F.col("n").alias("total_messages"), F.col("n").alias("active_messages"))
+    )

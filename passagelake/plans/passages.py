@@ -8,6 +8,7 @@ from passagelake.functions.ids import normalize_doc_id, preview
 from passagelake.functions.text import BLANK_LINES, LINE_ENDS, paragraphs, word_count
 from passagelake.operators.chunking import chunk_documents as cut
 from passagelake.operators.row_packing import pack_rows
+from passagelake.operators.membership import add_to_filter, mark_stored
 from passagelake.operators.reports import chunk_counts
 from passagelake.plans.catalog import query, table, text_table
 from passagelake.session import reliable, scratch_folder
@@ -324,6 +325,18 @@ def fetch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch_summary(_fetch_sample(spark, sf_dir))
 
 
+@query("""SELECT url, html LIKE '%lang="en"%' AS already_stored FROM pages""")
+def marked_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against the stored ones, by a filter that two batches were added to."""
+    pages = table(spark, sf_dir, "pages")
+    stored = pages.where(F.col("html").contains('lang="en"')).select("url")
+    folder = scratch_folder(spark, "filter")
+    half = F.xxhash64("url") % 2 == 0
+    add_to_filter(stored.where(half), folder, 0, "url", expected_keys=stored.count())
+    add_to_filter(stored.where(~half), folder, 1, "url")
+    return mark_stored(pages.select("url"), stored, folder, "url")
+
+
 @query("""SELECT doc_id, lang FROM documents WHERE lang = 'en'""")
 def english_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = keep_language(table(spark, sf_dir, "documents"), "doc_id")

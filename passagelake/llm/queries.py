@@ -35,9 +35,9 @@ def query(sql: str | None = None):
 
 @query()
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded: doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip."""
+    """Every text encoded and decoded: doc_id, token_ids, n_tokens, n_byte_tokens, ids_crc32, round_trip, decoded."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = sentence_pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+    encoded = sentence_pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), keep_decoded=True)
     return encoded.drop("text")
 
 

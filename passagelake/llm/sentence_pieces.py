@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as shortest paths through a transducer.
 
-The transducer is compiled from a model file: the normaliser (white space becomes
-U+2581, with one put in front), one arc chain per piece, and byte arcs for a
-character that no piece has. Composing it with a text gives a lattice of pieces;
-the text's pieces are its shortest path in the tropical semiring.
+The transducer is compiled from a model file: the normaliser (the model's map of
+characters, then white space becomes U+2581, with one put in front), one arc chain per
+piece, and byte arcs for a character that no piece has. Composing it with a text gives
+a lattice of pieces; the text's pieces are its shortest path in the tropical semiring.
+Pieces that the model's maker defined are taken wherever they stand, the longest first.
 
 * Unigram models: an arc weighs minus its piece's score.
 * BPE models: the pieces are those that merging gives. An arc from a state that was
@@ -17,6 +18,8 @@ are composed one by one and their paths are kept in a bounded cache.
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
 from math import inf
 
@@ -34,6 +37,64 @@ CACHED_PAIRS = 1_000_000
 LONGEST_CACHED = 64
 
 
+def each_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    """Every byte that is no part of a character becomes U+FFFD, as in the library."""
+    return "\ufffd" * (error.end - error.start), error.end
+
+
+class CharacterMap:
+    """The normaliser's map of characters: a double array of UTF-8 bytes, whose leaves are places of replacements."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist()
+        self.shown = blob[4 + size :]
+        self.starting: dict[str, bool] = {}
+
+    def _steps(self, key: bytes):
+        """The leaf, or None, behind each byte of ``key`` as long as arcs for them are there."""
+        units = self.units
+        at = (units[0] >> 10) << ((units[0] & 1 << 9) >> 6)
+        for byte in key:
+            at ^= byte
+            if at >= len(units) or units[at] & (1 << 31 | 0xFF) != byte:
+                return
+            unit = units[at]
+            at ^= (unit >> 10) << ((unit & 1 << 9) >> 6)
+            yield units[at] & ~(1 << 31) if unit >> 8 & 1 else None
+
+    def _starts(self, character: str) -> bool:
+        key = character.encode()
+        return sum(1 for _ in self._steps(key)) == len(key)
+
+    def _prefix(self, text: bytes, at: int) -> tuple[int, bytes] | None:
+        """(bytes read, replacement) of the longest key at a place."""
+        found = None
+        for length, leaf in enumerate(self._steps(memoryview(text)[at:]), 1):
+            if leaf is not None:
+                found = length, leaf
+        if found is None:
+            return None
+        return found[0], self.shown[found[1] : self.shown.index(b"\0", found[1])]
+
+    def apply(self, text: str) -> str:
+        starting = self.starting
+        for character in set(text).difference(starting):
+            starting[character] = self._starts(character)
+        if not any(map(starting.__getitem__, set(text))):
+            return text
+        data, at, out = text.encode(), 0, []
+        while at < len(data):
+            found = self._prefix(data, at)
+            if found is None:
+                first = data[at]
+                length = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                found = length, data[at : at + length]
+            out.append(found[1])
+            at += found[0]
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Transducer:
     """Compiled from the model file at ``path``."""
 
@@ -43,15 +104,17 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
+        codecs.register_error("each_byte", each_byte)
         spec, kinds = model.normalizer_spec, pb.ModelProto.SentencePiece
-        if spec.precompiled_charsmap or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only identity normalisers with leading white space are compiled")
+        if model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only normalisers with leading white space are compiled")
+        self.map = CharacterMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.escape = spec.escape_whitespaces
         self.merging = model.trainer_spec.model_type == pb.TrainerSpec.BPE
         self.unknown = model.trainer_spec.unk_id
         self.ids, self.scores, self.bytes, self.shown = {}, [], {}, []
-        lowest = 0.0
+        lowest, highest, defined = 0.0, -inf, []
         for number, piece in enumerate(model.pieces):
             text = piece.piece
             self.scores.append(piece.score)
@@ -64,9 +127,17 @@ class Transducer:
                 self.shown.append(" ⁇ ".encode())
             else:
                 self.ids[text] = number
-                lowest = min(lowest, piece.score)
+                if piece.type == kinds.USER_DEFINED:
+                    defined.append(text)
+                else:
+                    lowest, highest = min(lowest, piece.score), max(highest, piece.score)
                 self.shown.append(text.replace(SPACE, " ").encode())
         self.unknown_cost = 10.0 - lowest
+        # Unigram models weigh them by their bytes, so that no other path is shorter.
+        for text in defined:
+            self.scores[self.ids[text]] = len(text.encode()) * (0.0 if highest == -inf else highest) - 0.1
+        longest_first = "|".join(map(re.escape, sorted(defined, key=len, reverse=True)))
+        self.defined = re.compile(f"({longest_first})") if defined else None
         self.longest = max(map(len, self.ids), default=1)
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         # The pieces as a trie: the arcs' states, a dictionary each, with the piece that ends there.
@@ -82,9 +153,15 @@ class Transducer:
         self.edges: dict[int, tuple | None] = {}
 
     def normalise(self, text: str) -> str:
+        there = bool(text)
+        if self.map is not None:
+            # Defined pieces are not mapped; every second part is one.
+            parts = self.defined.split(text) if self.defined else [text]
+            text = "".join([part if i % 2 else self.map.apply(part) for i, part in enumerate(parts)])
         if self.squeeze:
             text = " ".join(part for part in text.split(" ") if part)
-        if self.dummy and text:
+            there = bool(text)
+        if self.dummy and there:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
@@ -226,7 +303,15 @@ class Transducer:
         return [i for ids in reversed(path) for i in ids]
 
     def _word(self, word: str) -> bytes:
-        path = self._merged_path(word) if self.merging else self._weighted_path(word)
+        if not self.merging:
+            path = self._weighted_path(word)
+        elif self.defined is None:
+            path = self._merged_path(word)
+        else:
+            # Merges do not cross a defined piece.
+            path = []
+            for i, part in enumerate(self.defined.split(word)):
+                path += [self.ids[part]] if i % 2 else self._merged_path(part)
         return np.array(path, dtype="<i4").tobytes()
 
     def _split(self, text: str) -> list[str]:
@@ -259,28 +344,33 @@ class Transducer:
                 if len(word) <= LONGEST_CACHED:
                     cache[word] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        path = np.frombuffer(b"".join(out), dtype="<i4")
+        if not self.bytes and len(path):
+            # Neighbouring characters without a piece are one unknown piece.
+            unknown = path == self.unknown
+            path = path[np.append(True, ~(unknown[1:] & unknown[:-1]))]
+        return path
 
     def decode(self, ids) -> str:
-        """The text of the ids; broken byte sequences become U+FFFD."""
+        """The text of the ids; each byte of a broken sequence becomes U+FFFD."""
         shown = self.shown
-        text = b"".join([shown[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join([shown[i] for i in ids]).decode("utf-8", "each_byte")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
 def encode_documents(
-    docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True
+    docs: DataFrame, model_path: str, text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = False
 ) -> DataFrame:
-    """``docs`` with token_ids (if kept), n_tokens, n_byte_tokens, ids_crc32 and round_trip.
+    """``docs`` with token_ids and decoded (if kept), n_tokens, n_byte_tokens, ids_crc32 and round_trip.
 
-    ``round_trip``: decoding the ids gives the text back (null for a null text). The
-    columns are computed in place, nothing is shuffled. Columns of ``docs`` with one
-    of these names are replaced.
+    ``decoded`` is the text that the ids give, null for a null text; ``round_trip``: it is
+    the text itself. The columns are computed in place, nothing is shuffled. Columns of
+    ``docs`` with one of these names are replaced.
     """
     added = ["n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"]
-    added = (["token_ids"] if keep_ids else []) + added
+    added = (["token_ids"] if keep_ids else []) + added + (["decoded"] if keep_decoded else [])
     kept = [c for c in docs.columns if c.lower() not in added]
-    kinds = {"token_ids": "array<int>", "round_trip": "boolean"}
+    kinds = {"token_ids": "array<int>", "round_trip": "boolean", "decoded": "string"}
 
     def run(slices):
         transducer = kept_in_worker((Transducer.__name__, model_path), lambda: Transducer(model_path))
@@ -289,18 +379,38 @@ def encode_documents(
         for rows in slices:
             texts = rows["_text"]
             found = [transducer.encode(t) for t in texts]
+            decoded = [None if t is None else transducer.decode(ids.tolist()) for t, ids in zip(texts, found)]
             out = {c: rows[c] for c in kept}
             out["n_tokens"] = [len(ids) for ids in found]
             out["n_byte_tokens"] = [int(is_byte[ids].sum()) for ids in found]
             out["ids_crc32"] = [zlib.crc32(ids.tobytes()) for ids in found]
-            out["round_trip"] = [
-                None if t is None else transducer.decode(ids.tolist()) == t for t, ids in zip(texts, found)
-            ]
+            out["round_trip"] = [None if t is None else d == t for t, d in zip(texts, decoded)]
             if keep_ids:
                 out["token_ids"] = found
+            if keep_decoded:
+                out["decoded"] = decoded
             yield out
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"]
     fields += [f"{name} {kinds.get(name, 'bigint')}" for name in added]
     return map_rows(source, run, ", ".join(fields))
+
+
+def decode_documents(rows: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFrame:
+    """``rows`` with ``decoded``, the text of a column of ids; null ids have none. A column of that name is replaced.
+
+    An id that the model lacks is an error.
+    """
+    kept = [c for c in rows.columns if c.lower() != "decoded"]
+
+    def run(slices):
+        transducer = kept_in_worker((Transducer.__name__, model_path), lambda: Transducer(model_path))
+        for part in slices:
+            out = {c: part[c] for c in kept}
+            out["decoded"] = [None if ids is None else transducer.decode(ids) for ids in part["_ids"]]
+            yield out
+
+    source = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("_ids"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_ids"]
+    return map_rows(source, run, ", ".join([*fields, "decoded string"]))

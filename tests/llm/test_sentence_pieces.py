@@ -5,7 +5,7 @@ import pytest
 from odd_rows import ODD
 
 from passagelake.llm.queries import op1_sentence_pieces, tokenizer_path
-from passagelake.llm.sentence_pieces import Transducer, encode_documents
+from passagelake.llm.sentence_pieces import Transducer, decode_documents, encode_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,49 @@ def test_odd_rows_and_clashing_columns(spark, make_docs):
     assert by_text[None]["round_trip"] is None and by_text[""]["round_trip"]
     assert len(by_text["a" * 200_000]["token_ids"]) == by_text["a" * 200_000]["n_tokens"] > 10_000
     assert encode_documents(make_docs([]), tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def test_query_gives_ids_and_the_text_that_they_decode_to(spark, library):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    rows = op1_sentence_pieces(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = library.encode(texts[row["doc_id"]])
+        assert (row["token_ids"], row["decoded"]) == (ids, library.decode(ids))
+
+
+def test_a_column_of_ids_is_decoded(spark, make_docs, library):
+    encoded = encode_documents(make_docs(ODD), tokenizer_path("piece_bpe_32k.model"))
+    for row in decode_documents(encoded, tokenizer_path("piece_bpe_32k.model")).collect():
+        assert row["decoded"] == library.decode(row["token_ids"])
+    broken = spark.createDataFrame([(1, None), (2, []), (3, library.encode("é漢")[:-1])], "i int, ids array<int>")
+    got = dict(decode_documents(broken, tokenizer_path("piece_bpe_32k.model"), "ids").select("i", "decoded").collect())
+    assert got == {1: None, 2: "", 3: library.decode(library.encode("é漢")[:-1])}
+
+
+SAMPLE = ["The quick brown fox jumps over the lazy dog", "pack my box with five dozen liquor jugs", "ＡＢＣ ﬁne text 12 ½ Ⅷ",
+          "a <sep> b<sep><sep>c", "naïve café № 5 ｶﾞ ™", "wide　space and​none\ttab"] * 20
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_models_with_a_map_of_characters_and_defined_pieces(tmp_path, kind, squeeze, rule):
+    import io
+
+    import sentencepiece
+
+    trained = io.BytesIO()
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(SAMPLE), model_writer=trained, vocab_size=120, model_type=kind, hard_vocab_limit=False,
+        normalization_rule_name=rule, remove_extra_whitespaces=squeeze, user_defined_symbols=["<sep>", "<s", "½½"],
+        byte_fallback=False, character_coverage=1.0, minloglevel=2,
+    )
+    path = tmp_path / "m.model"
+    path.write_bytes(trained.getvalue())
+    ours, theirs = Transducer(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = SAMPLE + TEXTS + ["​", " ", "　", "½½½", "<s<sep> <s ep>", "ﬁ" * 9, "é", "が ｶﾞ", "Ａ<sep>Ａ  ½½"]
+    rng = np.random.default_rng(2)
+    texts += ["".join(rng.choice(list("ab Ａﬁ½<sepｶﾞ　́é"), size=rng.integers(1, 25))) for _ in range(200)]
+    for text in texts:
+        assert ours.encode(text).tolist() == theirs.encode(text), text

@@ -9,12 +9,20 @@ entry to the next block's entry. Maps of neighbouring blocks compose, and doubli
 map composed with that of the block twice as far back) gives every block its real entry in as many
 rounds as the number of blocks in the longest document has binary digits. With the entries known, each block
 numbers its own passages.
+
+Rows are dealt and sorted by ranges first. A document that is one block at most and lies between two others
+of its range is entered at its start, so the task that reads it packs it there, in Arrow batches. What is
+left for blocks are longer documents and those at the two ends of a range, which may go on in the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from passagelake.functions.text import strip, word_count
@@ -25,30 +33,130 @@ from passagelake.session import reliable
 BLOCK_ROWS = 4096
 
 
-def number_paragraphs(paragraphs: DataFrame, doc_col: str, order_col: str, text_col: str) -> DataFrame:
-    """doc, position (0, 1, ... in each document), paragraph, words; blank and null paragraphs are left out.
+def _changes(docs: pa.Array) -> np.ndarray:
+    """Where another document begins in a sorted column without nulls."""
+    before, after = docs[:-1], docs[1:]
+    if pa.types.is_nested(docs.type):
+        listed = docs.to_pylist()
+        differ = np.array([a != b for a, b in zip(listed, listed[1:])], dtype=bool)
+    else:
+        differ = pc.not_equal(before, after)
+        if pa.types.is_floating(docs.type):
+            differ = pc.and_not(differ, pc.and_(pc.is_nan(before), pc.is_nan(after)))
+        differ = differ.to_numpy(zero_copy_only=False)
+    return np.append(len(docs) > 0, differ)[: len(docs)]
+
+
+def _passages(rows: pa.Table, max_words: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first row, ordinal, chunk) of the passages of whole documents, one after the other."""
+    begins = np.flatnonzero(_changes(rows.column("doc").combine_chunks()))
+    ends = np.append(begins[1:], rows.num_rows)
+    follows = _next_starts(rows.column("words").to_numpy(), max_words).tolist()
+    starts, ordinals = [], []
+    for at, end in zip(begins.tolist(), ends.tolist()):
+        ordinal = 0
+        # A passage ends with its document.
+        while at < end:
+            starts.append(at)
+            ordinals.append(ordinal)
+            at, ordinal = follows[at], ordinal + 1
+    offsets = pa.array([*starts, rows.num_rows], pa.int32())
+    texts = rows.column("paragraph").combine_chunks()
+    chunks = pc.binary_join(pa.ListArray.from_arrays(offsets, texts), JOINER)
+    return np.array(starts, dtype=np.int64), np.array(ordinals, dtype=np.int64), chunks
+
+
+def _packer(max_words: int, block_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the documents inside a sorted range; longer ones and those at its ends go on as rows, see RANGED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        # The rows of the last document so far, and how many of it have gone on.
+        held: pa.Table | None = None
+        gone, first = 0, True
+
+        def loose(rows: pa.Table, place: np.ndarray) -> pa.RecordBatch:
+            n = rows.num_rows
+            return pa.RecordBatch.from_arrays(
+                [rows.column("doc").combine_chunks(), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)),
+                 pa.array(place, pa.int64()), rows.column("paragraph").combine_chunks(), rows.column("words").combine_chunks()],
+                names=RANGED,
+            )
+
+        def packed(rows: pa.Table) -> pa.RecordBatch:
+            starts, ordinals, chunks = _passages(rows, max_words)
+            n = len(starts)
+            return pa.RecordBatch.from_arrays(
+                [rows.column("doc").combine_chunks().take(pa.array(starts)), pa.array(ordinals), pa.nulls(n, pa.int32()),
+                 pa.nulls(n, pa.int64()), chunks, pa.nulls(n, pa.int32())],
+                names=RANGED,
+            )
 
-    Ranges of the order are counted and only ordered inside, so no task orders a whole document. Rows of equal
-    place are ordered by their text, a null place comes first. Rows without a document take no part.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                # Rows that have gone on leave one behind, to tell whether their document goes on.
+                rows = pa.concat_tables([held.slice(max(0, held.num_rows - 1)) if gone else held, rows])
+            rows = rows.combine_chunks()
+            begins = np.flatnonzero(_changes(rows.column("doc").combine_chunks()))
+            sizes = np.diff(np.append(begins, rows.num_rows))
+            seen = 1 if gone else 0
+            place = np.arange(rows.num_rows) - np.repeat(begins, sizes)
+            place[: sizes[0]] += gone - seen
+            by_block = sizes > block_rows
+            by_block[0] |= first or gone > 0
+            last = by_block[-1]
+            chosen = np.repeat(by_block, sizes)
+            inside = ~chosen
+            chosen[:seen] = False
+            if not last:
+                inside[begins[-1] :] = False
+            if chosen.any():
+                yield loose(rows.filter(pa.array(chosen)), place[chosen])
+            if inside.any():
+                yield packed(rows.filter(pa.array(inside)))
+            held = rows.slice(int(begins[-1]))
+            gone = int(place[-1]) + 1 if last else 0
+            first = first and len(begins) == 1
+        if held is not None and not gone:
+            yield loose(held, np.arange(held.num_rows))
+
+    return run
+
+
+#: What a range gives: passages (with an ordinal) and rows that are left (with range and place in it).
+RANGED = ["doc", "ordinal", "range", "place", "paragraph", "words"]
+
+
+def _ranged(paragraphs: DataFrame, doc_col: str, order_col: str, text_col: str, max_words: int, block_rows: int) -> DataFrame:
+    """Passages and left rows, see RANGED; blank and null paragraphs and those without a document are left out.
+
+    Rows of equal place are ordered by their text, a null place comes first.
     """
     text = strip(F.col(text_col))
     rows = paragraphs.select(F.col(doc_col).alias("doc"), F.col(order_col).alias("_at"), text.alias("paragraph")).where(
         F.col("doc").isNotNull() & (F.col("paragraph") != "")
     )
-    # Ranges are drawn from a sample: stored, since counting and ordering must see the same ones.
-    ranges = reliable(
-        rows.withColumn("words", word_count(F.col("paragraph")))
-        .repartitionByRange("doc", "_at", "paragraph")
-        .withColumn("_range", F.spark_partition_id())
-    )
-    counts = ranges.groupBy("doc", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # Words are counted behind the shuffle: drawing the ranges reads the rows once more.
+    order = ["doc", "_at", "paragraph"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.select("doc", "paragraph", word_count(F.col("paragraph")).alias("words"))
+    doc_field = dealt.schema["doc"].simpleString().replace(":", " ", 1)
+    schema = f"{doc_field}, ordinal bigint, range int, place bigint, paragraph string, words int"
+    # Ranges are drawn from a sample: stored, since all that follows must see the same ones.
+    return reliable(dealt.mapInArrow(_packer(max_words, block_rows), schema))
+
+
+def number_paragraphs(left: DataFrame) -> DataFrame:
+    """doc, position (0, 1, ... in each document), paragraph, words of the rows that ranges left."""
     # One row per document and range that it lies in.
-    before = Window.partitionBy("doc").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("doc", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("doc", "_range").orderBy("_at", "paragraph")
-    placed = ranges.withColumn("_place", F.row_number().over(inside) - 1)
-    return placed.join(bases, ["doc", "_range"]).select(
-        "doc", (F.col("_base") + F.col("_place")).alias("position"), "paragraph", "words"
+    counts = left.groupBy("doc", "range").agg((F.max("place") + 1).alias("_n"))
+    before = Window.partitionBy("doc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("doc", "range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return left.join(bases, ["doc", "range"]).select(
+        "doc", (F.col("_base") + F.col("place")).alias("position"), "paragraph", "words"
     )
 
 
@@ -128,7 +236,9 @@ def pack_rows(
     """
     if max_words < 1 or block_rows < max_words:
         raise ValueError("a block must hold a passage")
-    numbered = number_paragraphs(paragraphs, doc_col, order_col, text_col).select(
+    ranged = _ranged(paragraphs, doc_col, order_col, text_col, max_words, block_rows)
+    whole = ranged.where("ordinal IS NOT NULL").select("doc", "ordinal", F.col("paragraph").alias("chunk"))
+    numbered = number_paragraphs(ranged.where("ordinal IS NULL").drop("ordinal")).select(
         "doc",
         F.floor(F.col("position") / block_rows).alias("block"),
         (F.col("position") % block_rows).cast("int").alias("place"),
@@ -164,6 +274,6 @@ def pack_rows(
     parts = F.sort_array(F.collect_list(F.struct("block", "place", "paragraph")))
     doc = F.col("doc").cast("string")
     chunk = F.array_join(F.transform(parts, lambda p: p["paragraph"]), JOINER)
-    return placed.groupBy("doc", "ordinal").agg(chunk.alias("chunk")).select(
+    return whole.unionByName(placed.groupBy("doc", "ordinal").agg(chunk.alias("chunk"))).select(
         doc.alias("doc_id"), "ordinal", "chunk", F.format_string("%s_chunk_%d", doc, "ordinal").alias("chunk_id")
     )

@@ -1,11 +1,13 @@
 """Passages from rows equal those folded from whole texts."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from passagelake.functions.text import LINE_ENDS
+from passagelake.operators import row_packing
 from passagelake.operators.chunking import chunk_documents
 from passagelake.operators.row_packing import pack_rows
 
@@ -58,3 +60,36 @@ def test_order_of_input_does_not_matter(spark):
     mixed = lines(spark, texts).orderBy(F.rand(3)).repartition(7)
     got = sorted((r.doc_id, r.chunk_id, r.chunk) for r in pack_rows(mixed, max_words=20, block_rows=32).collect())
     assert got == folded(spark, texts, 20)
+
+
+def test_documents_inside_a_range_do_not_reach_the_blocks(spark, monkeypatch):
+    # Before, every document took two calls of Python, one for each of its blocks twice.
+    draw = random.Random(6)
+    texts = {f"d{i:04}": random_text(draw, draw.choice([1, 2, 30, 200]), 9) for i in range(400)}
+    left, number = [], row_packing.number_paragraphs
+
+    def noted(rows):
+        left.append(rows.select("doc").distinct().count())
+        return number(rows)
+
+    monkeypatch.setattr(row_packing, "number_paragraphs", noted)
+    batch, key = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for size in ("10000", "7", "1"):
+            spark.conf.set(key, size)
+            assert packed(spark, texts, 40, 64) == folded(spark, texts, 40)
+    finally:
+        spark.conf.set(key, batch)
+    long = sum(len([p for p in t.split("\n") if p]) > 64 for t in texts.values())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(left) == 3 and all(n <= long + 2 * partitions < 200 for n in left)
+
+
+@pytest.mark.parametrize("kind", ["double", "struct<a:string,b:int>", "date", "bigint"])
+def test_kinds_of_ids(spark, kind):
+    ids = {"double": [1.5, float("nan"), -2.0], "struct<a:string,b:int>": [("x", 1), ("x", 2), ("y", None)],
+           "date": [datetime.date(2020, 1, d) for d in (1, 2, 3)], "bigint": [3, -1, 7]}[kind]
+    rows = [(d, i, f"p{i} w w") for i in range(7) for d in ids]
+    got = pack_rows(spark.createDataFrame(rows, f"doc_id {kind}, paragraph int, text string").coalesce(1), max_words=7)
+    assert got.count() == 12 and got.select("doc_id", "ordinal").distinct().count() == 12
+    assert {r.chunk for r in got.where("ordinal = 3").collect()} == {"p6 w w"}

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,29 @@ def test_lloyd_steps(spark):
         near = np.linalg.norm(vectors[:, None] - centres[None], axis=2).argmin(axis=1)
         centres = np.array([vectors[near == k].mean(axis=0) if (near == k).any() else centres[k] for k in range(3)])
     assert np.allclose([r.centroid for r in got], centres)
+
+
+def test_tokens_of_the_embedder_are_runs_of_letters_and_digits():
+    def plain(text, dim):
+        counts = np.zeros(dim)
+        for token in pc.split_pattern_regex(pa.array([text.lower()]), r"[^\p{L}\p{N}]+")[0].as_py():
+            if token:
+                counts[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += 1
+        return counts / (np.linalg.norm(counts) or 1.0)
+
+    odd = ["", " ", "a b", "é…ß „x“", "ée", "日本 語。abc_d-e", "\x00a\x00", "…", "ＡＢ½²", "\U0001f389x", "a" * 1000 + "…" + "b" * 70, "a-a–a—a"]
+    for model in (HashingEmbedder(16), HashingEmbedder()):
+        for texts in (pa.array(odd), pa.array(odd)[3:9], pa.array(odd)[:0], pa.array(odd, pa.large_string())):
+            got = model(texts)
+            assert got.shape == (len(texts), model.dim)
+            for row, text in zip(got, texts.to_pylist()):
+                assert np.allclose(row, plain(text, model.dim))
+
+
+def test_a_bucket_is_computed_once(monkeypatch):
+    model, asked = HashingEmbedder(), []
+    bucket = model.bucket
+    monkeypatch.setattr(model, "bucket", lambda token: asked.append(token) or bucket(token))
+    for _ in range(3):
+        model(pa.array(["one two", "two — drei über"]))
+    assert sorted(asked) == ["drei", "one", "two", "über"]

@@ -69,7 +69,9 @@ def embed_topic(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare_for_embedding(batch, normalize_numeric_ids).persist()
+        prepared = prepare_for_embedding(batch, normalize_numeric_ids)
+        # Messages that are embedded need not be kept as they came.
+        prepared = prepared.withColumn("value", F.when(~F.col("has_ids"), F.col("value"))).persist()
         try:
             embedded = prepared.where("has_ids").withColumn(
                 "embedding", embed_column(F.col("chunk"), factory, model_key)
@@ -115,7 +117,9 @@ def index_topic(
     dim = centroid_matrix(index.centroids())[1].shape[1]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_embedded(batch).persist()
+        # The message is kept with those that may be set aside.
+        fits = F.col("reason").isNull() & (F.size("embedding") == dim)
+        checked = validate_embedded(batch).withColumn("value", F.when(~fits, F.col("value"))).persist()
         try:
             good = checked.where(F.col("reason").isNull()).drop("reason")
             append_vectors(good, index, batch_id + 1)

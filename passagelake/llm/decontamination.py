@@ -42,6 +42,8 @@ ITEM_STEP = WINDOW // 2
 ITEMS_AT_ONCE = 2048
 #: Cosines that a task holds at once.
 COSINES = 8192 * 2048
+#: Words of regions that a task looks at in one go, but for a single longer region.
+REGION_WORDS = 1 << 18
 #: Rows that a task gathers at once, small enough for the processor's cache.
 GATHERED = 4096
 SEED = 20
@@ -151,6 +153,8 @@ class Passages:
         self.steps = int(self.first[-1])
         found = list(map(vocabulary.get, chain.from_iterable(self.words), repeat(-1)))
         code = np.array(found, dtype=np.int32)
+        #: The number of every word, -1 for one that is not known, and where each text begins.
+        self.every, self.begin, self.lengths = code, np.cumsum(lengths) - lengths, lengths
         # The word's place in its text, then the step it is in.
         place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         step = place // STEP + np.repeat(self.first[:-1], lengths)
@@ -254,8 +258,8 @@ class Retriever:
     def __init__(self, items: Items, space: np.ndarray):
         self.items, self.space = items, space
         bags, owners = [], []
-        for item, words in enumerate(items.words):
-            codes = [items.vocabulary[w] for w in words]
+        self.codes = [np.array([items.vocabulary[w] for w in words]) for words in items.words]
+        for item, codes in enumerate(self.codes):
             for start, end in item_windows(len(codes)):
                 bags.append(codes[start:end])
                 owners.append(item)
@@ -266,6 +270,40 @@ class Retriever:
         held = np.array([len(b) for b in bags]) / WINDOW
         self.least = (MIN_COSINE * np.sqrt(held)).astype(np.float32)
 
+    def possible(self, passages: Passages, text: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which candidates' regions have the words that a paraphrase needs, each as often as the item has it.
+
+        The item's different words are bits, 64 at a time, and a region's bits are those of its words.
+        """
+        sizes = np.array([len(w) for w in self.items.words])
+        around = sizes[item] + 2 * STEP
+        low = passages.begin[text] + np.maximum(0, start - around)
+        high = passages.begin[text] + np.minimum(passages.lengths[text], start + WINDOW + around)
+        held = np.zeros(len(item), dtype=np.int64)
+        bits = np.zeros(len(self.items.vocabulary) + 1, dtype=np.uint64)
+        order = np.argsort(item, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+            words, times = np.unique(self.codes[item[same[0]]], return_counts=True)
+            edges = np.cumsum(high[same] - low[same])
+            at = 0
+            while at < len(same):
+                done = int(edges[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(edges, done + REGION_WORDS, side="right")))
+                some = same[at:end]
+                lengths = high[some] - low[some]
+                starts = np.cumsum(lengths) - lengths
+                region = passages.every[np.repeat(low[some] - starts, lengths) + np.arange(int(lengths.sum()))]
+                for first in range(0, len(words), 64):
+                    part = words[first : first + 64]
+                    bits[part] = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
+                    # A word that is not known, -1, is the last entry, which has no bit.
+                    seen = np.bitwise_or.reduceat(bits[region], starts).astype("<u8")
+                    bits[part] = 0
+                    shown = np.unpackbits(seen.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    held[some] += shown[:, : len(part)] @ times[first : first + 64]
+                at = end
+        return held >= PARAPHRASE * sizes[item]
+
     def candidates(self, passages: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(steps, items, cosines) of the windows that start at a step and come near an item."""
         sums = passages.sums(self.space)
@@ -297,6 +335,9 @@ class Retriever:
         passages = Passages(texts, self.items.vocabulary)
         steps, items, cosines = self.candidates(passages)
         owner = np.searchsorted(passages.first, steps, side="right") - 1
+        # The subsequence has no more words than the two have in common, each as often as in both.
+        kept = self.possible(passages, owner, items, (steps - passages.first[owner]) * STEP)
+        owner, items, steps, cosines = owner[kept], items[kept], steps[kept], cosines[kept]
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
         bags: dict[int, Counter] = {}
         for text, item, step, cosine in zip(owner.tolist(), items.tolist(), steps.tolist(), cosines.tolist()):
@@ -307,9 +348,6 @@ class Retriever:
             bag = bags.get(item)
             if bag is None:
                 bag = bags[item] = Counter(words)
-            # The subsequence has no more words than the two have in common, each as often as in both.
-            if sum(map(bag.__getitem__, bag.keys() & set(region))) < PARAPHRASE * len(words):
-                continue
             held = Counter(filter(bag.__contains__, region))
             if sum(min(n, bag[w]) for w, n in held.items()) < PARAPHRASE * len(words):
                 continue

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from odd_rows import ODD
 
+from passagelake.llm import decontamination
 from passagelake.llm.decontamination import (
     PARAPHRASE,
     SAME,
@@ -172,3 +173,29 @@ def test_paraphrases_of_items_that_repeat_words_are_found(spark, make_docs):
             brute.add(i)
     assert brute == set(range(1, 40, 2))
     assert got == brute
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 300, 1])
+def test_words_in_common_are_counted_for_all_candidates_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(decontamination, "REGION_WORDS", at_once)
+    draw = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    # Items of few and of more than 64 different words, with repeated ones.
+    words = [[w.encode() for w in draw.choice(vocabulary, size=n)] for n in (3, 20, 48, 90, 300)]
+    items = decontamination.Items(list(range(5)), words, words)
+    retriever = decontamination.Retriever(items, np.ones((len(items.vocabulary), 1), np.float32))
+    texts = ["", None, "x y z"] + [" ".join(draw.choice([*vocabulary, "unknown"], size=draw.integers(1, 900))) for _ in range(20)]
+    texts += [b" ".join(w).decode() for w in words]
+    passages = decontamination.Passages(texts, items.vocabulary)
+    steps = draw.integers(passages.steps, size=600)
+    text, item = np.searchsorted(passages.first, steps, side="right") - 1, draw.integers(5, size=600)
+    start = (steps - passages.first[text]) * decontamination.STEP
+    expected = []
+    for t, i, s in zip(text, item, start):
+        around = len(words[i]) + 2 * decontamination.STEP
+        region = passages.words[t][max(0, s - around) : s + decontamination.WINDOW + around]
+        expected.append(sum(w in region for w in words[i]) >= decontamination.PARAPHRASE * len(words[i]))
+    got = retriever.possible(passages, text, item, start)
+    assert got.tolist() == expected and 0 < sum(expected) < 600
+    none = np.empty(0, dtype=np.int64)
+    assert not len(retriever.possible(passages, none, none, none))

@@ -11,6 +11,7 @@ sum(min) / sum(max), so the share of equal samples estimates it.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark import TaskContext
@@ -24,6 +25,8 @@ DEALT_CHARS = 64
 
 SAMPLES = 128
 BLOCK_WORDS = 4096
+#: Words whose numbers are drawn at once, few enough for the processor's cache.
+DRAWN_WORDS = 256
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,7 +34,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: uniform 64-bit numbers from counters."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,22 +64,23 @@ class Sampler:
         """A row of ``samples`` 16-bit numbers per text; None for a text without words."""
         import xxhash
 
-        vocabulary: dict[str, int] = {}
-        number = vocabulary.setdefault
+        # A word that is new gets the next number.
+        vocabulary: defaultdict[str, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
         bags = []
         for text in texts:
             words = (text or "").lower().split()
-            ids = np.fromiter((number(w, len(vocabulary)) for w in words), np.int64, len(words))
+            ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
             bags.append(np.unique(ids, return_counts=True))
         hashes = np.fromiter(
-            (xxhash.xxh64_intdigest(w, 0) for w in vocabulary), np.uint64, len(vocabulary)
+            map(xxhash.xxh64_intdigest, vocabulary), np.uint64, len(vocabulary)
         )
         plain = np.empty((len(hashes), self.samples), np.float32)
         r = np.empty_like(plain)
         log_c = np.empty_like(plain)
         beta = np.empty_like(plain)
-        for at in range(0, len(hashes), BLOCK_WORDS):
-            part = slice(at, at + BLOCK_WORDS)
+        for at in range(0, len(hashes), DRAWN_WORDS):
+            part = slice(at, at + DRAWN_WORDS)
             r[part], log_c[part], beta[part] = _draws(hashes[part], self.samples)
             # A word that stands once has quantised weight 0: its rank needs no count.
             plain[part] = log_c[part] - r[part] * (1 - beta[part])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from odd_rows import ODD
 
+from passagelake.llm import weighted_sampling
 from passagelake.llm.queries import op8_weighted_sampling
 from passagelake.llm.weighted_sampling import Sampler, compare_with_next, fingerprints, likeness
 
@@ -87,3 +88,16 @@ def test_equal_ids_are_ordered_by_text_however_they_are_dealt(spark, make_docs,
         check(compare_with_next(make_docs(rows).repartition(4)).collect(), rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+def test_signatures_do_not_depend_on_how_many_words_are_drawn_at_once(monkeypatch):
+    texts = [" ".join(f"w{i * k % 97}" for i in range(n)) for k, n in enumerate([0, 1, 3, 90, 400, 1200], 2)] + [None, "a a b"]
+    drawn, draws = [], weighted_sampling._draws
+    monkeypatch.setattr(weighted_sampling, "_draws", lambda hashes, samples: drawn.append(len(hashes)) or draws(hashes, samples))
+    found = []
+    for size in (weighted_sampling.DRAWN_WORDS, 1, 7, 5000):
+        monkeypatch.setattr(weighted_sampling, "DRAWN_WORDS", size)
+        drawn.clear()
+        found.append([weighted_sampling.packed(s) for s in weighted_sampling.Sampler().signatures(texts)])
+        assert max(drawn) <= size and sum(drawn) == len({w for t in texts for w in (t or "").split()})
+    assert all(f == found[0] for f in found)

@@ -112,7 +112,8 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
     distinct = prints.select("fp").where("fp is not null").distinct()
     keyed = distinct.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    shared = reliable(keyed.join(ends.where("low < high"), "key"))
+    # Spark takes the exploded rows for no more than the fingerprints and would broadcast them.
+    shared = reliable(keyed.join(ends.where("low < high").hint("merge"), "key"))
     fp, key = F.col("fp"), F.col("key")
     stars = [
         shared.where((fp != F.col(end)) & within_budgets(fp, F.col(end), key)).select(
@@ -128,7 +129,8 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low < high")
     open_rows = reliable(placed.join(mixed.select("key"), "key"))
-    a, b = open_rows.alias("a"), open_rows.alias("b")
+    # Their file is many times smaller than the rows in memory.
+    a, b = open_rows.alias("a"), open_rows.hint("merge").alias("b")
     across = a.join(
         b,
         (F.col("a.key") == F.col("b.key"))
@@ -164,4 +166,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     smallest = classed.groupBy("class_fp").agg(F.min("first_id").alias("component_id"))
     labels = classed.select("fp", "class_fp").join(smallest, "class_fp")
-    return prints.join(labels, "fp").select("doc_id", "fp", "class_fp", "component_id")
+    # The file of many copies is small, but has a row for every document.
+    return prints.join(labels.hint("merge"), "fp").select("doc_id", "fp", "class_fp", "component_id")

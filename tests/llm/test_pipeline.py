@@ -3,6 +3,7 @@ import numpy as np
 from odd_rows import ODD
 from test_simhash import slow_components, slow_simhash
 
+from passagelake.llm import simhash
 from passagelake.llm.queries import pipeline, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,19 @@ def test_stages_on_odd_rows(spark, make_docs):
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
     assert np.all([c in empty.columns for c in corpus_pipeline.COLUMNS])
+
+
+def test_exploded_keys_of_near_duplicates_are_not_broadcast(spark, make_docs, monkeypatch):
+    """Spark sizes the 32 keys of a fingerprint like the fingerprint, so it would send them to the driver."""
+    plans = []
+    real = simhash.reliable
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(simhash, "reliable", kept)
+    docs = make_docs([f"text {i // 2} of a number of texts" for i in range(40)])
+    assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == 20
+    exploded = [p for p in plans if "Generate explode" in p]
+    assert exploded and not any("Broadcast" in p for p in exploded)

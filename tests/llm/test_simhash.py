@@ -5,6 +5,7 @@ import xxhash
 from odd_rows import ODD
 from pyspark.sql import functions as F
 
+from passagelake.llm import simhash as module
 from passagelake.llm.graph import connected_components
 from passagelake.llm.queries import op3_simhash
 from passagelake.llm.simhash import chain_keys, fingerprint_classes, near_duplicates, simhash, within_budgets
@@ -112,3 +113,24 @@ def test_odd_rows(spark, make_docs):
     for _, text in ODD:
         if len(text or "") < 1000:
             assert simhash(text) == slow_simhash(text)
+
+
+def test_rows_of_all_documents_or_keys_are_not_broadcast(spark, monkeypatch):
+    """Files of repeated values are small, so Spark would send their rows to the driver."""
+    plans = []
+    real = module.connected_components
+    monkeypatch.setattr(module, "connected_components", lambda edges: (plans.append(plan(edges)), real(edges))[1])
+    monkeypatch.setattr(module, "fingerprints", lambda docs, *a: docs)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rng = np.random.default_rng(7)
+    prints = [int(p) ^ 1 << int(b) for p in rng.integers(0, 1 << 62, 20) for b in rng.integers(0, 62, 5)]
+    rows = [(i, p) for i, p in enumerate(prints * 3)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, fp bigint"))
+    across = plans[-1]
+    assert "SortMergeJoin" in across and "Broadcast" not in across
+    last = next(line for line in plan(found).splitlines() if "Join" in line)
+    assert "SortMergeJoin" in last
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == slow_components(rows)
